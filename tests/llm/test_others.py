@@ -1,0 +1,346 @@
+import hashlib
+import re
+import zlib
+from collections import defaultdict
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from tarn.llm import exact_dedup, html_text, language, media, packing, secrets, subwords
+from tarn.llm.common import read_table
+
+from .helpers import documents, odd_rows
+
+# exact dedup
+
+
+def test_exact_dedup_against_brute_force(spark, tmp_path):
+    rows = odd_rows() + [(k, f"text {k % 50}") for k in range(300)]
+    docs = documents(spark, rows, tmp_path / "d")
+    got = exact_dedup.exact_dedup(docs).collect()
+    groups = defaultdict(list)
+    for d, t, *_ in rows:
+        groups[t or ""].append(d)
+    want = [(d, max((x for x in groups[t or ""] if x is not None), default=None), len(groups[t or ""]), hashlib.sha256((t or "").encode()).hexdigest()) for d, t, *_ in rows]
+    assert sorted(map(str, ((r.doc_id, r.keep_id, r.group_size, r.text_sha256) for r in got))) == sorted(map(str, want))
+    kept = [r for r in got if r.kept]
+    assert len(kept) == len(groups) and all(r.doc_id == r.keep_id for r in kept)
+    out = exact_dedup.exact_dedup_stage(spark, docs, "")
+    assert out.schema.names == docs.schema.names and out.count() == len(groups)
+    assert exact_dedup.exact_dedup(docs.where("false")).count() == 0
+
+
+def test_a_full_filter_costs_no_result(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "MOST_BITS", 6)
+    monkeypatch.setattr(exact_dedup, "LEAST_BITS", 6)
+    docs = documents(spark, [(k, f"text {k % 150}") for k in range(200)], tmp_path / "d")
+    assert exact_dedup.exact_dedup(docs).where("kept").count() == 150
+
+
+def test_filter_bits_finds_all_repeats(spark):
+    values = np.random.default_rng(1).integers(-(1 << 62), 1 << 62, 500)
+    values = np.concatenate([values, values[:40]])
+    hashes = spark.createDataFrame([(int(v),) for v in values], "h long").repartition(5)
+    bits = exact_dedup.filter_bits(len(values))
+    twice = exact_dedup.possibly_repeated(hashes, bits, 3)
+    on = np.ones(500, bool)
+    for at in exact_dedup.bit_positions(values[:500], bits):
+        on &= (twice[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
+    assert on[:40].all() and on[40:].sum() < 25
+
+
+# sub-words
+
+
+@pytest.fixture(scope="module")
+def vocabulary():
+    return subwords.Vocabulary()
+
+
+@pytest.fixture(scope="module")
+def library():
+    import public_tokenizers
+    import sentencepiece
+
+    return sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(subwords.MODEL))
+
+
+TEXTS = st.text(alphabet=st.sampled_from("abethinor sz  ,.!?\n\t09éüß中🙂ﬁ"), max_size=80)
+
+
+@settings(max_examples=300, deadline=None)
+@given(TEXTS)
+def test_without_dropout_as_the_library(vocabulary, library, text):
+    assert subwords.Encoder(vocabulary, rate=0.0).encode(text).tolist() == library.encode(text)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(max_size=60), st.integers(0, 9), st.sampled_from([0.0, 0.1, 0.5, 1.0]))
+def test_decodes_losslessly(vocabulary, text, key, rate):
+    assert vocabulary.decode(subwords.Encoder(vocabulary, rate=rate).encode(text, key).tolist()) == text
+
+
+def test_dropout_varies_by_key_and_seed_only(vocabulary):
+    text = "international considerations throughout the neighbourhood " * 20
+    ids = [subwords.Encoder(vocabulary, rate=0.3).encode(text, k).tolist() for k in range(12)]
+    assert 1 < len({str(i) for i in ids}) <= subwords.VARIANTS
+    assert subwords.Encoder(vocabulary, rate=0.3).encode(text, 5).tolist() == ids[5]
+    assert subwords.Encoder(vocabulary, seed=7, rate=0.3).encode(text, 5).tolist() not in ids
+    base = subwords.Encoder(vocabulary, rate=0.0).encode(text)
+    share = [len(subwords.Encoder(vocabulary, rate=r).encode(text, 1)) / len(base) for r in (0.1, 0.5, 1.0)]
+    assert 1 <= share[0] <= share[1] < share[2]
+
+
+def test_encode_and_decode_columns(spark, sf, tmp_path):
+    docs = read_table(spark, sf, "documents")
+    back = subwords.decode_column(subwords.encode_column(docs)).alias("b").join(docs.alias("d"), "doc_id")
+    assert back.count() == docs.count() and back.where("b.text <> d.text").count() == 0
+    odd = documents(spark, odd_rows(), tmp_path / "d")
+    assert sorted(r.text for r in subwords.decode_column(subwords.encode_column(odd)).collect()) == sorted(t or "" for _, t, *_ in odd_rows())
+    assert subwords.encode_column(odd.where("false")).count() == 0
+
+
+# HTML
+
+
+PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body>
+<header><h1>Site</h1></header><nav><ul><li><a href="/a">One</a></li></ul></nav><!-- ad --><div class="ad">Buy this now, it is a long and loud advert text.</div>
+<article><h1>Head &amp; line</h1><p><b>First   part
+goes here, &lt;tag&gt; &eacute;.<br><p>Short.</p><p>Another long paragraph that says much about the matter.</p>
+<form><p>Name</p><input></form><div class="comments"><p>Reader says a long thing about it here.</p></div></article>
+<aside>More stories to read at your leisure, if any.</aside><footer>&copy; us</footer></body></html>"""
+
+
+def test_article_only():
+    assert html_text.main_blocks(PAGE) == ["Head & line", "First part goes here, <tag> é.", "Short.", "Another long paragraph that says much about the matter."]
+
+
+def test_without_an_article_the_text_is_clustered():
+    body = "".join(f"<p>{'Long text of the main part of this page. ' * 6}{k}</p>" for k in range(6))
+    got = html_text.main_blocks(f"<body><div><a>x</a> <a>y</a> <a>z</a></div><div><a>1</a><a>2</a></div><hr><div><a>1</a><a>2</a></div>{body}<div><a>q</a><a>r</a></div></body>")
+    assert [g[-1] for g in got if len(g) > 50] == list("012345") and len(got) <= 8
+
+
+def test_pages_against_the_article_element(spark, sf):
+    for r in html_text.op5_html(spark, sf).join(read_table(spark, sf, "pages").select("page_id", "html"), "page_id").collect():
+        inner = re.search(r"<article>(.*)</article>", r.html, re.S)[1]
+        import html as h
+
+        blocks = [" ".join(h.unescape(re.sub(r"<[^>]*>", "", re.sub(r"<br>", " ", b))).split()) for b in re.split(r"</?(?:p|h1)>", inner)]
+        assert r.text == "\n".join(b for b in blocks if b) and r.n_chars == len(r.text)
+
+
+def test_odd_pages(spark):
+    pages = spark.createDataFrame([(1, "u", None), (2, None, ""), (None, "v", "<<>&#x;</p></p><p"), (4, "w", "<div>" * 5000 + "deep"), (4, "w", "<script>never ends")], "page_id long, url string, html string")
+    assert html_text.extract(pages).count() == 5 and html_text.extract(pages.where("false")).count() == 0
+    assert {r.text for r in html_text.extract(pages.where("html is null or html = ''")).collect()} == {""}
+
+
+# language
+
+
+def test_held_out_accuracy(spark):
+    got = language.op6_language(spark, "/root/testdata/sf0.01")
+    docs = read_table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "lang")
+    held = got.where("held_out").join(docs, "doc_id")
+    assert held.count() == docs.where("crc32(cast(doc_id as string)) % 4 = 2").count()
+    assert held.where("lang = lang_pred").count() / held.count() > 0.97
+    assert got.where("score < 0 or score > 1").count() == 0
+
+
+def test_language_odd_rows(spark, tmp_path):
+    rows = [(k, t, "en") for k, (t) in enumerate(["the house and the dog"] * 9)] + [(20 + k, "das haus und der hund", "de") for k in range(9)] + odd_rows()
+    docs = documents(spark, rows, tmp_path / "d")
+    got = language.identify(docs, language.fit(docs)).collect()
+    assert len(got) == len(rows) and {r.lang_pred for r in got} == {"en", "de", "und"}
+    assert sum(r.lang_pred == "und" for r in got) == 6
+    out = language.language_stage(spark, docs, "")
+    assert out.schema == docs.schema and out.count() == len(rows) - 6
+    assert language.fit(docs.where("lang is null")) is None
+    assert language.language_stage(spark, docs.where("false"), "").count() == 0
+
+
+# secrets
+
+
+def plain_secrets(text):
+    found = [(m.start(), 0, m.end()) for m in re.finditer(r"(?a)(?i:(password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", text) if len(m[2]) >= 6]
+    found += [(m.start(), 1, m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+    found += [(m.start(), 2, m.end()) for m in re.finditer(r"[0-9a-f]+", text) if len(m[0]) >= 24]
+    return sorted(found)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["password", "PASSWD", "toKen", "ſecret", "secret", "api_key", "apikey", " ", ":", "=", '"', "'", "abcdef", "0123456789abcdef", "AKIA", "ABCDEFGH12345678", "x", "K", "\n"]), max_size=14))
+def test_base_secrets_equal_the_patterns(parts):
+    text = "".join(parts)
+    assert secrets.base_spans(text) == plain_secrets(text)
+
+
+def test_linking_needs_complements():
+    key = "Zx81kQpW77eRtYv0MnB3cD"
+    alone, near, far = f"see {key} there", f"login: someone uses {key} there", f"login: someone {'and ' * 100} {key}"
+
+    def kinds(text):
+        base = secrets.base_spans(text)
+        return [secrets.KINDS[s[1]] for s in secrets.linked(base, secrets.weak_candidates(text, base))]
+
+    assert kinds(alone) == [] and kinds(far) == [] and kinds("go to https://a.example.com/x now") == []
+    assert kinds(near) == ["weak_id", "weak_secret"]
+    assert kinds("https://a.example.com password=abcdefgh") == ["weak_endpoint"]
+
+
+def test_secrets_whole_table(spark, sf, tmp_path):
+    texts = {r.doc_id: r.text for r in read_table(spark, sf, "documents").select("doc_id", "text").collect()}
+    for r in secrets.op7_secrets(spark, sf).collect():
+        base = plain_secrets(texts[r.doc_id])
+        assert r.base_sha256 == hashlib.sha256(secrets.joined(base).encode()).hexdigest() and (r.n_assign, r.n_access, r.n_hex) == tuple(sum(s[1] == k for s in base) for k in range(3))
+    odd = documents(spark, odd_rows(), tmp_path / "d")
+    assert secrets.scan_secrets(odd).count() == len(odd_rows()) and secrets.scan_secrets(odd.where("false")).count() == 0
+
+
+# media
+
+
+def test_media_digests(spark, sf, tmp_path):
+    odd = documents(spark, odd_rows(), tmp_path / "documents.parquet")
+    for docs, where in ((read_table(spark, sf, "documents"), sf), (odd, str(tmp_path))):
+        texts, features = defaultdict(list), {}
+        for r in docs.select("doc_id", "text").collect():
+            texts[r.doc_id].append((r.text or "").encode())
+        rows = media.op9_media(spark, where).collect()
+        assert len(rows) == docs.count()
+        for r in rows:
+            data = next(t for t in texts[r.doc_id] if hashlib.sha256(p := t + bytes(max(64, -(-len(t) // 64) * 64) - len(t))).hexdigest() == r.payload_sha256)
+            assert (r.n_bytes, r.payload_bytes, r.tail_crc32) == (len(data), len(p), zlib.crc32(p[-64:])) and r.media_bytes == len(p) + 44
+            assert features.setdefault(data, r.feature) == r.feature
+    assert media.media_columns(odd.where("false")).count() == 0
+
+
+def test_peaks_find_a_tone():
+    t = np.arange(4096)
+    tone = np.round(128 + 100 * np.sin(2 * np.pi * t * 20 / media.FRAME)).astype(np.uint8)
+    assert set(media.peaks(tone).tolist()) == {20}
+    times, codes = media.fingerprints(tone)
+    assert len(times) == 15 + 14 + 13 and (np.diff(times) >= 0).all() and set((codes >> 16).tolist()) == {20}
+    assert media.from_wav(media.to_wav(tone.tobytes())) == tone.tobytes()
+
+
+# packing
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 200), max_size=120), st.sampled_from([16, 64]))
+def test_pack_is_a_partition_of_the_ids(lengths, capacity):
+    pieces = [p for done in packing.pack(iter(lengths), capacity) for p in done]
+    by_doc, by_window = defaultdict(list), defaultdict(list)
+    for doc, start, length, window, offset in pieces:
+        by_doc[doc].append((start, length))
+        by_window[window].append((offset, length))
+    assert sorted(by_doc) == list(range(len(lengths)))
+    for doc, parts in by_doc.items():
+        at = 0
+        for start, length in sorted(parts):
+            assert start == at and length > 0
+            at += length
+        assert at == lengths[doc]
+    full = 0
+    for parts in by_window.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= capacity
+        full += at == capacity
+    assert len(by_window) - full <= 1 and len(by_window) == -(-sum(lengths) // capacity)
+
+
+def test_levels_choose_the_least_sum_of_squares():
+    r = np.random.default_rng(1)
+    levels = packing.Levels(24)
+    for size in r.integers(1, 24, 400).tolist():
+        n = levels.counts.copy()
+
+        def after(h, n=n, size=size):
+            m = n.copy()
+            if h:
+                m[h] -= 1
+            if h + size < 24:
+                m[h + size] += 1
+            return int((m[1:24] ** 2).sum())
+
+        best = min(after(h) for h in range(25 - size) if h == 0 or n[h])
+        levels.place(size)
+        assert int((levels.counts[1:24] ** 2).sum()) == best
+
+
+def test_ids_equal_the_tokenizers_own(spark, sf):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path(packing.TOKENIZER))
+    encode = packing.word_ids(t)
+    texts = [r.text for r in read_table(spark, sf, "documents").select("text").collect()] + [t or "" for _, t, *_ in odd_rows()] + ["I'LL don't", "<|endoftext|> a", "ΣΑΣ é ́x", "a\x1fb c　d", "  "]
+    for a, b in zip(encode(texts), t.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert a.tolist() == b.ids
+
+
+def test_packing_rows(spark, sf, tmp_path):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path(packing.TOKENIZER))
+    texts = {r.doc_id: r.text for r in read_table(spark, sf, "documents").select("doc_id", "text").collect()}
+    rows, by_doc, by_window = packing.op10_packing(spark, sf).collect(), defaultdict(list), defaultdict(list)
+    for r in rows:
+        by_doc[r.doc_id].append(r)
+        by_window[r.sequence_id].append(r)
+    assert by_doc.keys() == texts.keys()
+    for d, parts in by_doc.items():
+        ids, at = np.array([*t.encode(texts[d], add_special_tokens=False).ids, 1], "<u4"), 0
+        for r in sorted(parts, key=lambda r: r.start):
+            assert r.start == at and r.doc_tokens == len(ids) and r.ids_crc32 == zlib.crc32(ids[at : at + r.length].tobytes())
+            at += r.length
+        assert at == len(ids)
+    for parts in by_window.values():
+        at = 0
+        for r in sorted(parts, key=lambda r: r.offset):
+            assert r.offset == at
+            at += r.length
+        assert at <= packing.CAPACITY
+    odd = documents(spark, odd_rows(), tmp_path / "d")
+    got = packing.pack_documents(odd)
+    assert got.select(F.sum("length")).first()[0] == packing.packed_digests(odd).where("start = 0").select(F.sum("doc_tokens")).first()[0]
+    assert got.where("start = 0").count() == len(odd_rows()) and got.where("size(ids) <> length").count() == 0
+    assert packing.pack_documents(odd.where("false")).count() == 0
+
+
+# pipeline
+
+
+def test_pipeline(spark, sf):
+    import corpus_pipeline
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from .test_pii import plain
+    from .test_simhash import plain_components, plain_fingerprint
+
+    docs = read_table(spark, sf, "documents").collect()
+    kept = {}
+    for r in sorted(docs, key=lambda r: r.doc_id):
+        if r.text and any(c.isalpha() for c in r.text):
+            kept[r.text] = r
+    rows = list(kept.values())
+    components = plain_components([(r.doc_id, plain_fingerprint(r.text)) for r in rows])
+    rows = [r for r, c in zip(rows, components, strict=True) if r.doc_id == c]
+    got = corpus_pipeline.run(spark, sf).collect()
+    assert {r.doc_id for r in got} == {r.doc_id for r in rows}
+    t = Tokenizer.from_file(public_tokenizers.path(packing.TOKENIZER))
+    tokens = {r.doc_id: r.doc_tokens for r in got}
+    for r in rows:
+        if not plain(r.text):
+            assert tokens[r.doc_id] == len(t.encode(r.text, add_special_tokens=False).ids) + 1
