@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from tarn.llm.common import checkpoint
 
 
+#: Edges of a part from the second round on; each part is a checkpoint file.
+ROWS_PER_PART, LEAST_PARTS = 500_000, 8
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """edges: u, v (long). Returns node, root (smallest node reachable) for each node that has an edge to another.
 
@@ -22,7 +26,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = checkpoint(small.unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
+        e = small.unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+        # a round never has more edges than the one before, so its count bounds the next one's files
+        e = checkpoint(e.coalesce(max(LEAST_PARTS, before[0] // ROWS_PER_PART)) if before else e)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             return e.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "node").unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
