@@ -23,7 +23,7 @@ CAPACITY, END_ID, TOKENIZER = 2048, 1, "word_bpe_49k.json"
 #: Sequences that a partition can number.
 PARTITION_SHIFT = 40
 #: Words whose ids a worker keeps.
-KEPT_WORDS = 1 << 18
+KEPT_WORDS = 1 << 19
 
 
 class Levels:
@@ -85,29 +85,82 @@ def pack(lengths: Iterator[int], capacity: int = CAPACITY) -> Iterator[list[tupl
     yield done
 
 
-def word_ids(tokenizer) -> Callable[[list[str]], list[np.ndarray]]:
-    """Texts to ids, equal to the tokenizer's own.
+class WordIds:
+    """Texts to ids, equal to the tokenizer's own, keeping the ids of words seen before (up to KEPT_WORDS).
 
-    Its pre-tokenizer drops white space and its normalizer works within words, so a text's ids are those of its words
-    one after the other. The ids of words seen before are kept (up to KEPT_WORDS), which spares most of the work.
+    The pre-tokenizer drops white space and the normalizer works within words, so a text's ids are those of its words
+    one after the other. A word of Latin letters and at most one full stop or comma after them is two tokens of the
+    pre-tokenizer, whose ids are found apart and whatever the case of the letters; such letters are given to the
+    tokenizer many at a time, each being one of its words, which it ends with a piece that says so.
     """
-    kept: dict[str, bytes] = {"": b""}
-
-    def encode(texts: list[str]) -> list[np.ndarray]:
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        new = list({w for words in split for w in words if w not in kept})
-        fresh = {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(new, tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True)}
-        if len(kept) + len(fresh) > KEPT_WORDS:
-            for w in list(kept)[1 : len(kept) // 2]:
-                del kept[w]
-        table = kept if not fresh else {**fresh, **{w: kept[w] for words in split for w in words if w in kept}}
-        out = [np.frombuffer(b"".join([table[w] for w in words]), "<u4") for words in split]
-        room = KEPT_WORDS - len(kept)
-        for w in new[: max(0, room)]:
-            kept[w] = fresh[w]
+
+    def __init__(self, tokenizer) -> None:
+        self.tokenizer = tokenizer
+        self.kept: dict[str, bytes] = {"": b""}
+        self.cores: dict[str, bytes] = {}
+        size = tokenizer.get_vocab_size()
+        self.last = np.array([(tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
+        self.marks = {m: self.slowly([m])[0] for m in ".,"}
+
+    def slowly(self, words: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def of_letters(self, words: list[str]) -> list[bytes]:
+        out: list[bytes] = []
+        for at in range(0, len(words), 4096):
+            part = words[at : at + 4096]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            ends = (np.flatnonzero(self.last[ids]) + 1).tolist()
+            if len(ends) == len(part):
+                out += [ids[a:b].tobytes() for a, b in zip([0, *ends], ends, strict=False)]
+            else:
+                out += self.slowly(part)
         return out
 
-    return encode
+    def learn(self, words: list[str]) -> dict[str, bytes]:
+        """The ids of words that are not kept."""
+        split, letters, others = {}, {}, []
+        for w in words:
+            core, mark = (w[:-1], w[-1]) if w.endswith((".", ",")) else (w, "")
+            if core.isalpha() and (core.isascii() or max(core) < "\u0250"):
+                core = core.lower()
+                split[w] = core, mark
+                letters[core] = None
+            else:
+                others.append(w)
+        new = [c for c in letters if c not in self.cores]
+        fresh = dict(zip(new, self.of_letters(new), strict=True))
+        cores = {c: fresh[c] if c in fresh else self.cores[c] for c in letters}
+        if len(self.cores) + len(fresh) > KEPT_WORDS:
+            self.cores.clear()
+        self.cores.update(fresh)
+        return dict(zip(others, self.slowly(others), strict=True)) | {w: cores[c] + (self.marks[m] if m else b"") for w, (c, m) in split.items()}
+
+    def __call__(self, texts: list[str]) -> list[np.ndarray]:
+        split, kept = [t.replace("\n", " ").split(" ") for t in texts], self.kept
+        new = self.learn(list({w for words in split for w in words if w not in kept}))
+        if len(kept) + len(new) > KEPT_WORDS:
+            # what these texts need stays until they are done
+            kept = {w: kept[w] for w in {w for words in split for w in words} if w in kept}
+            self.kept = kept
+        kept.update(new)
+        return [np.frombuffer(b"".join([kept[w] for w in words]), "<u4") for words in split]
+
+
+_encoders: dict[str, WordIds] = {}
+
+
+def encoder(path: str | None) -> WordIds:
+    """One for each file and worker; it lives on from task to task."""
+    from tokenizers import Tokenizer
+
+    if path is None:
+        import public_tokenizers
+
+        path = public_tokenizers.path(TOKENIZER)
+    if path not in _encoders:
+        _encoders[path] = WordIds(Tokenizer.from_file(path))
+    return _encoders[path]
 
 
 def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
@@ -121,20 +174,13 @@ def _packer(path: str | None, capacity: int, digests: bool) -> Callable[[Iterato
     schema = arrow_schema(f"doc_id long, start long, length long, {ids_type}, doc_tokens long, sequence_id long, offset long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tokenizers import Tokenizer
-
-        where = path
-        if where is None:
-            import public_tokenizers
-
-            where = public_tokenizers.path(TOKENIZER)
-        encode = word_ids(Tokenizer.from_file(where))
+        encode = encoder(path)
         first = TaskContext.get().partitionId() << PARTITION_SHIFT
         ids: dict[int, tuple] = {}  # of documents with a piece that is not final: at most a window's ids each
         sizes: list[int] = []
 
         def lengths() -> Iterator[int]:
-            for x in columns_of(batches, 128):
+            for x in columns_of(batches, 256):
                 for doc_id, tokens in zip(x["doc_id"], encode([t or "" for t in x["text"]]), strict=True):
                     tokens = np.append(tokens, np.uint32(END_ID))
                     ids[len(sizes)] = (doc_id, tokens)

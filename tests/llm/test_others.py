@@ -83,6 +83,12 @@ def test_decodes_losslessly(vocabulary, text, key, rate):
     assert vocabulary.decode(subwords.Encoder(vocabulary, rate=rate).encode(text, key).tolist()) == text
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet="abethinor ▁,.é", min_size=1, max_size=60), st.sampled_from([0, 1 << 22, 1 << 23]))
+def test_both_agendas_agree(vocabulary, word, limit):
+    assert vocabulary.merged_short(word, 12345, limit) == vocabulary.merged_long(word, 12345, limit)
+
+
 def test_dropout_varies_by_key_and_seed_only(vocabulary):
     text = "international considerations throughout the neighbourhood " * 20
     ids = [subwords.Encoder(vocabulary, rate=0.3).encode(text, k).tolist() for k in range(12)]
@@ -277,15 +283,21 @@ def test_levels_choose_the_least_sum_of_squares():
         assert int((levels.counts[1:24] ** 2).sum()) == best
 
 
-def test_ids_equal_the_tokenizers_own(spark, sf):
+def test_ids_equal_the_tokenizers_own(spark, sf, monkeypatch):
     import public_tokenizers
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path(packing.TOKENIZER))
-    encode = packing.word_ids(t)
-    texts = [r.text for r in read_table(spark, sf, "documents").select("text").collect()] + [t or "" for _, t, *_ in odd_rows()] + ["I'LL don't", "<|endoftext|> a", "ΣΑΣ é ́x", "a\x1fb c　d", "  "]
+    encode = packing.WordIds(t)
+    texts = [r.text for r in read_table(spark, sf, "documents").select("text").collect()] + [t or "" for _, t, *_ in odd_rows()] + ["I'LL don't", "<|endoftext|> a", "ΣΑΣ é ́x", "a\x1fb c　d", "  ", "İstanbul, ŸÇ. a.. ,. x., ª. ß. Ǆ ŉ."]
     for a, b in zip(encode(texts), t.encode_batch(texts, add_special_tokens=False), strict=True):
         assert a.tolist() == b.ids
+    monkeypatch.setattr(packing, "KEPT_WORDS", 50)
+    small = packing.WordIds(t)
+    for at in range(0, len(texts), 16):
+        part = texts[at : at + 16]
+        for a, b in zip(small(part), t.encode_batch(part, add_special_tokens=False), strict=True):
+            assert a.tolist() == b.ids
 
 
 def test_packing_rows(spark, sf, tmp_path):
