@@ -5,8 +5,8 @@ if a keyed hash of (seed, variant, word, left end, right end) falls under the dr
 still cover its place. With rate 0 the result is the library's own. No text that decodes otherwise can come up: a
 literal U+2581, which stands for a space in pieces, is written in bytes, as is any character that has no piece.
 
-Merges never cross the start of a run of spaces (no piece has a space after another character), so a text is encoded
-by words, and a worker keeps the pieces of words it has seen. The variant is a keyed hash of the document's id, one of
+Merges never cross two characters that follow each other in no piece, as at the start of a run of spaces or before a comma, so
+a text is cut there into words, and a worker keeps the pieces of words it has seen. The variant is a keyed hash of the document's id, one of
 VARIANTS: a word may be segmented in so many ways over the corpus, but in one way within a document.
 """
 
@@ -15,6 +15,7 @@ from __future__ import annotations
 import heapq
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,8 +28,9 @@ from tarn.llm.common import arrow_schema, columns_of, read_table
 SEED, RATE, VARIANTS, MODEL = 42, 0.1, 4, "piece_bpe_32k.model"
 SPACE = "▁"
 #: Words whose pieces a worker keeps.
-KEPT_WORDS = 1 << 18
-WORD = re.compile(r" +[^ \n]*|[^ \n]+|\n")
+KEPT_WORDS = 1 << 19
+#: Characters that may begin a word of their own; words of up to SHORT characters take the shorter agenda.
+MARKS, SHORT, NEVER = ".,;:!?", 48, float("inf")
 MASK = (1 << 64) - 1
 
 
@@ -46,39 +48,69 @@ class Vocabulary:
         self.pieces = [sp.id_to_piece(i) for i in range(sp.get_piece_size())]
         self.bytes = {int(p[3:5], 16): i for i, p in enumerate(self.pieces) if sp.is_byte(i)}
         # id and rank of each piece that merges may make; a smaller rank is a better score
-        self.known = {p: (i, -sp.get_score(i)) for i, p in enumerate(self.pieces) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))}
+        known = {p: (i, -sp.get_score(i)) for i, p in enumerate(self.pieces) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))}
+        self.id = {p: i for p, (i, _) in known.items()}
+        self.rank = {p: r for p, (_, r) in known.items() if len(p) > 1}
+        # a full stop, comma or the like that follows a letter in no piece begins a word of its own
+        pairs = {p[k : k + 2] for p in known for k in range(len(p) - 1)}
+        marks = "".join(m for m in MARKS if not any(q[1] == m and q[0].isalpha() for q in pairs))
+        assert not any(q[1] == SPACE and q[0] != SPACE for q in pairs), "a piece has a space after another character"
+        self.word = re.compile(rf" +(?:[^\W\d_]+(?=[{re.escape(marks)}])|[^ \n]*)|[^ \n]+|\n" if marks else r" +[^ \n]*|[^ \n]+|\n")
         self.raw = [bytes([int(p[3:5], 16)]) if sp.is_byte(i) else b"" if sp.is_control(i) or sp.is_unknown(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(self.pieces)]
 
+    def skipped(self, key: int, start: int, end: int, limit: int) -> bool:
+        return ((key + start * 0x9E3779B97F4A7C15 + end * 0xC2B2AE3D27D4EB4F) * 0xD6E8FEB86659FD93 >> 40) & 0xFFFFFF < limit
+
     def merged(self, word: str, key: int, rate: float) -> list[str]:
         """The pieces of a word (with SPACE for spaces) after the agenda is done."""
-        known, n = self.known, len(word)
-        if n == 1:
-            return [word]
-        limit = int(rate * (1 << 32))
+        limit = int(rate * (1 << 24))
+        return self.merged_short(word, key, limit) if len(word) <= SHORT else self.merged_long(word, key, limit)
+
+    def merged_short(self, word: str, key: int, limit: int) -> list[str]:
+        """The agenda is a list by place: its least rank, leftmost first, is what comes up. Quick while it is short."""
+        rank, none, n = self.rank, NEVER, len(word)
+        pieces, starts = list(word), list(range(n + 1))
+        agenda = [rank.get(word[k : k + 2], none) for k in range(n - 1)]
+        while agenda and (best := min(agenda)) < none:
+            k = agenda.index(best)
+            if limit and self.skipped(key, starts[k], starts[k + 2], limit):
+                agenda[k] = none
+                continue
+            made = pieces[k] = pieces[k] + pieces[k + 1]
+            del pieces[k + 1], starts[k + 1], agenda[k]
+            if k:
+                agenda[k - 1] = rank.get(pieces[k - 1] + made, none)
+            if k < len(agenda):
+                agenda[k] = rank.get(made + pieces[k + 1], none)
+        return pieces
+
+    def merged_long(self, word: str, key: int, limit: int) -> list[str]:
+        """The same with a heap, for time n log n."""
+        rank, n = self.rank, len(word)
         piece: list[str | None] = list(word)
         left, right = list(range(-1, n - 1)), [*range(1, n), -1]
-        agenda = [(known[p][1], k, p) for k in range(n - 1) if (p := word[k : k + 2]) in known]
+        agenda = [(rank[p], k, p) for k in range(n - 1) if (p := word[k : k + 2]) in rank]
         heapq.heapify(agenda)
         while agenda:
             _, at, made = heapq.heappop(agenda)
             a = piece[at]
             if a is None or (b_at := right[at]) < 0 or len(a) + len(piece[b_at]) != len(made):
                 continue  # one of the two has been merged meanwhile
-            if limit and (((key ^ (at << 32 | at + len(made))) * 0x9E3779B97F4A7C15 & MASK) * 0xD6E8FEB86659FD93 & MASK) >> 32 < limit:
+            if limit and self.skipped(key, at, at + len(made), limit):
                 continue
             piece[at], piece[b_at] = made, None
             after = right[at] = right[b_at]
             if after >= 0:
                 left[after] = at
-                if (p := made + piece[after]) in known:
-                    heapq.heappush(agenda, (known[p][1], at, p))
+                if (p := made + piece[after]) in rank:
+                    heapq.heappush(agenda, (rank[p], at, p))
             before = left[at]
-            if before >= 0 and (p := piece[before] + made) in known:
-                heapq.heappush(agenda, (known[p][1], before, p))
+            if before >= 0 and (p := piece[before] + made) in rank:
+                heapq.heappush(agenda, (rank[p], before, p))
         return [p for p in piece if p is not None]
 
     def ids_of_word(self, word: str, seed: int, variant: int, rate: float) -> list[int]:
-        """word: as WORD finds it. Spaces become SPACE first; a literal SPACE stays apart and becomes bytes."""
+        """word: as the pattern word finds it. Spaces become SPACE first; a literal SPACE stays apart and becomes bytes."""
         key = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"), seed * VARIANTS + variant & MASK)
         if SPACE in word:
             out: list[int] = []
@@ -87,8 +119,8 @@ class Vocabulary:
             return out
         out = []
         for p in self.merged(word.replace(" ", SPACE), key, rate):
-            if (got := self.known.get(p)) is not None:
-                out.append(got[0])
+            if (got := self.id.get(p)) is not None:
+                out.append(got)
             else:
                 out += [self.bytes[b] for b in p.encode("utf-8", "surrogatepass")]
         return out
@@ -115,10 +147,10 @@ class Encoder:
             return np.zeros(0, np.uint16)
         v = self.variant(key)
         kept, out = self.kept[v], []
-        for word in WORD.findall(" " + text):
+        for word in self.vocabulary.word.findall(" " + text):
             got = kept.get(word)
             if got is None:
-                got = np.array(self.vocabulary.ids_of_word(word, self.seed, v, self.rate), np.uint16).tobytes()
+                got = array("H", self.vocabulary.ids_of_word(word, self.seed, v, self.rate)).tobytes()
                 if len(kept) >= self.most // VARIANTS:
                     kept.clear()
                 kept[word] = got
@@ -126,15 +158,25 @@ class Encoder:
         return np.frombuffer(b"".join(out), np.uint16)
 
 
+_encoders: dict[tuple, Encoder] = {}
+
+
+def encoder(path: str | None, seed: int, rate: float) -> Encoder:
+    """One for each setting and worker; it lives on from task to task."""
+    if (path, seed, rate) not in _encoders:
+        _encoders[path, seed, rate] = Encoder(Vocabulary(path), seed, rate)
+    return _encoders[path, seed, rate]
+
+
 def encode_column(docs: DataFrame, path: str | None = None, seed: int = SEED, rate: float = RATE) -> DataFrame:
     """A row per row of docs: doc_id, ids (array), n_tokens, ids_crc32 (32-bit little-endian ids). A null text is empty."""
     ddl = "doc_id long, ids array<int>, n_tokens long, ids_crc32 long"
     schema = arrow_schema(ddl)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(Vocabulary(path), seed, rate)
+        encode = encoder(path, seed, rate).encode
         for x in columns_of(batches, 128):
-            ids = [encoder.encode(t or "", d).astype("<i4") for d, t in zip(x["doc_id"], x["text"], strict=True)]
+            ids = [encode(t or "", d).astype("<i4") for d, t in zip(x["doc_id"], x["text"], strict=True)]
             ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
             flat = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*ids, np.zeros(0, "<i4")]), pa.int32()))
             yield pa.RecordBatch.from_arrays([pa.array(x["doc_id"], pa.int64()), flat.cast(schema.field("ids").type), pa.array(np.diff(ends).astype(np.int64)), pa.array([zlib.crc32(i.tobytes()) for i in ids], pa.int64())], schema=schema)
