@@ -9,7 +9,9 @@ end to end and cut at the window's edge, so that a partition leaves at most one
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -22,6 +24,8 @@ from tarn.llm.common import arrow_schema, columns_of, read_table
 CAPACITY, END_ID, TOKENIZER = 2048, 1, "word_bpe_49k.json"
 #: Sequences that a partition can number.
 PARTITION_SHIFT = 40
+#: Latin letters (without the one that two characters are the small form of), and at most one mark after them.
+LATIN = re.compile("([A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+)([.,]?)").fullmatch
 #: Words whose ids a worker keeps.
 KEPT_WORDS = 1 << 19
 
@@ -90,61 +94,53 @@ class WordIds:
 
     The pre-tokenizer drops white space and the normalizer works within words, so a text's ids are those of its words
     one after the other. A word of Latin letters and at most one full stop or comma after them is two tokens of the
-    pre-tokenizer, whose ids are found apart and whatever the case of the letters; such letters are given to the
-    tokenizer many at a time, each being one of its words, which it ends with a piece that says so.
+    pre-tokenizer, whose ids are found apart and whatever the case of the letters.
     """
 
     def __init__(self, tokenizer) -> None:
+        from tokenizers import pre_tokenizers
+
         self.tokenizer = tokenizer
         self.kept: dict[str, bytes] = {"": b""}
         self.cores: dict[str, bytes] = {}
-        size = tokenizer.get_vocab_size()
-        self.last = np.array([(tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
-        self.marks = {m: self.slowly([m])[0] for m in ".,"}
+        byte_level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.table = {c: byte_level.pre_tokenize_str(chr(c))[0][0] for c in range(128, 0x250) if chr(c).isalpha()}
+        self.marks = {"": b"", **{m: self.slowly([m])[0] for m in ".,"}}
 
     def slowly(self, words: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
-    def of_letters(self, words: list[str]) -> list[bytes]:
-        out: list[bytes] = []
-        for at in range(0, len(words), 4096):
-            part = words[at : at + 4096]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
-            ends = (np.flatnonzero(self.last[ids]) + 1).tolist()
-            if len(ends) == len(part):
-                out += [ids[a:b].tobytes() for a, b in zip([0, *ends], ends, strict=False)]
-            else:
-                out += self.slowly(part)
-        return out
+    def of_letters(self, word: str) -> bytes:
+        """Small Latin letters are in their normal form and one word of the pre-tokenizer, so only the model is left to do."""
+        return array("I", [t.id for t in self.tokenizer.model.tokenize(word if word.isascii() else word.translate(self.table))]).tobytes()
 
     def learn(self, words: list[str]) -> dict[str, bytes]:
         """The ids of words that are not kept."""
-        split, letters, others = {}, {}, []
+        split, letters, others = {}, set(), []
         for w in words:
-            core, mark = (w[:-1], w[-1]) if w.endswith((".", ",")) else (w, "")
-            if core.isalpha() and (core.isascii() or max(core) < "\u0250"):
-                core = core.lower()
-                split[w] = core, mark
-                letters[core] = None
+            if m := LATIN(w):
+                core = m[1].lower()
+                split[w] = core, m[2]
+                letters.add(core)
             else:
                 others.append(w)
-        new = [c for c in letters if c not in self.cores]
-        fresh = dict(zip(new, self.of_letters(new), strict=True))
-        cores = {c: fresh[c] if c in fresh else self.cores[c] for c in letters}
-        if len(self.cores) + len(fresh) > KEPT_WORDS:
-            self.cores.clear()
-        self.cores.update(fresh)
-        return dict(zip(others, self.slowly(others), strict=True)) | {w: cores[c] + (self.marks[m] if m else b"") for w, (c, m) in split.items()}
+        cores = self.cores
+        if len(cores) + len(letters) > KEPT_WORDS:
+            cores.clear()
+        for c in letters.difference(cores):
+            cores[c] = self.of_letters(c)
+        return dict(zip(others, self.slowly(others), strict=True)) | {w: cores[c] + self.marks[m] for w, (c, m) in split.items()}
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         split, kept = [t.replace("\n", " ").split(" ") for t in texts], self.kept
-        new = self.learn(list({w for words in split for w in words if w not in kept}))
+        words = set().union(*split)
+        new = self.learn(list(words.difference(kept)))
         if len(kept) + len(new) > KEPT_WORDS:
             # what these texts need stays until they are done
-            kept = {w: kept[w] for w in {w for words in split for w in words} if w in kept}
+            kept = {w: kept[w] for w in words.intersection(kept)}
             self.kept = kept
         kept.update(new)
-        return [np.frombuffer(b"".join([kept[w] for w in words]), "<u4") for words in split]
+        return [np.frombuffer(b"".join(map(kept.__getitem__, words)), "<u4") for words in split]
 
 
 _encoders: dict[str, WordIds] = {}
