@@ -25,15 +25,20 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tarn.llm.common import arrow_schema, columns_of, read_table
 
-SEED, RATE, VARIANTS, MODEL = 42, 0.1, 4, "piece_bpe_32k.model"
+SEED, RATE, VARIANTS, MODEL = 42, 0.1, 3, "piece_bpe_32k.model"
 SPACE = "▁"
 #: Words whose pieces a worker keeps.
-KEPT_WORDS = 1 << 19
+KEPT_WORDS = 1 << 20
 #: Characters that may begin a word of their own; words of up to SHORT characters take the shorter agenda.
 MARKS, SHORT, NEVER = ".,;:!?", 48, float("inf")
 MASK = (1 << 64) - 1
 
 
+def skipped(key: int, start: int, end: int) -> int:
+    """24 bits for a candidate; it is skipped if they are under rate * 2^24."""
+    return ((key + start * 0x9E3779B1 + end * 0xC2B2AE3D27D4EB4F) * 0xD6E8FEB86659FD93 >> 40) & 0xFFFFFF
+
+
 class Vocabulary:
     """Pieces, scores and the byte pieces of a model, and what encoding and decoding need of them."""
 
@@ -58,9 +63,6 @@ class Vocabulary:
         self.word = re.compile(rf" +(?:[^\W\d_]+(?=[{re.escape(marks)}])|[^ \n]*)|[^ \n]+|\n" if marks else r" +[^ \n]*|[^ \n]+|\n")
         self.raw = [bytes([int(p[3:5], 16)]) if sp.is_byte(i) else b"" if sp.is_control(i) or sp.is_unknown(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(self.pieces)]
 
-    def skipped(self, key: int, start: int, end: int, limit: int) -> bool:
-        return ((key + start * 0x9E3779B97F4A7C15 + end * 0xC2B2AE3D27D4EB4F) * 0xD6E8FEB86659FD93 >> 40) & 0xFFFFFF < limit
-
     def merged(self, word: str, key: int, rate: float) -> list[str]:
         """The pieces of a word (with SPACE for spaces) after the agenda is done."""
         limit = int(rate * (1 << 24))
@@ -68,20 +70,20 @@ class Vocabulary:
 
     def merged_short(self, word: str, key: int, limit: int) -> list[str]:
         """The agenda is a list by place: its least rank, leftmost first, is what comes up. Quick while it is short."""
-        rank, none, n = self.rank, NEVER, len(word)
-        pieces, starts = list(word), list(range(n + 1))
-        agenda = [rank.get(word[k : k + 2], none) for k in range(n - 1)]
+        get, none = self.rank.get, NEVER
+        pieces, starts = list(word), list(range(len(word) + 1))
+        agenda = [get(a + b, none) for a, b in zip(word, word[1:])]  # noqa: B905
         while agenda and (best := min(agenda)) < none:
             k = agenda.index(best)
-            if limit and self.skipped(key, starts[k], starts[k + 2], limit):
+            if limit and skipped(key, starts[k], starts[k + 2]) < limit:
                 agenda[k] = none
                 continue
-            made = pieces[k] = pieces[k] + pieces[k + 1]
-            del pieces[k + 1], starts[k + 1], agenda[k]
+            made = pieces[k] = pieces[k] + pieces.pop(k + 1)
+            del starts[k + 1], agenda[k]
             if k:
-                agenda[k - 1] = rank.get(pieces[k - 1] + made, none)
+                agenda[k - 1] = get(pieces[k - 1] + made, none)
             if k < len(agenda):
-                agenda[k] = rank.get(made + pieces[k + 1], none)
+                agenda[k] = get(made + pieces[k + 1], none)
         return pieces
 
     def merged_long(self, word: str, key: int, limit: int) -> list[str]:
@@ -96,7 +98,7 @@ class Vocabulary:
             a = piece[at]
             if a is None or (b_at := right[at]) < 0 or len(a) + len(piece[b_at]) != len(made):
                 continue  # one of the two has been merged meanwhile
-            if limit and self.skipped(key, at, at + len(made), limit):
+            if limit and skipped(key, at, at + len(made)) < limit:
                 continue
             piece[at], piece[b_at] = made, None
             after = right[at] = right[b_at]
@@ -146,16 +148,12 @@ class Encoder:
         if not text:
             return np.zeros(0, np.uint16)
         v = self.variant(key)
-        kept, out = self.kept[v], []
-        for word in self.vocabulary.word.findall(" " + text):
-            got = kept.get(word)
-            if got is None:
-                got = array("H", self.vocabulary.ids_of_word(word, self.seed, v, self.rate)).tobytes()
-                if len(kept) >= self.most // VARIANTS:
-                    kept.clear()
-                kept[word] = got
-            out.append(got)
-        return np.frombuffer(b"".join(out), np.uint16)
+        kept, words = self.kept[v], self.vocabulary.word.findall(" " + text)
+        if len(kept) >= self.most // VARIANTS:
+            kept.clear()
+        for word in set(words).difference(kept):
+            kept[word] = array("H", self.vocabulary.ids_of_word(word, self.seed, v, self.rate)).tobytes()
+        return np.frombuffer(b"".join(map(kept.__getitem__, words)), np.uint16)
 
 
 _encoders: dict[tuple, Encoder] = {}
