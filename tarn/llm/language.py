@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from tarn.llm.common import map_columns, read_table
 
 #: Expected rows of each label that the model is fitted on, and the most labels; together they bound what comes to the driver.
-SAMPLE, MOST_LABELS = 1000, 200
+SAMPLE, MOST_LABELS = 500, 200
 BITS, ORDERS = 12, (1, 2, 3, 4)
 EPOCHS, C = 12, 10.0
 HELD_OUT = 2
@@ -64,17 +64,22 @@ def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     return at.astype(np.int32), (values / np.linalg.norm(values)).astype(np.float32)
 
 
-def fit_svm(x: np.ndarray, y: np.ndarray, c: float = C, epochs: int = EPOCHS) -> np.ndarray:
-    """Weights and, last, the bias; y is 1 or -1. Dual coordinate descent for the squared hinge, classes weighted alike."""
-    x = np.hstack([x, np.ones((len(x), 1), np.float32)])
-    cost = np.where(y > 0, c * len(y) / (2 * max(1, (y > 0).sum())), c * len(y) / (2 * max(1, (y < 0).sum())))
-    w, a, diagonal = np.zeros(x.shape[1]), np.zeros(len(x)), 0.5 / cost
-    q, rng = (x.astype(np.float64) ** 2).sum(axis=1) + diagonal, np.random.default_rng(42)
+Row = tuple[np.ndarray, np.ndarray]
+
+
+def fit_svm(rows: list[Row], y: np.ndarray, c: float = C, epochs: int = EPOCHS) -> np.ndarray:
+    """Weights and, last, the bias; y is 1 or -1, a row's values have length 1. Dual coordinate descent for the squared hinge, classes weighted alike."""
+    n, up = len(y), max(1, int((y > 0).sum()))
+    diagonal = np.where(y > 0, up, max(1, n - up)) / (c * n)
+    w, a, rng = np.zeros((1 << BITS) + 1), np.zeros(n), np.random.default_rng(42)
     for _ in range(epochs):
-        for k in rng.permutation(len(x)):
-            new = max(0.0, a[k] - (y[k] * (x[k] @ w) - 1 + diagonal[k] * a[k]) / q[k])
+        for k in rng.permutation(n):
+            at, values = rows[k]
+            new = max(0.0, a[k] - (y[k] * (w[at] @ values + w[-1]) - 1 + diagonal[k] * a[k]) / (2 + diagonal[k]))
             if new != a[k]:
-                w += (new - a[k]) * y[k] * x[k]
+                step = (new - a[k]) * y[k]
+                w[at] += step * values
+                w[-1] += step
                 a[k] = new
     return w
 
@@ -82,14 +87,14 @@ def fit_svm(x: np.ndarray, y: np.ndarray, c: float = C, epochs: int = EPOCHS) ->
 class Hierarchy:
     """The fitted model: one SVM per family against the rest, one per pair of languages of a family."""
 
-    def __init__(self, x: np.ndarray, langs: list[str]) -> None:
+    def __init__(self, rows: list[Row], langs: list[str]) -> None:
         self.labels = sorted(set(langs))
         of = np.array([family_of(v) for v in langs])
         lang = np.array(langs)
         self.families = sorted(set(of.tolist()))
         self.members = {f: sorted(set(lang[of == f].tolist())) for f in self.families}
-        self.top = np.array([fit_svm(x, np.where(of == f, 1, -1)) for f in self.families]) if len(self.families) > 1 else np.zeros((1, x.shape[1] + 1))
-        self.pairs = {(a, b): fit_svm(x[m], np.where(lang[m] == a, 1, -1)) for f in self.families for a, b in combinations(self.members[f], 2) if (m := (lang == a) | (lang == b)).any()}
+        self.top = np.array([fit_svm(rows, np.where(of == f, 1, -1)) for f in self.families]) if len(self.families) > 1 else np.zeros((1, (1 << BITS) + 1))
+        self.pairs = {(a, b): fit_svm([rows[k] for k in m], np.where(lang[m] == a, 1, -1)) for f in self.families for a, b in combinations(self.members[f], 2) if len(m := np.flatnonzero((lang == a) | (lang == b)))}
 
     def predict(self, at: np.ndarray, values: np.ndarray) -> tuple[str, float]:
         """Language and score: how sure the family and the closest duel are, through the logistic function."""
@@ -132,10 +137,7 @@ def fit(docs: DataFrame) -> Hierarchy | None:
     rows.sort(key=lambda r: (r[0], r[1].tobytes(), r[2].tobytes()))  # the same order each time
     if not rows:
         return None
-    x = np.zeros((len(rows), 1 << BITS), np.float32)
-    for k, (_, at, values) in enumerate(rows):
-        x[k, at] = values
-    return Hierarchy(x, [r[0] for r in rows])
+    return Hierarchy([(at, values) for _, at, values in rows], [r[0] for r in rows])
 
 
 def predicted(model: Hierarchy | None, text: str | None) -> tuple[str, float]:
