@@ -98,8 +98,10 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     alone = marked.where(~F.col("maybe")).select(ROW_ID, "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
     maybe = marked.where("maybe").select(ROW_ID, "doc_id", "text_sha256")
     groups = maybe.groupBy("text_sha256").agg(F.max(F.struct("doc_id", ROW_ID)).alias("keep"), F.count("*").alias("group_size"))
-    # a hot group is one row on the right; its rows on the left are split by AQE's skew join
-    grouped = maybe.join(groups, "text_sha256").select(ROW_ID, "doc_id", F.col("keep.doc_id").alias("keep_id"), "group_size", (F.col(ROW_ID) == F.col(f"keep.{ROW_ID}")).alias("kept"), "text_sha256")
+    # A hot group is one row on the right. Its name there is computed anew, so that the right side has a shuffle of its own, after the
+    # aggregation: only then may Spark split the hot partition of the left side.
+    groups = groups.select(F.substring("text_sha256", 1, 64).alias("of"), "keep", "group_size")
+    grouped = maybe.join(groups, F.col("text_sha256") == F.col("of")).select(ROW_ID, "doc_id", F.col("keep.doc_id").alias("keep_id"), "group_size", (F.col(ROW_ID) == F.col(f"keep.{ROW_ID}")).alias("kept"), "text_sha256")
     return alone.unionByName(grouped)
 
 
