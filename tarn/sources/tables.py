@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tarn.session import share_package
+
 
 class Tables:
     """Tables of a folder by attribute: Tables(spark, dir).lineitem."""
 
     def __init__(self, spark: SparkSession, sf_dir: str, kind: str = "parquet") -> None:
+        share_package(spark)
         self.spark, self.dir, self.kind = spark, sf_dir, kind
 
     def __getattr__(self, name: str) -> DataFrame:
