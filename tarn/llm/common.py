@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tarn.session import share_package
+
 #: Rows that a Python function sees at once; keeps the Python copies of long texts small.
 SLICE_ROWS = 512
 #: Name of the column that tells rows apart, null or repeated doc_ids included.
@@ -17,11 +19,13 @@ ROW_ID = "__row_id"
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    share_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def with_row_id(docs: DataFrame, name: str = ROW_ID) -> DataFrame:
     """Adds a column that numbers rows. docs must be a plain scan (or narrow steps over one), so that the ids are the same each time it is computed."""
+    share_package(docs.sparkSession)
     return docs.withColumn(name, F.monotonically_increasing_id())
 
 
@@ -46,6 +50,13 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder in whatever file system it is."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(conf).delete(where, True)
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """df written to the shared folder and read back: it survives lost executors and cuts the lineage."""
     shared_dir(df.sparkSession)
@@ -71,6 +82,7 @@ def columns_of(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Ite
 def map_columns(df: DataFrame, function: Callable[[Iterator[dict[str, list]]], Iterator[dict[str, list]]], out: str | T.StructType, rows: int = SLICE_ROWS) -> DataFrame:
     """mapInArrow for functions from dicts of column lists to dicts of column lists (or arrays)."""
     schema = arrow_schema(out)
+    share_package(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for made in function(columns_of(batches, rows)):

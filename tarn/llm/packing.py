@@ -20,6 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
 from tarn.llm.common import arrow_schema, columns_of, read_table
+from tarn.session import share_package
 
 CAPACITY, END_ID, TOKENIZER = 2048, 1, "word_bpe_49k.json"
 #: Sequences that a partition can number.
@@ -162,6 +163,7 @@ def encoder(path: str | None) -> WordIds:
 def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
     """docs to pieces: doc_id, start, length, ids (array), doc_tokens, sequence_id, offset. A null text is empty (the end id
     alone). path: the tokenizer's file; by default the public one that is installed on each machine."""
+    share_package(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(_packer(path, capacity, False), "doc_id long, start long, length long, ids array<int>, doc_tokens long, sequence_id long, offset long")
 
 
@@ -206,6 +208,7 @@ def _packer(path: str | None, capacity: int, digests: bool) -> Callable[[Iterato
 
 
 def packed_digests(docs: DataFrame, path: str | None = None) -> DataFrame:
+    share_package(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(_packer(path, CAPACITY, True), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 
 
