@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarn.llm.common import ROW_ID, arrow_schema, checkpoint, map_columns, read_table, with_row_id, without_rows
-from tarn.llm.components import connected_components
+from tarn.llm.components import again, connected_components
 
 SEED, SHINGLE, RADIUS, BLOCKS = 42, 3, 3, 5
 #: Shingles whose bits are counted at once.
@@ -172,11 +172,11 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     """
     prints = checkpoint(map_columns(with_row_id(docs.select("doc_id", "text")), _fingerprints, f"{ROW_ID} long, doc_id long, fp long"))
     # equal fingerprints are one node, so a large group of copies is one row from here on
-    nodes = checkpoint(prints.groupBy("fp").agg(F.min(ROW_ID).alias("node"), F.min("doc_id").alias("least"), F.min(F.struct(F.coalesce(F.col("doc_id"), F.lit((1 << 63) - 1)).alias("d"), F.col(ROW_ID).alias("r"))).alias("keep")))
+    nodes = prints.groupBy("fp").agg(F.min(ROW_ID).alias("node"), F.min("doc_id").alias("least"), F.min(F.struct(F.coalesce(F.col("doc_id"), F.lit((1 << 63) - 1)).alias("d"), F.col(ROW_ID).alias("r"))).alias("keep"))
     joined = connected_components(near_links(nodes.select("node", "fp")))
     rooted = nodes.join(joined, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    tops = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.min("keep").alias("keep"))
-    named = rooted.select("fp", "root").join(tops, "root").select("fp", "component_id", F.col("keep.r").alias("keep_row"))
+    tops = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.min("keep").alias("keep")).withColumn("top", again("root")).drop("root")
+    named = rooted.select("fp", "root").join(tops, F.col("root") == F.col("top")).select("fp", "component_id", F.col("keep.r").alias("keep_row"))
     return prints.join(named, "fp").select(ROW_ID, "doc_id", "fp", "component_id", "keep_row")
 
 
