@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarn.llm.common import checkpoint
@@ -12,6 +12,12 @@ from tarn.llm.common import checkpoint
 ROWS_PER_PART, LEAST_PARTS = 500_000, 8
 
 
+def again(column: str) -> Column:
+    """The same number as an expression: a join on it shuffles its side after the aggregation, and so Spark may split a
+    node with very many edges on the other side."""
+    return F.bitwise_not(F.bitwise_not(column))
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """edges: u, v (long). Returns node, root (smallest node reachable) for each node that has an edge to another.
 
@@ -22,10 +28,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
     before = None
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")).select(again("u").alias("of"), "m")
+        large = both.join(least, F.col("u") == F.col("of")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = large.join(low.select(again("u").alias("of"), "m"), F.col("u") == F.col("of")).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = small.unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         # a round never has more edges than the one before, so its count bounds the next one's files
         e = checkpoint(e.coalesce(max(LEAST_PARTS, before[0] // ROWS_PER_PART)) if before else e)
