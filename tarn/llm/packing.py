@@ -90,8 +90,8 @@ def pack(lengths: Iterator[int], capacity: int = CAPACITY) -> Iterator[list[tupl
     yield done
 
 
-class WordIds:
-    """Texts to ids, equal to the tokenizer's own, keeping the ids of words seen before (up to KEPT_WORDS).
+class WordIds(dict):
+    """Texts to ids, equal to the tokenizer's own; as a dict, the ids (bytes) of words seen so far, up to about KEPT_WORDS.
 
     The pre-tokenizer drops white space and the normalizer works within words, so a text's ids are those of its words
     one after the other. A word of Latin letters and at most one full stop or comma after them is two tokens of the
@@ -101,47 +101,38 @@ class WordIds:
     def __init__(self, tokenizer) -> None:
         from tokenizers import pre_tokenizers
 
+        super().__init__()
         self.tokenizer = tokenizer
-        self.kept: dict[str, bytes] = {"": b""}
         self.cores: dict[str, bytes] = {}
         byte_level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.table = {c: byte_level.pre_tokenize_str(chr(c))[0][0] for c in range(128, 0x250) if chr(c).isalpha()}
-        self.marks = {"": b"", **{m: self.slowly([m])[0] for m in ".,"}}
+        self.marks = {"": b"", **{m: self.slowly(m) for m in ".,"}}
 
-    def slowly(self, words: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+    def slowly(self, word: str) -> bytes:
+        return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
 
     def of_letters(self, word: str) -> bytes:
         """Small Latin letters are in their normal form and one word of the pre-tokenizer, so only the model is left to do."""
         return array("I", [t.id for t in self.tokenizer.model.tokenize(word if word.isascii() else word.translate(self.table))]).tobytes()
 
-    def learn(self, words: list[str]) -> dict[str, bytes]:
-        """The ids of words that are not kept."""
-        split, letters, others = {}, set(), []
-        for w in words:
-            if m := LATIN(w):
-                core = m[1].lower()
-                split[w] = core, m[2]
-                letters.add(core)
-            else:
-                others.append(w)
-        cores = self.cores
-        if len(cores) + len(letters) > KEPT_WORDS:
-            cores.clear()
-        for c in letters.difference(cores):
-            cores[c] = self.of_letters(c)
-        return dict(zip(others, self.slowly(others), strict=True)) | {w: cores[c] + self.marks[m] for w, (c, m) in split.items()}
+    def __missing__(self, word: str) -> bytes:
+        if m := LATIN(word):
+            core = m[1].lower()
+            ids = self.cores.get(core)
+            if ids is None:
+                ids = self.cores[core] = self.of_letters(core)
+            ids += self.marks[m[2]]
+        else:
+            ids = self.slowly(word) if word else b""
+        self[word] = ids
+        return ids
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        split, kept = [t.replace("\n", " ").split(" ") for t in texts], self.kept
-        words = set().union(*split)
-        new = self.learn(list(words.difference(kept)))
-        if len(kept) + len(new) > KEPT_WORDS:
-            # what these texts need stays until they are done
-            kept = {w: kept[w] for w in words.intersection(kept)}
-            self.kept = kept
-        kept.update(new)
-        return [np.frombuffer(b"".join(map(kept.__getitem__, words)), "<u4") for words in split]
+        if len(self) > KEPT_WORDS:
+            self.clear()
+        if len(self.cores) > KEPT_WORDS // 2:
+            self.cores.clear()
+        return [np.frombuffer(b"".join(map(self.__getitem__, t.replace("\n", " ").split(" "))), "<u4") for t in texts]
 
 
 _encoders: dict[str, WordIds] = {}
