@@ -1,8 +1,9 @@
-"""Lets Python workers import this package where the driver found it, whatever folder they start in."""
+"""What holds for a whole session: Python workers import this package where the driver found it, and files go to a shared folder."""
 
 from __future__ import annotations
 
 import os
+import tempfile
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -15,3 +16,11 @@ def share_package(spark: SparkSession) -> None:
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if ROOT not in paths:
         env["PYTHONPATH"] = os.pathsep.join([ROOT, *paths])
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, as the cluster names it; a temporary one only where none is named (tests)."""
+    sc = spark.sparkContext
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tarn-checkpoint-"))
+    return sc.getCheckpointDir()

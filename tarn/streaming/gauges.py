@@ -2,17 +2,46 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tarn.session import shared_folder
+
+#: ts (without a time zone) read as UTC, so that windows begin at the same points in any session's zone.
+AT = "timestamp_micros(timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts))"
+
+def stream_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table as a stream of its files; a pattern, since a stream's base path may not be a single file."""
+    schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}.parquet*")
+
+
+def settled(gauge: DataFrame) -> DataFrame:
+    """The rows of a streaming aggregation once all that is there has been read, windows that are still open included.
+
+    Each batch writes the whole state anew under its own number, so one that is repeated after a failure changes nothing.
+    """
+    spark, done = gauge.sparkSession, []
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+
+    def put(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{folder}/rows-{batch}")
+        done.append(batch)
+
+    query = gauge.writeStream.outputMode("complete").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).foreachBatch(put).start()
+    query.awaitTermination()
+    return spark.read.parquet(f"{folder}/rows-{max(done)}")
+
 
 def max_gauge(events: DataFrame, interval: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """event_type, start, value: the largest value of each interval."""
-    at = events.withColumn("at", F.col("ts").cast("timestamp"))
+    at = events.withColumn("at", F.expr(AT))
     return at.withWatermark("at", late).groupBy("event_type", F.window("at", interval).alias("w")).agg(F.max("value").alias("value")).select("event_type", F.col("w.start").alias("start"), "value")
 
 
 def sliding_load(events: DataFrame, length: str = "1 hour", step: str = "15 minutes", late: str = "10 minutes") -> DataFrame:
     """event_type, start, n, value: count and sum over sliding windows."""
-    at = events.withColumn("at", F.col("ts").cast("timestamp"))
+    at = events.withColumn("at", F.expr(AT))
     return at.withWatermark("at", late).groupBy("event_type", F.window("at", length, step).alias("w")).agg(F.count("*").alias("n"), F.sum("value").alias("value")).select("event_type", F.col("w.start").alias("start"), "n", "value")

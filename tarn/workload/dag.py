@@ -44,7 +44,12 @@ def drop_map(dag: DataFrame) -> DataFrame:
     return counts.join(full, ["query", "producer"]).where("n = all").groupBy("query", "producer").agg(F.min("top").cast("long").alias("drop_stage")).withColumn("producer", F.col("producer").cast("long"))
 
 
+#: A small graph table for tests and queries.
+EXAMPLE = [
+    ("a", 0, 8, [], []), ("a", 1, 4, [0], []), ("a", 2, 1, [1], []), ("b", 0, 72, [], []), ("b", 1, 17, [], []), ("b", 2, 16, [0, 1], []),
+    ("b", 3, 3, [], []), ("b", 4, 16, [2, 3], []), ("b", 5, 16, [2, 4], [2]), ("b", 6, 1, [5], []),
+]
+
+
 def example(spark: SparkSession) -> DataFrame:
-    """A small graph table for tests and queries."""
-    rows = [("a", 0, 8, [], []), ("a", 1, 4, [0], []), ("a", 2, 1, [1], []), ("b", 0, 72, [], []), ("b", 1, 17, [], []), ("b", 2, 16, [0, 1], []), ("b", 3, 3, [], []), ("b", 4, 16, [2, 3], []), ("b", 5, 16, [2, 4], [2]), ("b", 6, 1, [5], [])]
-    return spark.createDataFrame(rows, SCHEMA)
+    return spark.createDataFrame(EXAMPLE, SCHEMA)

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarn.functions.columns import money
 from tarn.sources.tables import Tables
+from tarn.streaming import gauges
 from tarn.workload import dag, generate, simulate, strategies
 from tarn.workload.demand import demand, event_intervals, max_gauge
 
@@ -195,11 +196,37 @@ def executor_sweep(spark: SparkSession, sf: str) -> DataFrame:
     return simulate.executor_sweep(rows, spark.range(4, 33, 4).withColumnRenamed("id", "executors"))
 
 
-@add()
+GRAPH = "dag(query, stage, num_tasks, deps) AS (VALUES " + ", ".join(f"('{q}', {s}, {n}, {d}::integer[])" for q, s, n, d, _ in dag.EXAMPLE) + """),
+ed AS (SELECT query, unnest(deps) AS producer, stage AS consumer FROM dag)"""
+
+
+@add(f"""WITH {GRAPH}, o AS (SELECT e.query, e.producer, count(*) AS n, sum(d.num_tasks) AS readers FROM ed e JOIN dag d ON d.query = e.query AND d.stage = e.consumer GROUP BY 1, 2)
+SELECT d.query, d.stage, cast(d.num_tasks AS bigint) AS num_tasks, cast(len(d.deps) AS bigint) AS fan_in, coalesce(o.n, 0) AS fan_out, cast(d.num_tasks * coalesce(o.readers, 0) AS bigint) AS shuffle_parts
+FROM dag d LEFT JOIN o ON o.query = d.query AND o.producer = d.stage""")
 def dag_summary(spark: SparkSession, sf: str) -> DataFrame:
     return dag.stage_summary(dag.example(spark))
 
 
-@add()
+@add(f"""WITH RECURSIVE {GRAPH}, reach(query, top, under) AS (SELECT query, stage, stage FROM dag UNION SELECT r.query, r.top, e.producer FROM reach r JOIN ed e ON e.query = r.query AND e.consumer = r.under),
+held AS (SELECT r.query, r.top, e.producer, count(DISTINCT e.consumer) AS n FROM reach r JOIN ed e ON e.query = r.query AND e.consumer = r.under GROUP BY 1, 2, 3)
+SELECT h.query, cast(h.producer AS bigint) AS producer, cast(min(h.top) AS bigint) AS drop_stage FROM held h
+WHERE h.n = (SELECT count(*) FROM ed WHERE ed.query = h.query AND ed.producer = h.producer) GROUP BY 1, 2""")
 def dag_drop_map(spark: SparkSession, sf: str) -> DataFrame:
     return dag.drop_map(dag.example(spark))
+
+
+def since_epoch(seconds: int) -> Column:
+    return (F.unix_seconds("start") / seconds).cast("long")
+
+
+@add("SELECT event_type, cast(floor(epoch(ts) / 3600) AS bigint) AS hour, max(value) AS value FROM events WHERE ts IS NOT NULL GROUP BY 1, 2")
+def stream_max_gauge(spark: SparkSession, sf: str) -> DataFrame:
+    found = gauges.settled(gauges.max_gauge(gauges.stream_table(spark, sf, "events")))
+    return found.select("event_type", since_epoch(3600).alias("hour"), "value")
+
+
+@add("""SELECT event_type, cast(floor(epoch(ts) / 900) AS bigint) * 15 - back AS minute, count(*) AS n, round(sum(value), 2) AS value
+FROM events, (VALUES (0), (15), (30), (45)) b(back) WHERE ts IS NOT NULL GROUP BY 1, 2""")
+def stream_sliding_load(spark: SparkSession, sf: str) -> DataFrame:
+    found = gauges.settled(gauges.sliding_load(gauges.stream_table(spark, sf, "events")))
+    return found.select("event_type", since_epoch(60).alias("minute"), "n", money(c("value")).alias("value"))
