@@ -15,35 +15,20 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarn.llm.common import ROW_ID, arrow_schema, checkpoint, map_columns, read_table, with_row_id, without_rows
 from tarn.llm.components import again, connected_components
+from tarn.llm.near_copies import near_copies, shingle_hashes
 
-SEED, SHINGLE, RADIUS, BLOCKS = 42, 3, 3, 5
+SHINGLE, RADIUS, BLOCKS = 3, 3, 5
 #: Shingles whose bits are counted at once.
 COUNT_ROWS = 1 << 16
 
 
-def words_of(text: str | None) -> list[bytes]:
-    """Words between ASCII white space, A-Z in lower case (bytes.lower and bytes.split know ASCII only)."""
-    return (text or "").encode("utf-8", "surrogatepass").lower().split()
-
-
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    words = words_of(text)
-    if not words:
-        return 0
-    line, digest = b" ".join(words), xxhash.xxh64_intdigest
-    if len(words) <= shingle:
-        hashes = [digest(line, SEED)]
-    else:
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-        starts = np.concatenate([[0], ends[:-1] + 1])
-        hashes = [digest(line[a:b], SEED) for a, b in zip(starts[: 1 - shingle].tolist(), ends[shingle - 1 :].tolist(), strict=True)]
-    h = np.array(hashes, dtype="<u8")
+    h = np.array(shingle_hashes(text, shingle), dtype="<u8")
     counts = np.zeros(64, np.int64)
     for at in range(0, len(h), COUNT_ROWS):
         bits = np.unpackbits(h[at : at + COUNT_ROWS].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -186,6 +171,9 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """docs with one row of each component: that of the smallest doc_id."""
-    gone = near_dedup(docs).where(F.col(ROW_ID) != F.col("keep_row")).select(ROW_ID)
+    """docs with one row of each component of near copies (five words, similarity 0.8): that of the smallest doc_id.
+
+    The three words and three bits above are op3's alone; most pairs of this similarity differ in more bits.
+    """
+    gone = near_copies(docs).where(F.col(ROW_ID) != F.col("keep_row")).select(ROW_ID)
     return without_rows(docs, gone)

@@ -100,3 +100,40 @@ def test_odd_rows_and_empty_table(spark, tmp_path):
     kept = s.near_dedup_stage(spark, docs, "")
     assert kept.schema.names == docs.schema.names and kept.count() == s.near_dedup(docs).select("component_id").distinct().count()
     assert s.near_dedup(docs.where("false")).count() == 0
+
+
+def plain_near_copies(texts):
+    sets = []
+    for t in texts:
+        w = (t or "").lower().split()
+        sets.append({" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))})
+    top = list(range(len(texts)))
+
+    def find(x):
+        while top[x] != x:
+            x = top[x]
+        return x
+
+    for a in range(len(texts)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if 5 * both >= 4 * (len(sets[a]) + len(sets[b]) - both):
+                top[max(find(a), find(b))] = min(find(a), find(b))
+    return [find(k) for k in range(len(texts))]
+
+
+def test_stage_joins_all_of_similarity_four_fifths(spark, tmp_path):
+    r = random.Random(5)
+    texts = []
+    for _ in range(25):
+        words = [f"w{r.randrange(3000)}" for _ in range(r.randint(3, 150))] + ["the same license line in all of these texts here"]
+        for _ in range(r.randint(1, 14)):
+            texts.append(" ".join(words))
+            for _ in range(r.randint(1, 4)):
+                words[r.randrange(len(words))] = f"w{r.randrange(3000)}"
+    r.shuffle(texts)
+    want = plain_near_copies(texts)
+    docs = documents(spark, list(enumerate(texts)), tmp_path / "d")
+    assert 40 < len(set(want)) < len(texts) - 40
+    assert sorted(x.doc_id for x in s.near_dedup_stage(spark, docs, "").collect()) == sorted(set(want))
+    assert s.near_dedup(docs).select("component_id").distinct().count() > len(set(want))  # three bits leave near copies
