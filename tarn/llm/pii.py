@@ -1,10 +1,15 @@
 """Information-theoretic sanitisation of personal data.
 
-Base spans (email, ip, card, phone) are the protected entities. A term near an entity may give it away; how strongly
-is estimated from the corpus: with n documents, PMI(e; t) = log2(n_et * n / (n_e * n_t)), at most IC(e) = log2(n / n_e), where
-t says as much as e itself. A term that reaches GENERALISE of IC(e) over at least SUPPORT documents is generalised, one
-that reaches REMOVE of it is removed. A term's document count is taken over all documents, in a second pass that a
-Bloom filter of the terms in question (of fixed size) keeps small.
+Base spans (email, ip, card, phone) are the protected entities. A term in a document with an entity may give it away; how
+strongly is estimated from the corpus: with n documents, PMI(e; t) = log2(n_et * n / (n_e * n_t)), at most IC(e) = log2(n / n_e),
+where t says as much as e itself. A term that reaches GENERALISE of IC(e) over at least SUPPORT documents is generalised,
+one that reaches REMOVE of it is removed. All counts are of whole documents, outside base spans.
+
+Most entities occur once or twice. A pair of fewer than SUPPORT documents is judged by pooled evidence instead: the PMI of
+the term with the entity's kind and, for an email, its domain, over at least SUPPORT documents and smoothed towards
+independence by SUPPORT documents more. A flagged term is replaced wherever it stands in the documents that hold the entity.
+A term's document count is taken over all documents, in a second pass that a Bloom filter of the terms in question (of fixed
+size) keeps small.
 """
 
 from __future__ import annotations
@@ -23,8 +28,7 @@ from tarn.llm.common import ROW_ID, checkpoint, free_name, map_columns, read_tab
 
 KINDS = ("email", "ip", "card", "phone", "generalised", "removed")
 LABELS = ("[EMAIL]", "[IP]", "[CARD]", "[PHONE]", "[TERM]", "")
-#: Terms on each side of an entity that are looked at, within REACH code points.
-NEIGHBOURS, REACH, LEAST_LETTERS = 8, 160, 3
+LEAST_LETTERS = 3
 SUPPORT, GENERALISE, REMOVE = 3, 0.6, 0.9
 #: Bits of the filter of terms; fixed, 128 KB. A fuller filter counts terms in vain, but no term is missed.
 TERM_BITS = 1 << 20
@@ -74,42 +78,49 @@ def base_spans(text: str) -> list[Span]:
     return sorted(found)
 
 
-def neighbours(text: str, base: list[Span]) -> Iterator[tuple[int, str, int, int]]:
-    """(entity, term, start, end) of the terms near each base span, outside all base spans. An entity is a hash of kind and value."""
-    ends = np.maximum.accumulate([b for _, _, b in base]) if base else []
-    starts = [a for a, _, _ in base]
+def key_of(name: str) -> int:
+    return xxhash.xxh64_intdigest(name.encode("utf-8", "surrogatepass"), 42) - (1 << 63)
 
-    def free(a: int, b: int) -> bool:
-        k = int(np.searchsorted(starts, b))  # spans that begin before the term's end
-        return k == 0 or ends[k - 1] <= a
 
+def entities(text: str, base: list[Span]) -> list[tuple[int, int, int | None]]:
+    """The distinct (entity, kind, domain) of the base spans, as hashes; an entity is one of kind and value, a domain is an email's."""
+    found = {}
     for a, kind, b in base:
         value = text[a:b].lower() if kind == 0 else digits_of(text[a:b]) if kind > 1 else text[a:b]
-        entity = xxhash.xxh64_intdigest(f"{kind}:{value}".encode("utf-8", "surrogatepass"), 42) - (1 << 63)
-        low, high = max(0, a - REACH), min(len(text), b + REACH)
-        left = [(m.start(), m.end()) for m in TERM.finditer(text, low, a) if m.start() > low or low == 0]
-        right = [(m.start(), m.end()) for m in TERM.finditer(text, b, high) if m.end() < high or high == len(text)]
-        for s, t in left[-NEIGHBOURS:] + right[:NEIGHBOURS]:
-            if free(s, t):
-                yield entity, text[s:t].lower(), s, t
+        found[key_of(f"{kind}:{value}")] = (key_of(f"kind {kind}"), key_of(f"domain {value.rpartition('@')[2]}") if kind == 0 else None)
+    return [(e, *classes) for e, classes in found.items()]
+
+
+def free_terms(text: str, base: list[Span]) -> Iterator[tuple[str, int, int]]:
+    """(term, start, end) of the terms of the whole text that touch no base span."""
+    ends = np.maximum.accumulate([b for _, _, b in base]).tolist() if base else []
+    starts = [a for a, _, _ in base]
+    k = 0
+    for m in TERM.finditer(text):
+        while k < len(starts) and starts[k] < m.end():  # spans that begin before the term's end
+            k += 1
+        if k == 0 or ends[k - 1] <= m.start():
+            yield m[0].lower(), m.start(), m.end()
 
 
 def detect(docs: DataFrame) -> DataFrame:
-    """A row per row of docs: __row_id, doc_id, base (array of start, kind, end) and near (array of entity, term, start, stop)."""
+    """A row per row of docs: __row_id, doc_id, base (array of start, kind, end), held (array of entity, kind, domain) and,
+    where an entity is held, free (array of term, start, stop)."""
 
     def run(rows: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
         for x in rows:
             texts = [t or "" for t in x["text"]]
             base = [base_spans(t) for t in texts]
-            near = [[dict(zip(("entity", "term", "start", "stop"), n, strict=True)) for n in neighbours(t, b)] for t, b in zip(texts, base, strict=True)]
-            yield {ROW_ID: x[ROW_ID], "doc_id": x["doc_id"], "base": [[{"start": a, "kind": k, "stop": b} for a, k, b in spans] for spans in base], "near": near}
+            held = [[dict(zip(("entity", "kind", "domain"), e, strict=True)) for e in entities(t, b)] for t, b in zip(texts, base, strict=True)]
+            free = [[dict(zip(("term", "start", "stop"), w, strict=True)) for w in free_terms(t, b)] if b else [] for t, b in zip(texts, base, strict=True)]
+            yield {ROW_ID: x[ROW_ID], "doc_id": x["doc_id"], "base": [[{"start": a, "kind": k, "stop": b} for a, k, b in spans] for spans in base], "held": held, "free": free}
 
-    ddl = f"{ROW_ID} long, doc_id long, base array<struct<start:int,kind:int,stop:int>>, near array<struct<entity:long,term:string,start:int,stop:int>>"
+    ddl = f"{ROW_ID} long, doc_id long, base array<struct<start:int,kind:int,stop:int>>, held array<struct<entity:long,kind:long,domain:long>>, free array<struct<term:string,start:int,stop:int>>"
     return map_columns(with_row_id(docs.select("doc_id", "text")), run, ddl)
 
 
 def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """term, n_t: the number of rows of docs that hold each of terms (a column term, distinct)."""
+    """term, n_t: the number of rows of docs that hold each of terms (a column term, distinct) outside base spans."""
     hashes = [F.xxhash64("term"), F.shiftrightunsigned(F.xxhash64("term"), 32)]
     at = terms.select(F.explode(F.array(*[h.bitwiseAND(F.lit(TERM_BITS - 1)) for h in hashes])).alias("b")).distinct()
     bits = np.zeros(TERM_BITS, bool)
@@ -123,7 +134,9 @@ def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
         mask, digest = TERM_BITS - 1, xxhash.xxh64_intdigest
         for x in rows:
             for text in x["text"]:
-                for w in set(TERM.findall((text or "").lower())):
+                text = text or ""
+                base = base_spans(text)
+                for w in {w for w, _, _ in free_terms(text, base)} if base else set(map(str.lower, TERM.findall(text))):
                     ok = seen.get(w)
                     if ok is None:
                         h = digest(w.encode("utf-8", "surrogatepass"), 42)
@@ -141,20 +154,46 @@ def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
     return map_columns(docs.select("text"), count, "term string, n long").groupBy("term").agg(F.sum("n").alias("n_t")).join(terms, "term", "left_semi")
 
 
+def terms_by_key(detected: DataFrame) -> DataFrame:
+    """__row_id, key, term of each document's entities and classes (kinds, domains) in at least SUPPORT documents; less can't be judged by itself."""
+    keys = detected.where(F.size("held") > 0).select(ROW_ID, F.explode(F.expr("array_distinct(filter(flatten(transform(held, x -> array(x.entity, x.kind, x.domain))), x -> x is not null))")).alias("key"))
+    known = keys.groupBy("key").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= SUPPORT)
+    own = keys.join(known, "key").groupBy(ROW_ID).agg(F.collect_list(F.struct("key", "n_e")).alias("keys"))  # within one document
+    terms = detected.where(F.size("held") > 0).select(ROW_ID, F.expr("array_distinct(transform(free, x -> x.term))").alias("terms")).join(own, ROW_ID)
+    return terms.select(ROW_ID, F.explode("keys").alias("k"), "terms").select(ROW_ID, "k.*", F.explode("terms").alias("term"))
+
+
 def disclosing(docs: DataFrame, detected: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
-    """entity, term, kind (4 generalised, 5 removed) of the pairs over the thresholds."""
-    pairs = detected.select(F.explode(F.expr("array_distinct(transform(near, x -> struct(x.entity as entity, x.term as term)))")).alias("p")).groupBy("p.entity", "p.term").agg(F.count("*").alias("n_et")).where(F.col("n_et") >= support)
+    """key, term, own, pooled of the pairs over at least support documents: 4 generalised, 5 removed, 0 neither, as an
+    entity's own pair and, smoothed, as a class's."""
+    pairs = terms_by_key(detected).groupBy("key", "term").agg(F.count("*").alias("n_et"), F.first("n_e").alias("n_e")).where(F.col("n_et") >= support)
     pairs = checkpoint(pairs)
     if pairs.isEmpty():
-        return pairs.select("entity", "term", F.lit(4).alias("kind")).where("false")
-    n = detected.count()
-    # an entity's documents: those that have it near some term; of one without any term nothing is asked
-    entities = detected.select(F.explode(F.expr("array_distinct(transform(near, x -> x.entity))")).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_e"))
-    found = pairs.join(entities, "entity").join(term_counts(docs, pairs.select("term").distinct()), "term")
-    ic = F.log2(F.lit(float(n)) / F.col("n_e"))
-    pmi = F.log2(F.col("n_et") * F.lit(float(n)) / (F.col("n_e") * F.col("n_t").cast("double")))
-    found = found.withColumns({"ic": ic, "pmi": pmi}).where((F.col("ic") > 0) & (F.col("pmi") >= generalise * F.col("ic")))
-    return found.select("entity", "term", F.when(F.col("pmi") >= remove * F.col("ic"), 5).otherwise(4).alias("kind"))
+        return pairs.select("key", "term", F.lit(0).alias("own"), F.lit(0).alias("pooled"))
+    n = float(detected.count())
+    found = pairs.join(term_counts(docs, pairs.select("term").distinct()), "term")
+    ic = F.log2(F.lit(n) / F.col("n_e"))
+
+    def judged(more: int):
+        n_et, n_t = F.col("n_et") + more * F.col("n_e") / n, F.col("n_t").cast("double") + more
+        pmi = F.log2(n_et * n / (F.col("n_e") * n_t))
+        return F.when((ic <= 0) | (pmi < generalise * ic), 0).when(pmi >= remove * ic, 5).otherwise(4)
+
+    found = checkpoint(found.select("key", "term", judged(0).alias("own"), judged(support).alias("pooled")))
+    # a pair that is neither still keeps its classes' word from counting, but only for terms that some pair flags
+    return found.join(found.where("own > 0 or pooled > 0").select("term").distinct(), "term", "left_semi")
+
+
+def marked(detected: DataFrame, judged: DataFrame) -> DataFrame:
+    """__row_id, term, kind of the terms to replace in each document: an entity's own pair counts where it is judged, else its classes' pairs."""
+    hits = terms_by_key(detected).join(judged, ["key", "term"]).select(ROW_ID, "key", "term", "own", "pooled")
+    held = detected.where(F.size("held") > 0).select(ROW_ID, F.explode("held").alias("h")).select(ROW_ID, "h.*")
+    own = held.select(ROW_ID, "entity").join(hits.select(ROW_ID, F.col("key").alias("entity"), "term", "own"), [ROW_ID, "entity"])
+    classes = held.select(ROW_ID, "entity", F.explode(F.array("kind", "domain")).alias("key")).where("key is not null")
+    pooled = classes.join(hits.where("pooled > 0").select(ROW_ID, "key", "term", "pooled"), [ROW_ID, "key"])
+    both = own.select(ROW_ID, "entity", "term", "own", F.lit(0).alias("pooled")).unionByName(pooled.select(ROW_ID, "entity", "term", F.lit(None).cast("int").alias("own"), "pooled"))
+    kinds = both.groupBy(ROW_ID, "entity", "term").agg(F.coalesce(F.max("own"), F.max("pooled")).alias("kind"))
+    return kinds.where("kind > 0").groupBy(ROW_ID, "term").agg(F.max("kind").alias("kind"))
 
 
 def sanitising_spans(docs: DataFrame) -> DataFrame:
@@ -163,11 +202,11 @@ def sanitising_spans(docs: DataFrame) -> DataFrame:
     A null text is empty, a term that two entities ask for is removed if either says so. An empty table gives no rows.
     """
     detected = checkpoint(detect(docs))
-    flagged = disclosing(docs, detected)
-    near = detected.where(F.size("near") > 0).select(ROW_ID, F.explode("near").alias("x")).select(ROW_ID, "x.*")
-    more = near.join(flagged, ["entity", "term"]).groupBy(ROW_ID, "start", "stop").agg(F.max("kind").alias("kind"))
+    judged = checkpoint(disclosing(docs, detected))
+    free = detected.where(F.size("held") > 0).select(ROW_ID, F.explode("free").alias("x")).select(ROW_ID, "x.*")
+    more = free.join(marked(detected, judged), [ROW_ID, "term"])
     more = more.groupBy(ROW_ID).agg(F.sort_array(F.collect_list(F.struct("start", "kind", "stop"))).alias("more"))  # within one document
-    return detected.drop("near").join(more, ROW_ID, "left")
+    return detected.select(ROW_ID, "doc_id", "base").join(more, ROW_ID, "left")
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -77,3 +77,12 @@ def test_odd_rows_and_empty_table(spark, tmp_path):
     assert pii.sanitising_spans(docs).count() == len(odd_rows())
     assert pii.sanitising_spans(docs.where("false")).count() == 0
     assert pii.pii_stage(spark, docs.where("false"), "").count() == 0
+
+
+def test_terms_of_entities_seen_once_are_judged(spark, tmp_path):
+    once = [(k, f"write to quillfeather at u{k}@host{k}.example.com please and thanks number {k}") for k in range(9)]
+    rows = once + [(100 + k, f"please and thanks write number {k}") for k in range(90)]
+    found = {(r.doc_id, s.start, s.stop): s.kind for r in pii.sanitising_spans(documents(spark, rows, tmp_path / "d")).collect() for s in r.more or []}
+    text = dict(rows)
+    # n = 99, n_c = n_ct = n_t = 9, smoothed by 3: PMI / IC = 1 + log2((9 + 27 / 99) / 12) / log2(11)
+    assert {(k[0], text[k[0]][k[1] : k[2]], v) for k, v in found.items()} == {(k, "quillfeather", 4) for k in range(9)}
