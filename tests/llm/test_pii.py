@@ -86,3 +86,11 @@ def test_terms_of_entities_seen_once_are_judged(spark, tmp_path):
     text = dict(rows)
     # n = 99, n_c = n_ct = n_t = 9, smoothed by 3: PMI / IC = 1 + log2((9 + 27 / 99) / 12) / log2(11)
     assert {(k[0], text[k[0]][k[1] : k[2]], v) for k, v in found.items()} == {(k, "quillfeather", 4) for k in range(9)}
+
+
+def test_flagged_terms_are_replaced_in_the_whole_document(spark, tmp_path):
+    far = "please and thanks number " * 20
+    rows = [(k, f"zanzibar {far} me@x{k % 2}.example.com {far} Zanzibar") for k in range(8)] + [(100 + k, far) for k in range(60)]
+    found = [(r.doc_id, s.start, s.stop, s.kind) for r in pii.sanitising_spans(documents(spark, rows, tmp_path / "d")).collect() for s in r.more or []]
+    text = dict(rows)
+    assert sorted((d, text[d][a:b], k) for d, a, b, k in found) == sorted((d, w, 4) for d in range(8) for w in ("zanzibar", "Zanzibar"))
