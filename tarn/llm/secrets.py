@@ -1,7 +1,7 @@
 """Secret scans with multipart credential linking.
 
 Base spans come from three patterns. Besides, weak candidates are gathered: account or client identifiers, high-entropy
-strings and endpoints. Each means little alone, so an interval join within a scope (SCOPE code points around it, in one
+strings and endpoints. Each means little alone, so an interval join within a scope (SCOPE code points between two parts, in one
 document) looks for complementary parts: a weak identifier needs a secret near it, a weak secret an identifier or an
 endpoint, an endpoint a secret. Only linked ones are reported. Scopes never cross documents, so nothing shuffles.
 """
@@ -25,9 +25,9 @@ ASSIGN = re.compile(r"(?ai:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]
 ASSIGN_WORDS = ("passw", "secret", "token", "api")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
-WEAK_ID = re.compile(r"(?<![A-Za-z0-9])(?ai:access_?key_?id|client_?id|account_?id|user_?name|user|login)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9_.@-]{3,64})")
+WEAK_ID = re.compile(r"(?<![A-Za-z0-9])(?ai:access_?key_?id|client_?id|account_?id|user_?name|user|login)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9_.@-]{3,}+)")
 WEAK_ID_WORDS = ("key", "client", "account", "user", "login")
-WEAK_SECRET = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,64}(?![A-Za-z0-9+/_-])")
+WEAK_SECRET = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+")
 ENDPOINT = re.compile(r"https?://[^\s\"'<>]+")
 #: Which roles complete a weak candidate.
 NEEDS = {"weak_id": {"secret"}, "weak_secret": {"id", "endpoint"}, "weak_endpoint": {"secret"}}
@@ -70,11 +70,19 @@ def weak_candidates(text: str, base: list[Span]) -> list[Span]:
 
 
 def linked(parts: list[Span], weak: list[Span], scope: int = SCOPE) -> list[Span]:
-    """The weak spans with a complement that begins within scope of their start: an interval join on sorted starts."""
-    by_role: dict[str, list[int]] = {"id": [], "secret": [], "endpoint": []}
-    for a, k, _ in sorted(parts + weak):
-        by_role[ROLES[KINDS[k]]].append(a)
-    return [s for s in weak if any(bisect_left(by_role[r], s[0] - scope) < bisect_right(by_role[r], s[0] + scope) for r in NEEDS[KINDS[s[1]]])]
+    """The weak spans with a complement within scope, from one's end to the other's start: an interval join on sorted starts."""
+    by_role: dict[str, tuple[list[int], list[int]]] = {"id": ([], []), "secret": ([], []), "endpoint": ([], [])}
+    for a, k, b in sorted(parts + weak):
+        starts, ends = by_role[ROLES[KINDS[k]]]
+        starts.append(a)
+        ends.append(max(b, ends[-1]) if ends else b)  # the farthest end so far
+
+    def near(s: Span, role: str) -> bool:
+        starts, ends = by_role[role]
+        k = bisect_right(starts, s[2] + scope)
+        return k > 0 and ends[k - 1] >= s[0] - scope
+
+    return [s for s in weak if any(near(s, r) for r in NEEDS[KINDS[s[1]]])]
 
 
 def joined(spans: list[Span], kinds: tuple[str, ...] = KINDS) -> str:
