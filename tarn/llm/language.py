@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 
 from tarn.llm.common import map_columns, read_table
 
-#: Expected rows of each label that the model is fitted on, and the most labels; together they bound what comes to the driver.
+#: Expected rows of each label that the model is fitted on; with more labels than MOST_LABELS each has fewer, so that what comes
+#: to the driver is bounded.
 SAMPLE, MOST_LABELS = 1000, 200
 BITS, ORDERS = 12, (1, 2, 3, 4)
 EPOCHS, C = 12, 10.0
@@ -121,11 +122,12 @@ class Hierarchy:
 def fit(docs: DataFrame) -> Hierarchy | None:
     """The model of labelled rows that are not held out; None if there are none."""
     learn = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & (F.crc32(F.col("doc_id").cast("string")) % 4 != HELD_OUT))
-    counts = learn.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LABELS).collect()
+    counts = learn.groupBy("lang").count().collect()
     if not counts:
         return None
-    share = F.create_map(*[F.lit(v) for r in counts for v in (r["lang"], SAMPLE / r["count"])])
-    # a uniform draw by hash: each label has about SAMPLE rows, and only these rows' features leave the executors
+    each = SAMPLE * min(1.0, MOST_LABELS / len(counts))
+    share = F.create_map(*[F.lit(v) for r in counts for v in (r["lang"], each / r["count"])])
+    # a uniform draw by hash: each label has about as many rows, and only these rows' features leave the executors
     draw = learn.where((F.xxhash64("doc_id").bitwiseAND(F.lit((1 << 30) - 1)) / (1 << 30)) < share[F.col("lang")]).select("lang", "text")
 
     def count(rows: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
@@ -144,6 +146,10 @@ def predicted(model: Hierarchy | None, text: str | None) -> tuple[str, float]:
     return model.predict(*features(text)) if model else (UNKNOWN, 0.0)
 
 
+def has_letter(text: str | None) -> bool:
+    return bool(NOT_LETTERS.sub("", (text or "").lower()))
+
+
 def identify(docs: DataFrame, model: Hierarchy | None) -> DataFrame:
     """doc_id, lang_pred and score of each row. Null texts, texts without a letter, and all where no model was learned: und, 0."""
     held = docs.sparkSession.sparkContext.broadcast(model)  # (families + pairs) * 2^BITS weights
@@ -164,12 +170,12 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """docs without those that language ID rejects: null texts and texts without a letter (und)."""
+    """docs without those that language ID rejects: null texts and texts without a letter. That no model was learned, or one of a label und, rejects nothing."""
     held, names = docs.sparkSession.sparkContext.broadcast(fit(docs)), docs.columns
 
     def keep(rows: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
         for x in rows:
-            on = [k for k, t in enumerate(x["text"]) if predicted(held.value, t)[0] != UNKNOWN]
+            on = [k for k, t in enumerate(x["text"]) if predicted(held.value, t)[0] != UNKNOWN or has_letter(t)]
             yield {c: [x[c][k] for k in on] for c in names}
 
     return map_columns(docs, keep, docs.schema, rows=256)
