@@ -12,6 +12,7 @@ VARIANTS: a word may be segmented in so many ways over the corpus, but in one wa
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import re
 import zlib
@@ -196,4 +197,15 @@ def decode_column(encoded: DataFrame, path: str | None = None) -> DataFrame:
 
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode_column(read_table(spark, sf_dir, "documents"))
+    """encode_column's rows with decoded_sha256, of the text that the ids decode to: the digest of the text itself, or of none for a null text."""
+    encoded = encode_column(read_table(spark, sf_dir, "documents"))
+    ddl = "doc_id long, ids array<int>, n_tokens long, ids_crc32 long, decoded_sha256 string"
+    schema = arrow_schema(ddl)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = Vocabulary(None)
+        for batch in batches:
+            digests = [hashlib.sha256(vocabulary.decode(i.as_py()).encode("utf-8", "surrogatepass")).hexdigest() for i in batch.column("ids")]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).cast(schema.field(c).type) for c in schema.names[:-1]), pa.array(digests, pa.string())], schema=schema)
+
+    return encoded.mapInArrow(run, ddl)
