@@ -19,8 +19,22 @@ def share_package(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the cluster names it; a temporary one only where none is named (tests)."""
+    """The folder that driver and executors share, as the cluster names it in spark.checkpoint.dir.
+
+    Where none is named, a temporary one is set if driver and executors are one process (tests); elsewhere that is an error,
+    since each machine would write to a disk of its own.
+    """
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tarn-checkpoint-"))
+        named = sc.getConf().get("spark.checkpoint.dir", None)
+        if not named and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
+            raise RuntimeError("spark.checkpoint.dir is not set; name a folder there that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tarn-checkpoint-"))
     return sc.getCheckpointDir()
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder in whatever file system it is."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(conf).delete(where, True)
