@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import xxhash
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tarn.session import share_package
+from tarn.session import shared_folder as shared_dir
 
 #: Rows that a Python function sees at once; keeps the Python copies of long texts small.
 SLICE_ROWS = 512
@@ -23,10 +26,42 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def with_row_id(docs: DataFrame, name: str = ROW_ID) -> DataFrame:
-    """Adds a column that numbers rows. docs must be a plain scan (or narrow steps over one), so that the ids are the same each time it is computed."""
+def _place(docs: DataFrame) -> tuple[Column, Column] | None:
+    """File and index in it of each row, where docs is a scan of Parquet files (or narrow steps over one)."""
+    try:
+        meta = docs.metadataColumn("_metadata")
+        docs.select(meta["file_path"], meta["row_index"])
+    except AnalysisException:
+        return None
+    return meta["file_path"], meta["row_index"]
+
+
+def stable(docs: DataFrame) -> DataFrame:
+    """docs, or a copy of it in the shared folder if its rows can't be told apart by their place in Parquet files."""
     share_package(docs.sparkSession)
-    return docs.withColumn(name, F.monotonically_increasing_id())
+    if _place(docs):
+        return docs
+    path = f"{shared_dir(docs.sparkSession)}/rows-{uuid.uuid4().hex}"
+    docs.write.parquet(path)
+    return docs.sparkSession.read.schema(docs.schema).parquet(path)
+
+
+def with_row_id(docs: DataFrame, name: str = ROW_ID) -> DataFrame:
+    """Adds a column that numbers the rows of stable(docs), the same each time it is computed, however the scan is split.
+
+    A number is a hash of the file's path over the row's index in it. The files are few beside the rows, so they come to the
+    driver, which takes the first seed that tells them all apart.
+    """
+    docs = stable(docs)
+    file, index = _place(docs)
+    files = docs.select(file.alias("f"), index.alias("i")).groupBy("f").agg(F.max("i").alias("i")).collect()
+    bits = max([1, *(r.i.bit_length() for r in files)])
+    mask = (1 << (63 - bits)) - 1
+    for seed in range(100):
+        if len({xxhash.xxh64_intdigest(f"{seed} {r.f}".encode(), 42) & mask for r in files}) == len(files):
+            hashed = F.xxhash64(F.concat(F.lit(f"{seed} "), file)).bitwiseAND(F.lit(mask))
+            return docs.select("*", F.shiftleft(hashed, bits).bitwiseOR(index).alias(name))
+    raise ValueError(f"{len(files)} files of up to {1 << bits} rows are too many to number")
 
 
 def free_name(docs: DataFrame, like: str) -> str:
@@ -36,27 +71,11 @@ def free_name(docs: DataFrame, like: str) -> str:
 
 
 def without_rows(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """docs without the rows whose numbers are in gone's ROW_ID."""
+    """docs, which is stable, without the rows whose numbers are in gone's ROW_ID."""
     name = free_name(docs, ROW_ID)
     return with_row_id(docs, name).join(gone.select(F.col(ROW_ID).alias(name)), name, "left_anti").drop(name)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; only where the cluster names none (tests) a temporary one is set."""
-    sc = spark.sparkContext
-    if not sc.getCheckpointDir():
-        named = sc.getConf().get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tarn-checkpoint-"))
-    return sc.getCheckpointDir()
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Deletes a folder in whatever file system it is."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(conf).delete(where, True)
-
-
 def checkpoint(df: DataFrame) -> DataFrame:
     """df written to the shared folder and read back: it survives lost executors and cuts the lineage."""
     shared_dir(df.sparkSession)

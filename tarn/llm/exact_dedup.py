@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarn.llm.common import ROW_ID, arrow_schema, checkpoint, read_table, with_row_id, without_rows
+from tarn.llm.common import ROW_ID, arrow_schema, checkpoint, read_table, stable, with_row_id, without_rows
 
 #: The filter has BITS_PER_ROW bits for each row, within these bounds (as powers of two). The upper one, 32 MB, bounds what is broadcast.
 BITS_PER_ROW, LEAST_BITS, MOST_BITS = 16, 16, 28
@@ -120,5 +120,6 @@ FROM documents
 
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """docs without the rows that exact_dedup does not keep."""
+    docs = stable(docs)
     gone = exact_dedup(docs).where(~F.col("kept")).select(ROW_ID)
     return without_rows(docs, gone)

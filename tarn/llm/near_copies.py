@@ -1,10 +1,18 @@
-"""Near copies: rows whose sets of word shingles have a Jaccard similarity of at least LEAST, joined exactly.
+"""SimHash near-dedup at a similarity: rows whose sets of five-word shingles have a Jaccard similarity of at least LEAST.
 
-SimHash distances spread too widely at this similarity for any radius that shards could serve, so the pairs are found
-by prefixes instead: with shingles in one fixed order, two sets of similarity t share one of the first
-n - ceil(t n) + 1 shingles of each. Only prefixes shuffle. Frequent shingles (by a sample) come last in the order,
-which keeps boilerplate out of the prefixes; the order changes the work, never the result. Candidates pass bounds by
-size, place and a 512-bit parity sketch, none of which loses a pair, and are then compared in full.
+At this similarity two SimHash fingerprints differ in too many bits for shards of agreeing bits, so the BK-trees are sharded
+otherwise, without losing a pair: with shingles in one fixed order, two sets of similarity t share one of the first
+n - ceil(t n) + 1 shingles of each, so a shard is the rows that have one shingle there. Frequent shingles (by a sample) come
+last in the order, which keeps boilerplate out of the shards; the order changes the work, never the result.
+
+1. In each shard a row meets its leader, the least node: first in a task, then the tasks' leaders among each other, so that a
+   shingle that a third of all rows have is one row per task. Of each row's leaders that are within RADIUS of its fingerprint,
+   the one met most often is compared with it in full. What is similar forms components.
+2. Shards whose rows are in several components are searched again: a BK-tree takes one component after the other, and each
+   row looks for those of other components within RADIUS. What is found is compared in full.
+
+A fingerprint has 128 bits; RADIUS is five standard deviations over the distance that sets of similarity LEAST have (the
+chance that it hides such a pair is below one in a million), while sets that share nothing are three below theirs.
 """
 
 from __future__ import annotations
@@ -14,20 +22,27 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarn.llm.common import ROW_ID, arrow_schema, checkpoint, map_columns, shuffle_partitions, with_row_id
-from tarn.llm.components import connected_components
+from tarn.llm.bk_tree import BKTree
+from tarn.llm.common import ROW_ID, arrow_schema, checkpoint, columns_of, map_columns, shuffle_partitions, with_row_id
+from tarn.llm.components import again, connected_components
 
 SEED = 42
-#: Words of a shingle; similarity as a fraction.
-SHINGLE, LEAST = 5, (4, 5)
+#: Words of a shingle; similarity as a fraction; differing bits of fingerprints.
+SHINGLE, LEAST, RADIUS = 5, (4, 5), 46
 #: Rows that the order is drawn from (by hash), its buckets, and from how many of them on a bucket is frequent.
 SAMPLED, ORDER_BITS, FREQUENT = 1 << 11, 22, 4
-SKETCH_BITS = 512
-#: Bits of the filter of rows whose sets are compared; fixed, 2 MB. A fuller filter shuffles sets in vain, but no pair is missed.
+#: Bits of the filter of rows whose texts are compared; fixed, 2 MB. A fuller filter shuffles texts in vain, but no pair is missed.
 ROW_BITS = 1 << 24
+#: Entries that a task holds before it hands them on, and about how many a bucket gets.
+FLUSH, BUCKET_ENTRIES = 1 << 20, 1 << 21
+#: Words whose hashes a worker keeps; shingles whose bits are counted at once.
+KEPT_WORDS, COUNT_ROWS = 1 << 20, 1 << 15
+FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
+PAIR, ENTRY = 1, 2
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -36,7 +51,7 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 def shingle_hashes(text: str | None, shingle: int) -> list[int]:
-    """Hashes of the shingles as they come; all words are one shingle where there are no more, no words give none."""
+    """XXH64 of the shingles as they come; all words are one shingle where there are no more, no words give none."""
     words = words_of(text)
     if not words:
         return []
@@ -48,36 +63,66 @@ def shingle_hashes(text: str | None, shingle: int) -> list[int]:
     return [digest(line[a:b], SEED) for a, b in zip(starts[: 1 - shingle].tolist(), ends[shingle - 1 :].tolist(), strict=True)]
 
 
-def shingle_set(text: str | None) -> np.ndarray:
-    """Distinct hashes, sorted. Texts without a word share one shingle, so that they are copies of each other."""
-    return np.unique(np.array(shingle_hashes(text, SHINGLE) or [xxhash.xxh64_intdigest(b"", SEED)], "<u8"))
+class WordHashes(dict):
+    """Words to their hashes; keeps those of words seen so far."""
+
+    def __missing__(self, word: bytes) -> int:
+        found = self[word] = xxhash.xxh64_intdigest(word, SEED)
+        return found
+
+
+_words = WordHashes()
 
 
-def overlap(total: np.ndarray | int) -> np.ndarray | int:
-    """The least common shingles of two sets of total shingles together that are similar enough."""
-    a, b = LEAST
-    return (a * total + a + b - 1) // (a + b)
+def mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(29))
+
+
+def shingle_set(text: str | None) -> np.ndarray:
+    """Distinct hashes of the shingles, sorted. Texts without a word share one shingle, so that they are copies of each other."""
+    words = words_of(text)
+    if len(_words) > KEPT_WORDS:
+        _words.clear()
+    own = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
+    width = min(len(own), SHINGLE)
+    n = len(own) - width + 1
+    total = np.full(n, width, np.uint64)
+    for k in range(width):
+        total += own[k : k + n] * FACTORS[k]
+    return np.unique(mixed(total))
+
+
+def fingerprint(found: np.ndarray) -> tuple[int, int]:
+    """128 bits, as two signed numbers; a bit is 1 if set in over half of the hashes."""
+    counts = np.zeros(128, np.int64)
+    for at in range(0, len(found), COUNT_ROWS):
+        part = found[at : at + COUNT_ROWS]
+        both = np.stack([part, mixed(part * FACTORS[0])], axis=1)
+        counts += np.unpackbits(both.view(np.uint8), axis=1).sum(axis=0, dtype=np.uint32)
+    a, b = np.packbits(counts * 2 > len(found)).view(np.int64).tolist()
+    return a, b
 
 
 def prefix(found: np.ndarray, buckets: np.ndarray, ranks: np.ndarray) -> np.ndarray:
     """The first shingles of a set in the order (rank of the bucket, hash)."""
     n, (a, b) = len(found), LEAST
-    rank = np.zeros(n, np.int64)
-    if len(buckets):
-        own = (found & np.uint64((1 << ORDER_BITS) - 1)).astype(np.int64)
-        at = np.minimum(np.searchsorted(buckets, own), len(buckets) - 1)
-        rank = np.where(buckets[at] == own, ranks[at], 0)
-    return found[np.argsort(rank, kind="stable")][: n - (a * n + b - 1) // b + 1]
+    size = n - (a * n + b - 1) // b + 1
+    if not len(buckets):
+        return found[:size]
+    own = (found & np.uint64((1 << ORDER_BITS) - 1)).astype(np.int64)
+    at = np.minimum(np.searchsorted(buckets, own), len(buckets) - 1)
+    rank = np.where(buckets[at] == own, ranks[at], 0)
+    return found[np.argsort(rank, kind="stable")[:size]]
 
 
-def node_of(data: bytes) -> int:
-    return xxhash.xxh64_intdigest(data, SEED) - (1 << 63)
+def node_of(found: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(found.tobytes(), SEED) - (1 << 63)
 
 
-def sketch(found: np.ndarray) -> np.ndarray:
-    """The parity of the shingles in each of SKETCH_BITS buckets: sets differ in at least as many shingles as sketches in bits."""
-    parity = np.bincount((found & np.uint64(SKETCH_BITS - 1)).astype(np.int64), minlength=SKETCH_BITS) & 1
-    return np.packbits(parity.astype(np.uint8)).view(np.int64)
+def similar(s: np.ndarray, t: np.ndarray) -> bool:
+    (a, b), both = LEAST, len(np.intersect1d(s, t, assume_unique=True))
+    return b * both >= a * (len(s) + len(t) - both)
 
 
 def frequent_buckets(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -87,7 +132,7 @@ def frequent_buckets(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
     def count(rows: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
         for x in rows:
-            own = [shingle_set(t) & np.uint64((1 << ORDER_BITS) - 1) for t in x["text"]]
+            own = [np.unique(shingle_set(t) & np.uint64((1 << ORDER_BITS) - 1)) for t in x["text"]]
             bucket, n = np.unique(np.concatenate(own), return_counts=True)
             yield {"bucket": bucket.astype(np.int64), "n": n}
 
@@ -95,6 +140,88 @@ def frequent_buckets(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return found["bucket"].to_numpy(np.int64), np.array([int(n).bit_length() for n in found["n"]], np.int64)
 
 
+def runs_of(token: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (token, node), sorted; where each token's run begins, as an index of each row; whether the run has several nodes."""
+    order = np.lexsort((node, token))
+    token, node = token[order], node[order]
+    new = np.ones(len(token), bool)
+    new[1:] = (token[1:] != token[:-1]) | (node[1:] != node[:-1])
+    token, node = token[new], node[new]
+    head = np.ones(len(token), bool)
+    head[1:] = token[1:] != token[:-1]
+    cuts = np.flatnonzero(head)
+    sizes = np.diff(np.append(cuts, len(token)))
+    return token, node, np.repeat(cuts, sizes), np.repeat(sizes > 1, sizes)
+
+
+def led(token: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of entries: those of the leaders (the least node of each token), the pairs (row, leader), and the entries of shared tokens."""
+    token, node, first, several = runs_of(token, node)
+    at = np.arange(len(token))
+    rest = at != first
+    pairs = np.unique(np.stack([node[rest], node[first[rest]]]), axis=1) if rest.any() else np.zeros((2, 0), np.int64)
+    return np.stack([token[~rest], node[~rest]]), pairs, np.stack([token[several], node[several]])
+
+
+def to_blob(both: np.ndarray) -> bytes:
+    return np.ascontiguousarray(both, "<i8").tobytes()
+
+
+def from_blobs(blobs: list[bytes]) -> np.ndarray:
+    return np.concatenate([np.zeros((2, 0), np.int64), *(np.frombuffer(b, "<i8").reshape(2, -1) for b in blobs)], axis=1)
+
+
+def entry_blobs(order, buckets: int):
+    """Documents to rows bucket, kind, blob: leaders' entries by bucket (kind 0), and what is known in the task already."""
+    schema = arrow_schema("bucket int, kind int, blob binary")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens: list[np.ndarray] = []
+        nodes: list[np.ndarray] = []
+        held, spread = 0, TaskContext.get().partitionId() * 31
+
+        def flush() -> pa.RecordBatch:
+            nonlocal held, spread
+            own, pairs, shared = led(np.concatenate(tokens), np.concatenate(nodes))
+            tokens.clear()
+            nodes.clear()
+            held = 0
+            bucket = (own[0].view(np.uint64) >> np.uint64(20)) % np.uint64(buckets)
+            by = np.argsort(bucket, kind="stable")
+            own, bucket = own[:, by], bucket[by]
+            cuts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])).tolist()
+            out = [(int(bucket[a]), 0, to_blob(own[:, a:b])) for a, b in zip(cuts, [*cuts[1:], len(bucket)], strict=True)]
+            for kind, both in ((PAIR, pairs), (ENTRY, shared)):
+                for at in range(0, both.shape[1], 1 << 16):
+                    spread += 1
+                    out.append((spread % buckets, kind, to_blob(both[:, at : at + (1 << 16)])))
+            return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+
+        for x in columns_of(batches, 256):
+            for text in x["text"]:
+                found = shingle_set(text)
+                own = prefix(found, *order.value).view(np.int64)
+                tokens.append(own)
+                nodes.append(np.full(len(own), node_of(found)))
+                held += len(own)
+                if held >= FLUSH:
+                    yield flush()
+        if held:
+            yield flush()
+
+    return run
+
+
+def meet(table: pa.Table) -> pa.Table:
+    """A bucket's rows kind, a, b: pairs (row, leader), and entries (token, node) of shared tokens."""
+    kinds, blobs = table.column("kind").to_pylist(), table.column("blob").to_pylist()
+    own, known_pairs, known = (from_blobs([b for b, k in zip(blobs, kinds, strict=True) if k == kind]) for kind in (0, PAIR, ENTRY))
+    _, pairs, shared = led(*own)
+    parts = [(PAIR, pairs), (PAIR, known_pairs), (ENTRY, shared), (ENTRY, known)]
+    a, b = np.concatenate([both for _, both in parts], axis=1)
+    return pa.table({"kind": pa.array(np.repeat([k for k, _ in parts], [both.shape[1] for _, both in parts]), pa.int32()), "a": pa.array(a), "b": pa.array(b)})
+
+
 def whole_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
     """Rows that are sorted by token, in pieces that cut no token's run, and where the runs begin and end in each."""
     held: list[pa.RecordBatch] = []
@@ -120,79 +247,47 @@ def whole_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np
         yield piece()
 
 
-ENTRY = "token long, node long, size int, pos int, comp long"
-
-
-def shared_entries(entries: DataFrame) -> DataFrame:
-    """The entries (token, node, size, pos, comp) of the shingles that more than one component has, an entry once, by token and size."""
-    schema = arrow_schema(ENTRY)
-
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, cuts in whole_runs(batches):
-            token, node, comp = (table.column(c).to_numpy() for c in ("token", "node", "comp"))
-            starts = np.repeat(cuts[:-1], np.diff(cuts))
-            several = np.logical_or.reduceat(comp != comp[starts], cuts[:-1])
-            first = np.concatenate([[True], (token[1:] != token[:-1]) | (node[1:] != node[:-1])])
-            on = np.flatnonzero(first & np.repeat(several, np.diff(cuts)))
-            if len(on):
-                yield from table.take(pa.array(on)).select(schema.names).cast(schema).combine_chunks().to_batches()
-
-    runs = entries.select("token", "node", "size", "pos", "comp").repartition(shuffle_partitions(entries.sparkSession), "token")
-    return runs.sortWithinPartitions("token", "size", "node").mapInArrow(keep, ENTRY)
-
-
-def pairs_of_run(node: np.ndarray, size: np.ndarray, pos: np.ndarray, comp: np.ndarray, bits: np.ndarray | None) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Pairs of one shingle's nodes, sorted by size, that may be similar and are not in one component yet.
-
-    Without sketches (bits) a node meets only its leader, the first that is large enough.
-    """
-    u, v, low, (a, b) = [], [], 0, LEAST
-    for k in range(1, len(node)):
-        while b * size[low] < a * size[k]:
-            low += 1
-        js = np.arange(low, k if bits is not None else min(k, low + 1))
-        js = js[comp[js] != comp[k]]
-        total = size[js] + size[k]
-        least = overlap(total)
-        may = np.minimum(pos[js], pos[k]) + np.minimum(size[js] - pos[js], size[k] - pos[k]) >= least
-        if bits is not None:
-            may &= np.bitwise_count(bits[js] ^ bits[k]).sum(axis=1) <= total - 2 * least
-        if may.any():
-            u.append(np.full(int(may.sum()), node[k]))
-            v.append(node[js[may]])
-    return u, v
-
-
-def candidates(runs: DataFrame) -> DataFrame:
-    """runs: token, node, size, pos, comp and perhaps bits, by token and size. Returns u > v of the pairs that may be similar."""
-    schema, sketched = arrow_schema("u long, v long"), "bits" in runs.columns
-
-    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def search(node: list[int], size: list[int], prints: list[int], comp: list[int]) -> list[tuple[int, int]]:
+    """Pairs (greater, smaller node) of one shard, of two components, whose sizes and fingerprints allow the similarity."""
+    (a, b), tree, at, out = LEAST, BKTree(), [], []
+    members: dict[int, list[int]] = {}
+    for k, c in enumerate(comp):
+        members.setdefault(c, []).append(k)
+    # the largest component is only looked up, so that its rows aren't compared with each other
+    for own in sorted(members.values(), key=len, reverse=True):
+        for k in own if at else ():
+            for j in tree.within(prints[k], RADIUS):
+                j = at[j]
+                if b * min(size[j], size[k]) >= a * max(size[j], size[k]):
+                    out.append((max(node[j], node[k]), min(node[j], node[k])))
+        for k in own:
+            tree.add(prints[k])
+            at.append(k)
+    return out
+
+
+def searched(shards: DataFrame) -> DataFrame:
+    """shards: token, node, size, f0, f1, comp, by token. Returns u > v of the pairs of two components that may be similar."""
+    schema = arrow_schema("u long, v long")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, cuts in whole_runs(batches):
-            node, size, pos, comp = (table.column(c).to_numpy().astype(np.int64) for c in ("node", "size", "pos", "comp"))
-            bits = table.column("bits").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(node), -1) if sketched else None
-            us, vs = [], []
-            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                u, v = pairs_of_run(node[a:b], size[a:b], pos[a:b], comp[a:b], bits[a:b] if sketched else None)
-                us += u
-                vs += v
-            if us:
-                x, y = np.concatenate(us), np.concatenate(vs)
-                both = np.unique(np.stack([np.maximum(x, y), np.minimum(x, y)]), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], schema=schema)
+            node, size, f0, f1, comp = (table.column(c).to_pylist() for c in ("node", "size", "f0", "f1", "comp"))
+            prints = [(x & (1 << 64) - 1) << 64 | y & (1 << 64) - 1 for x, y in zip(f0, f1, strict=True)]
+            found = set()
+            for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                found.update(search(node[i:j], size[i:j], prints[i:j], comp[i:j]))
+            if found:
+                u, v = zip(*found, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], schema=schema)
 
-    return runs.mapInArrow(pair, "u long, v long").distinct()
+    return shards.mapInArrow(run, "u long, v long").distinct()
 
 
 def verified(docs: DataFrame, rows: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs whose whole sets are similar enough: first by their sketches, then in full."""
-    (a, b), sketches = LEAST, rows.join(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "node", "left_semi").groupBy("node").agg(F.first("size").alias("size"), F.first("bits").alias("bits"))
-    side = lambda c: sketches.select(F.col("node").alias(c), F.col("size").alias(f"size_{c}"), F.col("bits").alias(f"bits_{c}"))
-    differ = F.expr("aggregate(zip_with(bits_u, bits_v, (x, y) -> bit_count(x ^ y)), 0, (n, x) -> n + x)")
-    total = F.col("size_u") + F.col("size_v")
-    pairs = checkpoint(pairs.join(side("u"), "u").join(side("v"), "v").where((differ <= total - 2 * F.expr(f"({a} * (size_u + size_v) + {a + b - 1}) div {a + b}"))).select("u", "v"))
+    """The pairs whose whole sets are similar enough. pairs is a checkpoint; of each node's rows one text is read."""
     asked = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    rep = checkpoint(rows.select(ROW_ID, "node").join(asked, "node", "left_semi").groupBy("node").agg(F.min(ROW_ID).alias(ROW_ID)))
+    rep = rows.select(ROW_ID, "node").join(asked, "node", "left_semi").groupBy("node").agg(F.min(ROW_ID).alias(ROW_ID))
     bit = F.pmod(F.xxhash64(ROW_ID), F.lit(ROW_BITS))
     maps = rep.select((bit + 1).alias("b")).groupBy(F.bitmap_bucket_number("b").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("b")).alias("m"))
     on = np.zeros((ROW_BITS // 32768, 4096), np.uint8)
@@ -200,55 +295,72 @@ def verified(docs: DataFrame, rows: DataFrame, pairs: DataFrame) -> DataFrame:
         on[r.k - 1] = np.frombuffer(r.m, np.uint8)
     held = docs.sparkSession.sparkContext.broadcast(on.tobytes())
 
-    def sets(batches: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
+    def texts(batches: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
         data = held.value
         for x in batches:
-            own = [k for k, b in enumerate(x["bit"]) if data[b >> 3] >> (b & 7) & 1]
-            found = [shingle_set(x["text"][k]).tobytes() for k in own]
-            yield {"node": [node_of(s) for s in found], "found": found}
+            own = [x["text"][k] for k, b in enumerate(x["bit"]) if data[b >> 3] >> (b & 7) & 1]
+            yield {"node": [node_of(shingle_set(t)) for t in own], "text": own}
 
     # a row that the filter lets through in vain has its own right node, so it only repeats pairs
-    found = checkpoint(map_columns(with_row_id(docs.select("text")).withColumn("bit", bit), sets, "node long, found binary"))
+    found = map_columns(with_row_id(docs.select("text")).withColumn("bit", bit), texts, "node long, text string")
 
-    def similar(batches: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
-        a, b = LEAST
+    def compare(batches: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
+        last, t = None, None
         for x in batches:
-            on = []
-            for k, (p, q) in enumerate(zip(x["p"], x["q"], strict=True)):
-                s, t = np.frombuffer(p, "<u8"), np.frombuffer(q, "<u8")
-                both = len(np.intersect1d(s, t, assume_unique=True))
-                if b * both >= a * (len(s) + len(t) - both):
-                    on.append(k)
-            yield {c: [x[c][k] for k in on] for c in ("u", "v")}
+            out = []
+            for k, (v, p, q) in enumerate(zip(x["v"], x["p"], x["q"], strict=True)):
+                if t is None or v != last:
+                    last, t = v, shingle_set(q)
+                if similar(shingle_set(p), t):
+                    out.append(k)
+            yield {c: [x[c][k] for k in out] for c in ("u", "v")}
 
-    sides = pairs.join(found.select(F.col("node").alias("u"), F.col("found").alias("p")), "u").join(found.select(F.col("node").alias("v"), F.col("found").alias("q")), "v")
-    return map_columns(sides.select("u", "v", "p", "q"), similar, "u long, v long").distinct()
+    side = lambda c, text: found.select(F.col("node").alias(c), F.col("text").alias(text))
+    both = pairs.select("u", "v").join(side("u", "p"), "u").join(side("v", "q"), "v")
+    return map_columns(both.select("u", "v", "p", "q"), compare, "u long, v long", rows=128).distinct()
 
 
 def near_copies(docs: DataFrame) -> DataFrame:
-    """A row per row of docs: __row_id, doc_id, component_id, keep_row, as of simhash.near_dedup.
+    """A row per row of docs (which is stable): __row_id, doc_id, component_id, keep_row, as of simhash.near_dedup.
 
-    Rows of equal sets are one node, by a 64-bit hash of the set. Leaders are compared first, so that a large group of
-    copies is mostly one component before all its other pairs are asked for.
+    Rows of equal sets are one node, by a 64-bit hash of the set.
     """
-    held = docs.sparkSession.sparkContext.broadcast(frequent_buckets(docs))
+    spark = docs.sparkSession
+    order = spark.sparkContext.broadcast(frequent_buckets(docs))
 
     def describe(batches: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
         for x in batches:
             sets = [shingle_set(t) for t in x["text"]]
-            yield {ROW_ID: x[ROW_ID], "doc_id": x["doc_id"], "node": [node_of(s.tobytes()) for s in sets], "size": [len(s) for s in sets],
-                   "bits": [sketch(s) for s in sets], "prefix": [prefix(s, *held.value).view(np.int64) for s in sets]}
-
-    rows = checkpoint(map_columns(with_row_id(docs.select("doc_id", "text")), describe, f"{ROW_ID} long, doc_id long, node long, size int, bits array<long>, prefix array<long>"))
-    entries = rows.select("node", "size", F.col("node").alias("comp"), F.posexplode("prefix").alias("pos", "token"))
-    entries = checkpoint(shared_entries(entries))
-    first = checkpoint(verified(docs, rows, checkpoint(candidates(entries))))
-    joined = connected_components(first)
-    rest = checkpoint(shared_entries(entries.drop("comp").join(joined, "node", "left").withColumn("comp", F.coalesce("root", "node"))))
-    bits = rows.select("node", "bits").join(rest.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("bits").alias("bits"))
-    rest = rest.join(bits, "node").repartition(shuffle_partitions(docs.sparkSession), "token").sortWithinPartitions("token", "size", "node")
-    links = joined.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(verified(docs, rows, checkpoint(candidates(rest))))
-    rooted = rows.select(ROW_ID, "doc_id", "node").join(connected_components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    order = F.struct(F.coalesce(F.col("doc_id"), F.lit((1 << 63) - 1)).alias("d"), F.col(ROW_ID).alias("r"))
-    tops = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.min(order).alias("keep"))
+            prints = [fingerprint(s) for s in sets]
+            yield {ROW_ID: x[ROW_ID], "doc_id": x["doc_id"], "node": [node_of(s) for s in sets], "size": [len(s) for s in sets], "f0": [f for f, _ in prints], "f1": [f for _, f in prints]}
+
+    rows = checkpoint(map_columns(with_row_id(docs.select("doc_id", "text")), describe, f"{ROW_ID} long, doc_id long, node long, size int, f0 long, f1 long", rows=256))
+    total = rows.agg(F.sum("size")).first()[0] or 0
+    buckets = max(shuffle_partitions(spark), total // (LEAST[1] * BUCKET_ENTRIES))
+    found = docs.select("text").mapInArrow(entry_blobs(order, buckets), "bucket int, kind int, blob binary").groupBy("bucket").applyInArrow(meet, "kind int, a long, b long")
+    found = checkpoint(found)
+
+    # one row per node; f0 and f1 are the same in all rows of a node
+    nodes = rows.groupBy("node").agg(F.first("size").alias("size"), F.first("f0").alias("f0"), F.first("f1").alias("f1"))
+    led_by = found.where(F.col("kind") == PAIR).groupBy(F.col("a").alias("u"), F.col("b").alias("v")).agg(F.count("*").alias("met"))
+    side = lambda c: nodes.select(F.col("node").alias(c), F.struct("size", "f0", "f1").alias(f"n_{c}"))
+    may = f"{LEAST[1]} * least(n_u.size, n_v.size) >= {LEAST[0]} * greatest(n_u.size, n_v.size) and bit_count(n_u.f0 ^ n_v.f0) + bit_count(n_u.f1 ^ n_v.f1) <= {RADIUS}"
+    best = led_by.join(side("u"), "u").join(side("v"), "v").where(F.expr(may)).groupBy("u").agg(F.max_by("v", F.struct("met", "v")).alias("v"))
+    first = checkpoint(best)
+    links = checkpoint(verified(docs, rows, first))
+    joined = connected_components(links)
+
+    entries = found.where(F.col("kind") == ENTRY).select(F.col("a").alias("token"), F.col("b").alias("node")).distinct()
+    entries = entries.join(joined, "node", "left").select("token", "node", F.coalesce("root", "node").alias("comp"))
+    open_tokens = entries.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("token")
+    shards = entries.join(open_tokens, "token").join(nodes, "node")
+    # not by token itself: Spark would leave this shuffle out where a join has dealt by token, and then read that join's parts as it likes
+    shards = shards.repartition(shuffle_partitions(spark), again("token")).sortWithinPartitions("token", "comp", "node")
+    more = checkpoint(searched(shards).join(first, ["u", "v"], "left_anti"))
+    if not more.isEmpty():
+        links = joined.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(verified(docs, rows, more))
+        joined = connected_components(links)
+    rooted = rows.select(ROW_ID, "doc_id", "node").join(joined, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    least = F.struct(F.coalesce(F.col("doc_id"), F.lit((1 << 63) - 1)).alias("d"), F.col(ROW_ID).alias("r"))
+    tops = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.min(least).alias("keep"))
     return rooted.join(tops, "root").select(ROW_ID, "doc_id", "component_id", F.col("keep.r").alias("keep_row"))

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarn.llm.common import ROW_ID, checkpoint, free_name, map_columns, read_table, with_row_id
+from tarn.llm.common import ROW_ID, checkpoint, free_name, map_columns, read_table, stable, with_row_id
 
 KINDS = ("email", "ip", "card", "phone", "generalised", "removed")
 LABELS = ("[EMAIL]", "[IP]", "[CARD]", "[PHONE]", "[TERM]", "")
@@ -236,6 +236,7 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Texts without @ and digits hold none and go straight through; only the others meet the spans.
     """
+    docs = stable(docs)
     names, schema = docs.columns, docs.schema
     row, spans, may = (free_name(docs, c) for c in ("__row", "__spans", "__may"))
     found = sanitising_spans(docs).where(F.size("base") > 0)

@@ -18,7 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarn.llm.common import ROW_ID, arrow_schema, checkpoint, map_columns, read_table, with_row_id, without_rows
+from tarn.llm.bk_tree import BKTree
+from tarn.llm.common import ROW_ID, arrow_schema, checkpoint, map_columns, read_table, stable, with_row_id, without_rows
 from tarn.llm.components import again, connected_components
 from tarn.llm.near_copies import near_copies, shingle_hashes
 
@@ -36,36 +37,6 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(counts * 2 > len(h), bitorder="little").tobytes(), "little")
 
 
-class BKTree:
-    """Integers under Hamming distance; nodes are numbered as added."""
-
-    def __init__(self) -> None:
-        self.values: list[int] = []
-        self.children: list[dict[int, int]] = []
-
-    def add(self, value: int) -> None:
-        self.values.append(value)
-        self.children.append({})
-        new, at = len(self.values) - 1, 0
-        while at != new:
-            d = (self.values[at] ^ value).bit_count()
-            at = self.children[at].setdefault(d, new)
-
-    def within(self, value: int, radius: int) -> list[int]:
-        found, todo = [], [0] if self.values else []
-        values, children = self.values, self.children
-        while todo:
-            at = todo.pop()
-            d = (values[at] ^ value).bit_count()
-            if d <= radius:
-                found.append(at)
-            low, high = d - radius, d + radius
-            for edge, child in children[at].items():
-                if low <= edge <= high:
-                    todo.append(child)
-        return found
-
-
 def shard_masks(blocks: int = BLOCKS, radius: int = RADIUS) -> list[int]:
     """Masks of the bits that a shard's fingerprints agree in."""
     cuts = [round(64 * k / blocks) for k in range(blocks + 1)]
@@ -173,7 +144,9 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """docs with one row of each component of near copies (five words, similarity 0.8): that of the smallest doc_id.
 
-    The three words and three bits above are op3's alone; most pairs of this similarity differ in more bits.
+    The three words and three bits above are op3's alone; most pairs of this similarity differ in more bits. Null and empty
+    texts are copies of each other; a null doc_id counts as the largest, of rows that share a doc_id one stays. An empty table gives no rows.
     """
+    docs = stable(docs)
     gone = near_copies(docs).where(F.col(ROW_ID) != F.col("keep_row")).select(ROW_ID)
     return without_rows(docs, gone)

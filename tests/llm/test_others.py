@@ -339,16 +339,16 @@ def test_pipeline(spark, sf):
     from tokenizers import Tokenizer
 
     from .test_pii import plain
-    from .test_simhash import plain_components, plain_fingerprint
+    from .test_simhash import plain_near_copies
 
     docs = read_table(spark, sf, "documents").collect()
     kept = {}
     for r in sorted(docs, key=lambda r: r.doc_id):
         if r.text and any(c.isalpha() for c in r.text):
             kept[r.text] = r
-    rows = list(kept.values())
-    components = plain_components([(r.doc_id, plain_fingerprint(r.text)) for r in rows])
-    rows = [r for r, c in zip(rows, components, strict=True) if r.doc_id == c]
+    rows = sorted(kept.values(), key=lambda r: r.doc_id)
+    components = plain_near_copies([r.text for r in rows])
+    rows = [r for k, (r, c) in enumerate(zip(rows, components, strict=True)) if k == c]
     got = corpus_pipeline.run(spark, sf).collect()
     assert {r.doc_id for r in got} == {r.doc_id for r in rows}
     t = Tokenizer.from_file(public_tokenizers.path(packing.TOKENIZER))
