@@ -83,21 +83,66 @@ def test_decodes_losslessly(vocabulary, text, key, rate):
     assert vocabulary.decode(subwords.Encoder(vocabulary, rate=rate).encode(text, key).tolist()) == text
 
 
+def plain_pieces(vocabulary, word, key, limit):
+    """The agenda as it is defined: of the pairs that may merge and aren't skipped the best, leftmost one, again and again."""
+    pieces, starts = list(word), list(range(len(word) + 1))
+    while True:
+        best = min(((r, k) for k in range(len(pieces) - 1) if (r := vocabulary.rank.get(pieces[k] + pieces[k + 1])) is not None and not subwords.skipped(key, starts[k], starts[k + 2]) < limit), default=None)
+        if best is None:
+            return pieces
+        k = best[1]
+        pieces[k : k + 2] = [pieces[k] + pieces[k + 1]]
+        del starts[k + 1]
+
+
 @settings(max_examples=200, deadline=None)
-@given(st.text(alphabet="abethinor ▁,.é", min_size=1, max_size=60), st.sampled_from([0, 1 << 22, 1 << 23]))
-def test_both_agendas_agree(vocabulary, word, limit):
-    assert vocabulary.merged_short(word, 12345, limit) == vocabulary.merged_long(word, 12345, limit)
+@given(st.text(alphabet="abethinor ▁,.é", min_size=1, max_size=60), st.integers(0, 1 << 63), st.sampled_from([0, 1 << 22, 1 << 23]))
+def test_the_heap_against_the_plain_agenda(vocabulary, word, key, limit):
+    assert vocabulary.merged_long(word, key, limit) == plain_pieces(vocabulary, word, key, limit)
+
+
+@pytest.fixture(scope="module")
+def encoders(vocabulary):
+    return {rate: subwords.Encoder(vocabulary, rate=rate) for rate in (0.1, 0.5)}
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(alphabet="abethinor  ,.é中", max_size=60), max_size=4), st.integers(0, 1 << 40), st.sampled_from([0.1, 0.5]))
+def test_batches_against_the_plain_agenda(vocabulary, encoders, texts, doc, rate):
+    ids, ends = encoders[rate].encode_all(texts, [doc + k for k in range(len(texts))])
+    for k, text in enumerate(texts):
+        words = vocabulary.word.findall(" " + text) if text else []
+        import xxhash
+
+        keys = subwords.occurrence_keys(xxhash.xxh64_intdigest(str(doc + k).encode(), subwords.SEED), 0, len(words)).tolist()
+        want = [i for w, key in zip(words, keys, strict=True) for i in vocabulary.ids_of(plain_pieces(vocabulary, w.replace(" ", subwords.SPACE), key, int(rate * (1 << 24))))]
+        assert ids[ends[k] : ends[k + 1]].tolist() == want
+
+
+def test_skips_are_as_often_as_the_rate_says():
+    keys = subwords.occurrence_keys(99, 0, 200_000)
+    a, b = (subwords.skipped_all(keys, np.uint64(subwords.place(*p))) < 0.1 * (1 << 24) for p in ((0, 2), (1, 3)))
+    assert abs(a.mean() - 0.1) < 0.005 and abs(b.mean() - 0.1) < 0.005 and abs((a & b).mean() - 0.01) < 0.002
+    assert [subwords.skipped(int(k), 1, 3) for k in keys[:50]] == subwords.skipped_all(keys[:50], np.uint64(subwords.place(1, 3))).tolist()
 
 
-def test_dropout_varies_by_key_and_seed_only(vocabulary):
+def test_dropout_varies_by_document_occurrence_and_seed(vocabulary, monkeypatch):
     text = "international considerations throughout the neighbourhood " * 20
     ids = [subwords.Encoder(vocabulary, rate=0.3).encode(text, k).tolist() for k in range(12)]
-    assert 1 < len({str(i) for i in ids}) <= subwords.VARIANTS
-    assert subwords.Encoder(vocabulary, rate=0.3).encode(text, 5).tolist() == ids[5]
+    assert len({str(i) for i in ids}) == 12
+    one = subwords.Encoder(vocabulary, rate=0.3)
+    assert one.encode(text, 5).tolist() == ids[5] and one.encode_all([text] * 12, list(range(12)))[0].tolist() == [i for x in ids for i in x]
+    found, sizes = one.walk(["international"] * 2000, subwords.occurrence_keys(1, 0, 2000))
+    assert len({str(x) for x in np.split(found, np.cumsum(sizes)[:-1])}) > 20  # one word of one document in many ways
     assert subwords.Encoder(vocabulary, seed=7, rate=0.3).encode(text, 5).tolist() not in ids
     base = subwords.Encoder(vocabulary, rate=0.0).encode(text)
     share = [len(subwords.Encoder(vocabulary, rate=r).encode(text, 1)) / len(base) for r in (0.1, 0.5, 1.0)]
     assert 1 <= share[0] <= share[1] < share[2]
+    monkeypatch.setattr(subwords, "KEPT_WORDS", 2)  # what is forgotten comes back the same
+    monkeypatch.setattr(subwords, "BLOCK", 7)
+    small = subwords.Encoder(vocabulary, rate=0.3)
+    for _ in range(2):
+        assert [small.encode(text, k).tolist() for k in range(12)] == ids
 
 
 def test_encode_and_decode_columns(spark, sf, tmp_path):
