@@ -11,7 +11,8 @@ last in the order, which keeps boilerplate out of the shards; the order changes
 2. Shards whose rows are in several components are searched again: a BK-tree takes one component after the other, and each
    row looks for those of other components within RADIUS. What is found is compared in full.
 
-A fingerprint has 128 bits; RADIUS is five standard deviations over the distance that sets of similarity LEAST have (the
+Besides, the parity of a set's shingles in each of 128 buckets differs in at most as many bits as two sets differ in shingles, which
+similar sets bound; that tells small sets apart that are alike but not enough. A fingerprint has 128 bits; RADIUS is five standard deviations over the distance that sets of similarity LEAST have (the
 chance that it hides such a pair is below one in a million), while sets that share nothing are three below theirs.
 """
 
@@ -38,11 +39,13 @@ SAMPLED, ORDER_BITS, FREQUENT = 1 << 11, 22, 4
 #: Bits of the filter of rows whose texts are compared; fixed, 2 MB. A fuller filter shuffles texts in vain, but no pair is missed.
 ROW_BITS = 1 << 24
 #: Entries that a task holds before it hands them on, and about how many a bucket gets.
-FLUSH, BUCKET_ENTRIES = 1 << 20, 1 << 21
+FLUSH, BUCKET_ENTRIES = 1 << 19, 1 << 21
 #: Words whose hashes a worker keeps; shingles whose bits are counted at once.
-KEPT_WORDS, COUNT_ROWS = 1 << 20, 1 << 15
+KEPT_WORDS, COUNT_ROWS = 1 << 18, 1 << 15
 FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 PAIR, ENTRY = 1, 2
+#: Columns of a node's fingerprint and parity.
+BITS = ("f0", "f1", "p0", "p1")
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -104,6 +107,19 @@ def fingerprint(found: np.ndarray) -> tuple[int, int]:
     return a, b
 
 
+def parity(found: np.ndarray) -> tuple[int, int]:
+    """Whether each of 128 buckets has an odd number of the hashes, as two signed numbers."""
+    odd = np.bincount((found & np.uint64(127)).astype(np.int64), minlength=128) & 1
+    a, b = np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
+    return a, b
+
+
+def may_differ(total: int) -> int:
+    """In how many shingles two sets of total shingles together may differ and be similar enough."""
+    a, b = LEAST
+    return total - 2 * ((a * total + a + b - 1) // (a + b))
+
+
 def prefix(found: np.ndarray, buckets: np.ndarray, ranks: np.ndarray) -> np.ndarray:
     """The first shingles of a set in the order (rank of the bucket, hash)."""
     n, (a, b) = len(found), LEAST
@@ -247,8 +263,8 @@ def whole_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np
         yield piece()
 
 
-def search(node: list[int], size: list[int], prints: list[int], comp: list[int]) -> list[tuple[int, int]]:
-    """Pairs (greater, smaller node) of one shard, of two components, whose sizes and fingerprints allow the similarity."""
+def search(node: list[int], size: list[int], prints: list[int], odd: list[int], comp: list[int]) -> list[tuple[int, int]]:
+    """Pairs (greater, smaller node) of one shard, of two components, whose sizes, fingerprints and parities allow the similarity."""
     (a, b), tree, at, out = LEAST, BKTree(), [], []
     members: dict[int, list[int]] = {}
     for k, c in enumerate(comp):
@@ -258,7 +274,7 @@ def search(node: list[int], size: list[int], prints: list[int], comp: list[int])
         for k in own if at else ():
             for j in tree.within(prints[k], RADIUS):
                 j = at[j]
-                if b * min(size[j], size[k]) >= a * max(size[j], size[k]):
+                if b * min(size[j], size[k]) >= a * max(size[j], size[k]) and (odd[j] ^ odd[k]).bit_count() <= may_differ(size[j] + size[k]):
                     out.append((max(node[j], node[k]), min(node[j], node[k])))
         for k in own:
             tree.add(prints[k])
@@ -267,16 +283,16 @@ def search(node: list[int], size: list[int], prints: list[int], comp: list[int])
 
 
 def searched(shards: DataFrame) -> DataFrame:
-    """shards: token, node, size, f0, f1, comp, by token. Returns u > v of the pairs of two components that may be similar."""
+    """shards: token, node, size, f0, f1, p0, p1, comp, by token. Returns u > v of the pairs of two components that may be similar."""
     schema = arrow_schema("u long, v long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, cuts in whole_runs(batches):
-            node, size, f0, f1, comp = (table.column(c).to_pylist() for c in ("node", "size", "f0", "f1", "comp"))
-            prints = [(x & (1 << 64) - 1) << 64 | y & (1 << 64) - 1 for x, y in zip(f0, f1, strict=True)]
+            node, size, comp = (table.column(c).to_pylist() for c in ("node", "size", "comp"))
+            prints, odd = ([(x & (1 << 64) - 1) << 64 | y & (1 << 64) - 1 for x, y in zip(*(table.column(c).to_pylist() for c in names), strict=True)] for names in (("f0", "f1"), ("p0", "p1")))
             found = set()
             for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                found.update(search(node[i:j], size[i:j], prints[i:j], comp[i:j]))
+                found.update(search(node[i:j], size[i:j], prints[i:j], odd[i:j], comp[i:j]))
             if found:
                 u, v = zip(*found, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], schema=schema)
@@ -331,20 +347,23 @@ def near_copies(docs: DataFrame) -> DataFrame:
     def describe(batches: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
         for x in batches:
             sets = [shingle_set(t) for t in x["text"]]
-            prints = [fingerprint(s) for s in sets]
-            yield {ROW_ID: x[ROW_ID], "doc_id": x["doc_id"], "node": [node_of(s) for s in sets], "size": [len(s) for s in sets], "f0": [f for f, _ in prints], "f1": [f for _, f in prints]}
+            bits = [(*fingerprint(s), *parity(s)) for s in sets]
+            yield {ROW_ID: x[ROW_ID], "doc_id": x["doc_id"], "node": [node_of(s) for s in sets], "size": [len(s) for s in sets]} | {c: [v[k] for v in bits] for k, c in enumerate(BITS)}
 
-    rows = checkpoint(map_columns(with_row_id(docs.select("doc_id", "text")), describe, f"{ROW_ID} long, doc_id long, node long, size int, f0 long, f1 long", rows=256))
+    rows = checkpoint(map_columns(with_row_id(docs.select("doc_id", "text")), describe, f"{ROW_ID} long, doc_id long, node long, size int, {', '.join(f'{c} long' for c in BITS)}", rows=256))
     total = rows.agg(F.sum("size")).first()[0] or 0
     buckets = max(shuffle_partitions(spark), total // (LEAST[1] * BUCKET_ENTRIES))
     found = docs.select("text").mapInArrow(entry_blobs(order, buckets), "bucket int, kind int, blob binary").groupBy("bucket").applyInArrow(meet, "kind int, a long, b long")
     found = checkpoint(found)
 
-    # one row per node; f0 and f1 are the same in all rows of a node
-    nodes = rows.groupBy("node").agg(F.first("size").alias("size"), F.first("f0").alias("f0"), F.first("f1").alias("f1"))
+    # one row per node; what else is known of it is the same in all its rows
+    nodes = rows.groupBy("node").agg(*(F.first(c).alias(c) for c in ("size", *BITS)))
     led_by = found.where(F.col("kind") == PAIR).groupBy(F.col("a").alias("u"), F.col("b").alias("v")).agg(F.count("*").alias("met"))
-    side = lambda c: nodes.select(F.col("node").alias(c), F.struct("size", "f0", "f1").alias(f"n_{c}"))
-    may = f"{LEAST[1]} * least(n_u.size, n_v.size) >= {LEAST[0]} * greatest(n_u.size, n_v.size) and bit_count(n_u.f0 ^ n_v.f0) + bit_count(n_u.f1 ^ n_v.f1) <= {RADIUS}"
+    side = lambda c: nodes.select(F.col("node").alias(c), F.struct("size", *BITS).alias(f"n_{c}"))
+    bits_in = lambda names: " + ".join(f"bit_count(n_u.{c} ^ n_v.{c})" for c in names)
+    (least, of), total = LEAST, "(n_u.size + n_v.size)"
+    may = f"""{of} * least(n_u.size, n_v.size) >= {least} * greatest(n_u.size, n_v.size) and {bits_in(BITS[:2])} <= {RADIUS}
+        and {bits_in(BITS[2:])} <= {total} - 2 * (({least} * {total} + {least + of - 1}) div {least + of})"""
     best = led_by.join(side("u"), "u").join(side("v"), "v").where(F.expr(may)).groupBy("u").agg(F.max_by("v", F.struct("met", "v")).alias("v"))
     first = checkpoint(best)
     links = checkpoint(verified(docs, rows, first))
@@ -361,6 +380,6 @@ def near_copies(docs: DataFrame) -> DataFrame:
         links = joined.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(verified(docs, rows, more))
         joined = connected_components(links)
     rooted = rows.select(ROW_ID, "doc_id", "node").join(joined, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = F.struct(F.coalesce(F.col("doc_id"), F.lit((1 << 63) - 1)).alias("d"), F.col(ROW_ID).alias("r"))
-    tops = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.min(least).alias("keep"))
+    order = F.struct(F.coalesce(F.col("doc_id"), F.lit((1 << 63) - 1)).alias("d"), F.col(ROW_ID).alias("r"))
+    tops = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.min(order).alias("keep"))
     return rooted.join(tops, "root").select(ROW_ID, "doc_id", "component_id", F.col("keep.r").alias("keep_row"))
