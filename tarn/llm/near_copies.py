@@ -8,11 +8,13 @@ last in the order, which keeps boilerplate out of the shards; the order changes
 1. In each shard a row meets its leader, the least node: first in a task, then the tasks' leaders among each other, so that a
    shingle that a third of all rows have is one row per task. Of each row's leaders that are within RADIUS of its fingerprint,
    the one met most often is compared with it in full. What is similar forms components.
-2. Shards whose rows are in several components are searched again: a BK-tree takes one component after the other, and each
-   row looks for those of other components within RADIUS. What is found is compared in full.
+2. Shards whose rows are in several components are searched again: rows are the children, keyed by distance, of the shard's first
+   row, and each row outside the largest component looks for those of other components under the keys within RADIUS of its
+   own. (Deeper BK-trees prune nothing more at this radius, so what is found under a key is compared in arrays.) What is within
+   RADIUS is compared in full.
 
-Besides, the parity of a set's shingles in each of 128 buckets differs in at most as many bits as two sets differ in shingles, which
-similar sets bound; that tells small sets apart that are alike but not enough. A fingerprint has 128 bits; RADIUS is five standard deviations over the distance that sets of similarity LEAST have (the
+Besides, the parity of a set's shingles in each of 512 buckets differs in at most as many bits as two sets differ in shingles, which
+similar sets bound; that tells sets apart that are alike but not enough, before any text is read. A fingerprint has 128 bits; RADIUS is five standard deviations over the distance that sets of similarity LEAST have (the
 chance that it hides such a pair is below one in a million), while sets that share nothing are three below theirs.
 """
 
@@ -27,7 +29,6 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarn.llm.bk_tree import BKTree
 from tarn.llm.common import ROW_ID, arrow_schema, checkpoint, columns_of, map_columns, shuffle_partitions, with_row_id
 from tarn.llm.components import again, connected_components
 
@@ -45,7 +46,10 @@ KEPT_WORDS, COUNT_ROWS = 1 << 18, 1 << 15
 FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 PAIR, ENTRY = 1, 2
 #: Columns of a node's fingerprint and parity.
-BITS = ("f0", "f1", "p0", "p1")
+PRINT, PARITY = ("f0", "f1"), tuple(f"p{k}" for k in range(8))
+BITS = PRINT + PARITY
+#: Pairs that are looked at together.
+PAIRS_AT_ONCE = 1 << 21
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -107,14 +111,13 @@ def fingerprint(found: np.ndarray) -> tuple[int, int]:
     return a, b
 
 
-def parity(found: np.ndarray) -> tuple[int, int]:
-    """Whether each of 128 buckets has an odd number of the hashes, as two signed numbers."""
-    odd = np.bincount((found & np.uint64(127)).astype(np.int64), minlength=128) & 1
-    a, b = np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
-    return a, b
+def parity(found: np.ndarray) -> list[int]:
+    """Whether each of 512 buckets has an odd number of the hashes, as signed numbers."""
+    odd = np.bincount((found & np.uint64(64 * len(PARITY) - 1)).astype(np.int64), minlength=64 * len(PARITY)) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
 
 
-def may_differ(total: int) -> int:
+def may_differ(total: np.ndarray) -> np.ndarray:
     """In how many shingles two sets of total shingles together may differ and be similar enough."""
     a, b = LEAST
     return total - 2 * ((a * total + a + b - 1) // (a + b))
@@ -263,39 +266,56 @@ def whole_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np
         yield piece()
 
 
-def search(node: list[int], size: list[int], prints: list[int], odd: list[int], comp: list[int]) -> list[tuple[int, int]]:
-    """Pairs (greater, smaller node) of one shard, of two components, whose sizes, fingerprints and parities allow the similarity."""
-    (a, b), tree, at, out = LEAST, BKTree(), [], []
-    members: dict[int, list[int]] = {}
-    for k, c in enumerate(comp):
-        members.setdefault(c, []).append(k)
-    # the largest component is only looked up, so that its rows aren't compared with each other
-    for own in sorted(members.values(), key=len, reverse=True):
-        for k in own if at else ():
-            for j in tree.within(prints[k], RADIUS):
-                j = at[j]
-                if b * min(size[j], size[k]) >= a * max(size[j], size[k]) and (odd[j] ^ odd[k]).bit_count() <= may_differ(size[j] + size[k]):
-                    out.append((max(node[j], node[k]), min(node[j], node[k])))
-        for k in own:
-            tree.add(prints[k])
-            at.append(k)
-    return out
+def bits_between(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
+
+
+def search(cuts: np.ndarray, node: np.ndarray, size: np.ndarray, prints: np.ndarray, odd: np.ndarray, comp: np.ndarray) -> np.ndarray:
+    """Pairs (greater, smaller node) of rows of one shard, but of two components, whose sizes, fingerprints and parities allow the similarity.
+
+    cuts: where the shards begin, and the end of the last.
+    """
+    (a, b), n = LEAST, len(node)
+    shard = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))
+    key = bits_between(prints, prints[cuts[:-1]][shard])
+    order = np.lexsort((key, shard))
+    node, size, prints, odd, comp, key = (x[order] for x in (node, size, prints, odd, comp, key))
+    # the largest component of each shard is only looked up, so that its rows aren't compared with each other
+    by = np.lexsort((comp, shard))
+    head = np.flatnonzero(np.append(True, (comp[by][1:] != comp[by][:-1]) | (shard[by][1:] != shard[by][:-1])))
+    counts = np.diff(np.append(head, n))
+    best = np.lexsort((-counts, shard[by][head]))
+    best = best[np.append(True, np.diff(shard[by][head][best]) > 0)]
+    asks = np.flatnonzero(comp != comp[by][head][best][shard])
+    place = shard * 1024 + key
+    low, high = np.searchsorted(place, place[asks] - np.minimum(key[asks], RADIUS)), np.searchsorted(place, place[asks] + RADIUS, side="right")
+    many, out, at = np.cumsum(high - low), [], 0
+    while at < len(asks):
+        end = max(at + 1, int(np.searchsorted(many, (many[at - 1] if at else 0) + PAIRS_AT_ONCE, side="right")))
+        sizes = (high - low)[at:end]
+        i = np.repeat(asks[at:end], sizes)
+        j = np.repeat(low[at:end] - (np.cumsum(sizes) - sizes), sizes) + np.arange(len(i))
+        on = (comp[i] != comp[j]) & (b * np.minimum(size[i], size[j]) >= a * np.maximum(size[i], size[j]))
+        i, j = i[on], j[on]
+        on = bits_between(prints[i], prints[j]) <= RADIUS
+        i, j = i[on], j[on]
+        on = bits_between(odd[i], odd[j]) <= may_differ(size[i] + size[j])
+        u, v = node[i[on]], node[j[on]]
+        out.append(np.unique(np.stack([np.maximum(u, v), np.minimum(u, v)]), axis=1))
+        at = end
+    return np.unique(np.concatenate([np.zeros((2, 0), np.int64), *out], axis=1), axis=1)
 
 
 def searched(shards: DataFrame) -> DataFrame:
-    """shards: token, node, size, f0, f1, p0, p1, comp, by token. Returns u > v of the pairs of two components that may be similar."""
+    """shards: token, node, size, BITS, comp, by token. Returns u > v of the pairs of two components that may be similar."""
     schema = arrow_schema("u long, v long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, cuts in whole_runs(batches):
-            node, size, comp = (table.column(c).to_pylist() for c in ("node", "size", "comp"))
-            prints, odd = ([(x & (1 << 64) - 1) << 64 | y & (1 << 64) - 1 for x, y in zip(*(table.column(c).to_pylist() for c in names), strict=True)] for names in (("f0", "f1"), ("p0", "p1")))
-            found = set()
-            for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                found.update(search(node[i:j], size[i:j], prints[i:j], odd[i:j], comp[i:j]))
-            if found:
-                u, v = zip(*found, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], schema=schema)
+            node, size, comp = (table.column(c).to_numpy().astype(np.int64) for c in ("node", "size", "comp"))
+            prints, odd = (np.stack([table.column(c).to_numpy().view(np.uint64) for c in names], axis=1) for names in (PRINT, PARITY))
+            u, v = search(cuts, node, size, prints, odd, comp)
+            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], schema=schema)
 
     return shards.mapInArrow(run, "u long, v long").distinct()
 
@@ -362,8 +382,8 @@ def near_copies(docs: DataFrame) -> DataFrame:
     side = lambda c: nodes.select(F.col("node").alias(c), F.struct("size", *BITS).alias(f"n_{c}"))
     bits_in = lambda names: " + ".join(f"bit_count(n_u.{c} ^ n_v.{c})" for c in names)
     (least, of), total = LEAST, "(n_u.size + n_v.size)"
-    may = f"""{of} * least(n_u.size, n_v.size) >= {least} * greatest(n_u.size, n_v.size) and {bits_in(BITS[:2])} <= {RADIUS}
-        and {bits_in(BITS[2:])} <= {total} - 2 * (({least} * {total} + {least + of - 1}) div {least + of})"""
+    may = f"""{of} * least(n_u.size, n_v.size) >= {least} * greatest(n_u.size, n_v.size) and {bits_in(PRINT)} <= {RADIUS}
+        and {bits_in(PARITY)} <= {total} - 2 * (({least} * {total} + {least + of - 1}) div {least + of})"""
     best = led_by.join(side("u"), "u").join(side("v"), "v").where(F.expr(may)).groupBy("u").agg(F.max_by("v", F.struct("met", "v")).alias("v"))
     first = checkpoint(best)
     links = checkpoint(verified(docs, rows, first))
