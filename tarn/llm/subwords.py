@@ -31,9 +31,9 @@ from tarn.llm.common import arrow_schema, columns_of, read_table
 SEED, RATE, MODEL = 42, 0.1, "piece_bpe_32k.model"
 SPACE = "▁"
 #: Words that a worker keeps; beyond that it begins anew.
-KEPT_WORDS = 1 << 19
+KEPT_WORDS = 1 << 18
 #: Occurrences, and ids to decode, that are worked on together; words in one step of the agenda.
-BLOCK, ROWS = 1 << 18, 1 << 13
+BLOCK, ROWS = 1 << 16, 1 << 13
 #: Characters that may begin a word of their own; longer words than SHORT go one by one.
 MARKS, SHORT = ".,;:!?", 48
 MASK = (1 << 64) - 1
