@@ -1,5 +1,7 @@
 import hashlib
+import math
 import re
+import time
 import zlib
 from collections import defaultdict
 
@@ -175,6 +177,55 @@ def test_without_an_article_the_text_is_clustered():
     assert [g[-1] for g in got if len(g) > 50] == list("012345") and len(got) <= 8
 
 
+def plain_main_text(regions):
+    """regions: lists of (text, tags) of sibling divs. Ratios, smoothing, threshold and regions as they are described, in plain loops."""
+    lines = [(r, text, len(text) / max(1, tags)) for r, lines in enumerate(regions) for text, tags in lines]
+    weights = [math.exp(-0.5 * d * d / html_text.SIGMA**2) for d in range(-html_text.RADIUS, html_text.RADIUS + 1)]
+    smooth = [sum(w * lines[k + d][2] for d, w in enumerate(weights, -html_text.RADIUS) if 0 <= k + d < len(lines)) / sum(weights) for k in range(len(lines))]
+    mean = sum(smooth) / len(smooth)
+    least = min(math.sqrt(sum((s - mean) ** 2 for s in smooth) / len(smooth)), max(smooth))
+    sums = [sum(s for s, (r, _, _) in zip(smooth, lines, strict=True) if r == k) for k in range(len(regions))]
+    out = []
+    for k in range(len(regions)):
+        own = [j for j, (r, _, _) in enumerate(lines) if r == k]
+        on = [j for j in own if smooth[j] >= least]
+        if on:
+            out += [lines[j][1] for j in own if on[0] <= j <= on[-1]]
+        elif own and k == sums.index(max(sums)):
+            out += [lines[j][1] for j in own]
+    return out
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.lists(st.tuples(st.sampled_from([1, 3, 10, 40, 90, 300, 900]), st.integers(0, 6)), min_size=1, max_size=6), min_size=1, max_size=6))
+def test_regions_of_pages_without_an_article_against_plain_loops(sizes):
+    regions = [[("ab" * size + str(k), tags) for k, (size, tags) in enumerate(r)] for r in sizes]
+    page = "".join("<div>" + "".join(f"<p>{'<i>' * tags}{text}</p>" for text, tags in r) + "</div>" for r in regions)
+    assert html_text.main_blocks(f"<html><body>{page}</body></html>") == plain_main_text(regions)
+
+
+def test_the_clustering_decides(spark, sf, monkeypatch):
+    pages = [r.html for r in read_table(spark, sf, "pages").select("html").collect()]
+    found = [[html_text.main_blocks(p) for p in (page, re.sub("</?article>", "", page))] for page in pages]
+    # without the element the ratios alone find the text, but for short lines at its ends
+    assert all(set(bare) <= set(whole) for whole, bare in found)
+    assert sum(len(t) for _, bare in found for t in bare) > 0.9 * sum(len(t) for whole, _ in found for t in whole)
+    mixed = '<body><div>a <a>b</a> <a>c</a> <a>d</a></div><main><p>Short.</p><p>' + "long text " * 40 + "</p><p>End.</p></main><div><p>" + "word " * 30 + "</p></div><div><p>" + "other " * 400 + "</p></div></body>"
+    got = html_text.main_blocks(mixed)
+    assert [len(b) for b in got] == [6, 399, 4, 2399]  # far more text outside than the weight makes up for is content too
+    monkeypatch.setattr(html_text, "content", lambda smooth: smooth < 0)
+    assert html_text.main_blocks(mixed) == got[:3]
+    monkeypatch.setattr(html_text, "smoothed", lambda ratios: ratios * 0)
+    assert not any(html_text.main_blocks(p) for p in pages)
+
+
+def test_time_is_linear_in_a_page():
+    for page in ("<b>x" * 100_000 + "</i>" * 100_000, "<b>" * 100_000 + "<p>x" * 100_000, "<div>" * 150_000 + "x", "<!--" * 250_000, "<a" * 400_000, "<a href='" * 100_000, "</p>" * 200_000):
+        began = time.process_time()
+        html_text.main_blocks(page)
+        assert time.process_time() - began < 10
+
+
 def test_pages_against_the_article_element(spark, sf):
     for r in html_text.op5_html(spark, sf).join(read_table(spark, sf, "pages").select("page_id", "html"), "page_id").collect():
         inner = re.search(r"<article>(.*)</article>", r.html, re.S)[1]
