@@ -11,7 +11,13 @@ from pyspark.sql import SparkSession
 ROOT = str(Path(__file__).resolve().parents[1])
 
 
+#: Bytes of rows that go to a Python worker at once, about; Spark's own limit is eight times that, and a task holds several such batches.
+BATCH_BYTES = 8 << 20
+
+
 def share_package(spark: SparkSession) -> None:
+    if int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) > BATCH_BYTES:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if ROOT not in paths:
