@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from typing import Any
 
 import pyarrow as pa
 import xxhash
@@ -92,6 +93,17 @@ def arrow_schema(schema: str | T.StructType) -> pa.Schema:
     return to_arrow_schema(T.StructType.fromDDL(schema) if isinstance(schema, str) else schema)
 
 
+_kept: dict[tuple, Any] = {}
+
+
+def kept(key: tuple, make: Callable[[], Any]) -> Any:
+    """What a worker keeps from task to task. It keeps one such thing, so that one operator's words don't stay while the next one works."""
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = make()
+    return _kept[key]
+
+
 def columns_of(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[dict[str, list]]:
     for batch in batches:
         for at in range(0, batch.num_rows, rows):

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarn.llm.common import ROW_ID, arrow_schema, checkpoint, columns_of, map_columns, shuffle_partitions, with_row_id
+from tarn.llm.common import ROW_ID, arrow_schema, checkpoint, columns_of, kept, map_columns, shuffle_partitions, with_row_id
 from tarn.llm.components import again, connected_components
 
 SEED = 42
@@ -42,7 +42,7 @@ ROW_BITS = 1 << 24
 #: Entries that a task holds before it hands them on, and about how many a bucket gets.
 FLUSH, BUCKET_ENTRIES = 1 << 19, 1 << 21
 #: Words whose hashes a worker keeps; shingles whose bits are counted at once.
-KEPT_WORDS, COUNT_ROWS = 1 << 18, 1 << 15
+KEPT_WORDS, COUNT_ROWS = 1 << 16, 1 << 15
 FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 PAIR, ENTRY = 1, 2
 #: Columns of a node's fingerprint and parity.
@@ -78,9 +78,6 @@ class WordHashes(dict):
         return found
 
 
-_words = WordHashes()
-
-
 def mixed(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
     return h ^ (h >> np.uint64(29))
@@ -88,10 +85,10 @@ def mixed(h: np.ndarray) -> np.ndarray:
 
 def shingle_set(text: str | None) -> np.ndarray:
     """Distinct hashes of the shingles, sorted. Texts without a word share one shingle, so that they are copies of each other."""
-    words = words_of(text)
-    if len(_words) > KEPT_WORDS:
-        _words.clear()
-    own = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
+    words, known = words_of(text), kept(("word hashes",), WordHashes)
+    if len(known) > KEPT_WORDS:
+        known.clear()
+    own = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
     width = min(len(own), SHINGLE)
     n = len(own) - width + 1
     total = np.full(n, width, np.uint64)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from tarn.llm.common import arrow_schema, columns_of, read_table
+from tarn.llm.common import arrow_schema, columns_of, kept, read_table
 from tarn.session import share_package
 
 CAPACITY, END_ID, TOKENIZER = 2048, 1, "word_bpe_49k.json"
@@ -135,9 +135,6 @@ class WordIds(dict):
         return [np.frombuffer(b"".join(map(self.__getitem__, t.replace("\n", " ").split(" "))), "<u4") for t in texts]
 
 
-_encoders: dict[str, WordIds] = {}
-
-
 def encoder(path: str | None) -> WordIds:
     """One for each file and worker; it lives on from task to task."""
     from tokenizers import Tokenizer
@@ -146,9 +143,7 @@ def encoder(path: str | None) -> WordIds:
         import public_tokenizers
 
         path = public_tokenizers.path(TOKENIZER)
-    if path not in _encoders:
-        _encoders[path] = WordIds(Tokenizer.from_file(path))
-    return _encoders[path]
+    return kept(("word ids", path), lambda: WordIds(Tokenizer.from_file(path)))
 
 
 def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> DataFrame:

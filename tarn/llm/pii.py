@@ -30,15 +30,15 @@ KINDS = ("email", "ip", "card", "phone", "generalised", "removed")
 LABELS = ("[EMAIL]", "[IP]", "[CARD]", "[PHONE]", "[TERM]", "")
 LEAST_LETTERS = 3
 SUPPORT, GENERALISE, REMOVE = 3, 0.6, 0.9
-#: Bits of the filter of terms; fixed, 128 KB. A fuller filter counts terms in vain, but no term is missed.
-TERM_BITS = 1 << 20
+#: Bits of the filter of terms; fixed, 2 MB. A fuller filter counts terms in vain, but no term is missed.
+TERM_BITS = 1 << 24
 #: Distinct words that a worker counts before it hands them on.
-COUNTED_WORDS = 1 << 17
+COUNTED_WORDS = 1 << 16
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
 IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
-CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
+CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
 TERM = re.compile(rf"[^\W\d_]{{{LEAST_LETTERS},}}")
@@ -122,14 +122,15 @@ def detect(docs: DataFrame) -> DataFrame:
 def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """term, n_t: the number of rows of docs that hold each of terms (a column term, distinct) outside base spans."""
     hashes = [F.xxhash64("term"), F.shiftrightunsigned(F.xxhash64("term"), 32)]
-    at = terms.select(F.explode(F.array(*[h.bitwiseAND(F.lit(TERM_BITS - 1)) for h in hashes])).alias("b")).distinct()
-    bits = np.zeros(TERM_BITS, bool)
-    for row in at.toLocalIterator():  # at most TERM_BITS numbers
-        bits[row.b] = True
-    held = docs.sparkSession.sparkContext.broadcast(np.packbits(bits).tobytes())
+    at = terms.select(F.explode(F.array(*[h.bitwiseAND(F.lit(TERM_BITS - 1)) + 1 for h in hashes])).alias("b"))
+    maps = at.groupBy(F.bitmap_bucket_number("b").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("b")).alias("m"))
+    bits = np.zeros((TERM_BITS // 32768, 4096), np.uint8)
+    for row in maps.collect():  # at most TERM_BITS bits
+        bits[row.k - 1] = np.frombuffer(row.m, np.uint8)
+    held = docs.sparkSession.sparkContext.broadcast(bits.tobytes())
 
     def count(rows: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
-        on, counts = memoryview(np.unpackbits(np.frombuffer(held.value, np.uint8))), Counter()
+        on, counts = held.value, Counter()
         seen: dict[str, bool] = {}
         mask, digest = TERM_BITS - 1, xxhash.xxh64_intdigest
         for x in rows:
@@ -140,7 +141,8 @@ def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
                     ok = seen.get(w)
                     if ok is None:
                         h = digest(w.encode("utf-8", "surrogatepass"), 42)
-                        ok = bool(on[h & mask] and on[(h >> 32) & mask])
+                        a, b = h & mask, h >> 32 & mask
+                        ok = bool(on[a >> 3] >> (a & 7) & on[b >> 3] >> (b & 7) & 1)
                         if len(seen) >= COUNTED_WORDS:
                             seen.clear()
                         seen[w] = ok

@@ -26,7 +26,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
-from tarn.llm.common import arrow_schema, columns_of, read_table
+from tarn.llm.common import arrow_schema, columns_of, kept, read_table
 
 SEED, RATE, MODEL = 42, 0.1, "piece_bpe_32k.model"
 SPACE = "▁"
@@ -348,14 +348,9 @@ class Encoder:
         return self.encode_all([text], [key])[0]
 
 
-_encoders: dict[tuple, Encoder] = {}
-
-
 def encoder(path: str | None, seed: int, rate: float) -> Encoder:
     """One for each setting and worker; it lives on from task to task."""
-    if (path, seed, rate) not in _encoders:
-        _encoders[path, seed, rate] = Encoder(Vocabulary(path), seed, rate)
-    return _encoders[path, seed, rate]
+    return kept(("sub-words", path, seed, rate), lambda: Encoder(Vocabulary(path), seed, rate))
 
 
 def encode_column(docs: DataFrame, path: str | None = None, seed: int = SEED, rate: float = RATE) -> DataFrame:
