@@ -2,30 +2,32 @@
 
 Features are hashed byte n-grams (1 to 4) of the whole text in lower case, with everything but letters as one space; their square roots,
 scaled to length 1. The SVMs (squared hinge, dual coordinate descent) are fitted on at most SAMPLE rows of each label,
-drawn by hash, on the driver; all rows are then scored where they are.
+drawn by hash, on the driver; all rows are then scored where they are. A letter is what str.isalpha says.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import sys
 from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tarn.llm.common import map_columns, read_table
 
-#: Expected rows of each label that the model is fitted on; with more labels than MOST_LABELS each has fewer, so that what comes
-#: to the driver is bounded.
-SAMPLE, MOST_LABELS = 1000, 200
+#: Rows of each label that the model is fitted on, at most; with more labels than FULL_LABELS each has fewer, but one. What comes to the
+#: driver is bounded by that: SAMPLE * FULL_LABELS rows, or one for each label.
+SAMPLE, FULL_LABELS = 1000, 200
 BITS, ORDERS = 12, (1, 2, 3, 4)
 EPOCHS, C = 12, 10.0
 HELD_OUT = 2
 UNKNOWN = "und"
-NOT_LETTERS = re.compile(r"[\W\d_]+")
+#: All but what str.isalpha calls a letter: \w has numbers such as superscripts, fractions and Roman numerals too.
+NOT_LETTERS = re.compile(rf"[\W\d_{''.join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())}]+")
 #: Families of ISO 639 codes. A code that is not here is a family of its own.
 FAMILIES = {
     "germanic": "af da de en fy is lb nl nb nn no sv yi",
@@ -125,10 +127,12 @@ def fit(docs: DataFrame) -> Hierarchy | None:
     counts = learn.groupBy("lang").count().collect()
     if not counts:
         return None
-    each = SAMPLE * min(1.0, MOST_LABELS / len(counts))
-    share = F.create_map(*[F.lit(v) for r in counts for v in (r["lang"], each / r["count"])])
-    # a uniform draw by hash: each label has about as many rows, and only these rows' features leave the executors
-    draw = learn.where((F.xxhash64("doc_id").bitwiseAND(F.lit((1 << 30) - 1)) / (1 << 30)) < share[F.col("lang")]).select("lang", "text")
+    each = max(1, SAMPLE * FULL_LABELS // max(FULL_LABELS, len(counts)))
+    share = F.create_map(*[F.lit(v) for r in counts for v in (r["lang"], 1.2 * (each + 10) / r["count"])])
+    # a uniform draw by hash of a few rows more than needed, of which each label's first are taken; only their features leave the executors
+    h = F.xxhash64("doc_id", "text")
+    drawn = learn.select("lang", "text", h.alias("h")).where((F.col("h").bitwiseAND(F.lit((1 << 30) - 1)) / (1 << 30)) < share[F.col("lang")])
+    draw = drawn.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).where(F.col("k") <= each).select("lang", "text")
 
     def count(rows: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
         for x in rows:
@@ -170,12 +174,15 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """docs without those that language ID rejects: null texts and texts without a letter. That no model was learned, or one of a label und, rejects nothing."""
+    """docs without those that language ID rejects: null texts and texts without a letter. That no model was learned, or one of a label
+    und, rejects nothing. A null lang becomes the predicted one where a model was learned; other columns stay. An empty table gives no rows."""
     held, names = docs.sparkSession.sparkContext.broadcast(fit(docs)), docs.columns
 
     def keep(rows: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
         for x in rows:
-            on = [k for k, t in enumerate(x["text"]) if predicted(held.value, t)[0] != UNKNOWN or has_letter(t)]
-            yield {c: [x[c][k] for k in on] for c in names}
+            found = [predicted(held.value, t)[0] for t in x["text"]]
+            on = [k for k, (t, v) in enumerate(zip(x["text"], found, strict=True)) if v != UNKNOWN or has_letter(t)]
+            langs = [v if lang is None and v != UNKNOWN else lang for lang, v in zip(x["lang"], found, strict=True)]
+            yield {c: [langs[k] if c == "lang" else x[c][k] for k in on] for c in names}
 
     return map_columns(docs, keep, docs.schema, rows=256)

@@ -52,17 +52,18 @@ def entropy(s: str) -> float:
 
 
 def weak_candidates(text: str, base: list[Span]) -> list[Span]:
-    """Candidates that touch no base span."""
+    """Candidates that touch no base span, and of secrets those that touch no endpoint."""
     found: list[Span] = []
     low = text.lower()
     if any(w in low for w in WEAK_ID_WORDS):
         found += [(m.start(), 3, m.end()) for m in WEAK_ID.finditer(text)]
+    ends = [(m.start(), 5, m.end()) for m in ENDPOINT.finditer(text)] if "http" in text else []
+    starts = [e[0] for e in ends]
     for m in WEAK_SECRET.finditer(text):
-        s = m[0]
-        if any(c.isdigit() for c in s) and any(c.isalpha() for c in s) and entropy(s) >= LEAST_ENTROPY:
+        s, k = m[0], bisect_left(starts, m.end())
+        if (not k or ends[k - 1][2] <= m.start()) and any(c.isdigit() for c in s) and any(c.isalpha() for c in s) and entropy(s) >= LEAST_ENTROPY:
             found.append((m.start(), 4, m.end()))
-    if "http" in text:
-        found += [(m.start(), 5, m.end()) for m in ENDPOINT.finditer(text)]
+    found += ends
     # base spans of one kind do not overlap, so the one that begins last before an end is the only one to look at
     kinds = [[s for s in base if s[1] == k] for k in range(3)]
     starts = [[s[0] for s in spans] for spans in kinds]
@@ -70,17 +71,18 @@ def weak_candidates(text: str, base: list[Span]) -> list[Span]:
 
 
 def linked(parts: list[Span], weak: list[Span], scope: int = SCOPE) -> list[Span]:
-    """The weak spans with a complement within scope, from one's end to the other's start: an interval join on sorted starts."""
-    by_role: dict[str, tuple[list[int], list[int]]] = {"id": ([], []), "secret": ([], []), "endpoint": ([], [])}
-    for a, k, b in sorted(parts + weak):
-        starts, ends = by_role[ROLES[KINDS[k]]]
-        starts.append(a)
-        ends.append(max(b, ends[-1]) if ends else b)  # the farthest end so far
+    """The weak spans with a complement that ends or begins within scope of them: an interval join on sorted starts and ends."""
+    starts: dict[str, list[int]] = {"id": [], "secret": [], "endpoint": []}
+    ends: dict[str, list[int]] = {"id": [], "secret": [], "endpoint": []}
+    for a, k, b in parts + weak:
+        starts[ROLES[KINDS[k]]].append(a)
+        ends[ROLES[KINDS[k]]].append(b)
+    for found in (*starts.values(), *ends.values()):
+        found.sort()
 
     def near(s: Span, role: str) -> bool:
-        starts, ends = by_role[role]
-        k = bisect_right(starts, s[2] + scope)
-        return k > 0 and ends[k - 1] >= s[0] - scope
+        after, before = bisect_left(starts[role], s[2]), bisect_right(ends[role], s[0])
+        return (after < len(starts[role]) and starts[role][after] - s[2] <= scope) or (before > 0 and s[0] - ends[role][before - 1] <= scope)
 
     return [s for s in weak if any(near(s, r) for r in NEEDS[KINDS[s[1]]])]
 
@@ -90,7 +92,11 @@ def joined(spans: list[Span], kinds: tuple[str, ...] = KINDS) -> str:
 
 
 def scan_secrets(docs: DataFrame) -> DataFrame:
-    """A row per row of docs: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_linked. A null text is empty."""
+    """A row per row of docs: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_linked.
+
+    A null text is empty and has no spans; texts and spans of any length go whole. Equal texts have equal spans; ids may be null or repeat.
+    Spans that begin together come in the order of KINDS. Further columns are left out. An empty table gives no rows.
+    """
 
     def run(rows: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
         for x in rows:
