@@ -28,6 +28,6 @@ def test_intervals_against_brute_force():
     for _ in range(200):
         spans = sorted((a := r.randrange(4000), r.randrange(6), a + r.randrange(1, 900)) for _ in range(r.randrange(12)))
         parts, weak = [s for s in spans if s[1] < 3], [s for s in spans if s[1] > 2]
-        near = lambda s, o: max(0, o[0] - s[2], s[0] - o[2]) <= 256
+        near = lambda s, o: 0 <= max(o[0] - s[2], s[0] - o[2]) <= 256  # noqa: E731  what overlaps is no complement
         role = lambda s: secrets.ROLES[secrets.KINDS[s[1]]]
         assert secrets.linked(parts, weak) == [s for s in weak if any(role(o) in secrets.NEEDS[secrets.KINDS[s[1]]] and near(s, o) for o in spans)]
