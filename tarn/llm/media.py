@@ -1,8 +1,9 @@
 """Media columns: WAV through the wave module, short-time Fourier transforms, spectral-peak pair fingerprints.
 
-A sound is 8-bit mono PCM. Its spectrogram has Hann-windowed frames; each frame's strongest bin is its peak, and a peak
-is paired with the next FAN peaks. A pair is stored at the time (frame) of its first peak as f1 << 16 | f2 << 8 | dt, in two
-arrays: times and codes.
+A sound is 8-bit mono PCM. Its spectrogram has Hann-windowed frames that overlap by half, so that every sample has weight in some frame; a
+peak is a bin (but for the constant one) that none of the frames next to its own exceeds within NEAR bins. A peak is paired with
+the next FAN peaks, in order of time and frequency, that come within ZONE frames. A pair is stored at the time (frame) of its first
+peak as f1 << 16 | f2 << 8 | dt, in two arrays: times and codes.
 """
 
 from __future__ import annotations
@@ -16,13 +17,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tarn.llm.common import arrow_schema, map_columns, read_table
 
-UNIT, RATE, FRAME, HOP, FAN, TAIL = 64, 8000, 256, 256, 3, 64
+UNIT, RATE, FRAME, HOP, TAIL = 64, 8000, 256, 128, 64
+#: Bins and frames around a peak that it is the largest of, pairs of a peak, and frames that a pair may span (a code has 8 bits for them).
+NEAR, BESIDE, FAN, ZONE = 8, 1, 3, 255
 #: Frames whose spectra are held at once.
-FRAMES_AT_ONCE = 2048
+FRAMES_AT_ONCE = 1024
+
+
+NEW = ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_pairs")
 
 
 def padded(data: bytes) -> bytes:
@@ -47,38 +52,67 @@ def from_wav(stored: bytes) -> bytes:
         return r.readframes(r.getnframes())
 
 
-def peaks(samples: np.ndarray) -> np.ndarray:
-    """The strongest bin above 0 of each frame; the last frame is filled up with silence."""
-    count = -(-len(samples) // HOP)
-    window, out = np.hanning(FRAME).astype(np.float32), np.zeros(count, np.int64)
+def power(samples: np.ndarray, first: int, count: int) -> np.ndarray:
+    """Bins 1 .. FRAME / 2 of frames first .. first + count - 1; frame t begins at sample (t - 1) * HOP. What lies outside the sound is silence.
+
+    Rounded, so that what is equal is equal in spite of the arithmetic.
+    """
+    low, high = (first - 1) * HOP, (first + count) * HOP
+    part = samples[max(0, low) : max(0, high)].astype(np.float32) - 128
+    part = np.pad(part, (max(0, -low), max(0, high - max(len(samples), 0))))[: high - low]
+    frames = np.lib.stride_tricks.sliding_window_view(part, FRAME)[::HOP]
+    spectrum = np.fft.rfft(frames * np.hanning(FRAME).astype(np.float32), axis=1)[:, 1:]
+    return np.round(spectrum.real**2 + spectrum.imag**2)
+
+
+def widest(a: np.ndarray, reach: int, axis: int) -> np.ndarray:
+    """The largest value within reach to either side along an axis; no value is below 0."""
+    pad = [(0, 0)] * 2
+    pad[axis] = (reach, reach)
+    a, have, size = np.pad(a, pad), 1, 2 * reach + 1
+    cut = lambda x, start, stop: x[start:stop] if axis == 0 else x[:, start:stop]
+    while have < size:
+        step = min(have, size - have)
+        a = np.maximum(cut(a, 0, a.shape[axis] - step), cut(a, step, a.shape[axis]))
+        have += step
+    return a
+
+
+def peaks(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Frames and bins of the peaks, by frame and bin. A long sound goes in blocks of frames, whole."""
+    count = -(-len(samples) // HOP) + 1
+    times, bins = [], []
     for at in range(0, count, FRAMES_AT_ONCE):
-        n = min(FRAMES_AT_ONCE, count - at)
-        part = samples[at * HOP : (at + n - 1) * HOP + FRAME].astype(np.float32) - 128
-        part = np.pad(part, (0, (n - 1) * HOP + FRAME - len(part)))
-        frames = np.lib.stride_tricks.sliding_window_view(part, FRAME)[::HOP]
-        spectrum = np.fft.rfft(frames * window, axis=1)[:, 1:]
-        # rounded, so that equal sounds have equal peaks whatever they are computed next to
-        out[at : at + n] = np.argmax(np.round(spectrum.real**2 + spectrum.imag**2), axis=1) + 1
-    return out
+        end = min(count, at + FRAMES_AT_ONCE)
+        low, high = max(0, at - BESIDE), min(count, end + BESIDE)
+        p = power(samples, low, high - low)
+        on = (p > 0) & (p >= widest(widest(p, NEAR, 1), BESIDE, 0))
+        t, f = np.nonzero(on[at - low : end - low])
+        times.append(t + at)
+        bins.append(f + 1)
+    return np.concatenate(times), np.concatenate(bins)
 
 
 def fingerprints(samples: np.ndarray, fan: int = FAN) -> tuple[np.ndarray, np.ndarray]:
     """times and codes of peak pairs, by time."""
-    f = peaks(samples)
-    times, codes = [], []
-    for dt in range(1, fan + 1):
-        if len(f) > dt:
-            times.append(np.arange(len(f) - dt))
-            codes.append(f[:-dt] << 16 | f[dt:] << 8 | dt)
-    if not times:
-        return np.zeros(0, np.int32), np.zeros(0, np.int32)
+    t, f = peaks(samples)
+    times, codes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for k in range(1, fan + 1):
+        dt = t[k:] - t[:-k]
+        on = dt <= ZONE
+        times.append(t[:-k][on])
+        codes.append((f[:-k] << 16 | f[k:] << 8 | dt)[on])
     t, c = np.concatenate(times), np.concatenate(codes)
-    order = np.argsort(t, kind="stable")
+    order = np.lexsort((c, t))
     return t[order].astype(np.int32), c[order].astype(np.int32)
 
 
 def media_columns(docs: DataFrame) -> DataFrame:
-    """docs' doc_id and text to doc_id, n_bytes, media (WAV bytes), times and codes; a null text is empty."""
+    """docs' doc_id and text to doc_id, n_bytes, media (WAV bytes), times and codes.
+
+    A null text is empty, an empty one UNIT bytes 0; texts go whole up to the 4 GB that WAV can name. Equal texts have equal values; ids may be
+    null or repeat. Further columns are left out. An empty table gives no rows.
+    """
     ddl = "doc_id long, n_bytes long, media binary, times array<int>, codes array<int>"
 
     def run(rows: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
@@ -92,25 +126,19 @@ def media_columns(docs: DataFrame) -> DataFrame:
 
 
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Digests of media_columns; the stored bytes are read back for the payload's."""
-    ddl = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_pairs long"
+    """Digests of media_columns, and its times and codes; the stored bytes are read back for the payload's."""
+    ddl = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_pairs long, times array<int>, codes array<int>"
     schema = arrow_schema(ddl)
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: dict[str, list] = {f.name: [] for f in schema}
-            for k in range(batch.num_rows):
-                media = batch.column("media")[k].as_py()
-                t, c = (batch.column(n)[k].values.to_numpy(zero_copy_only=False) for n in ("times", "codes"))
+            out: dict[str, list] = {f.name: [] for f in schema if f.name in NEW}
+            for media, *both in zip(*(batch.column(c) for c in ("media", "times", "codes")), strict=True):
+                media, (t, c) = media.as_py(), (x.values.to_numpy(zero_copy_only=False).astype("<i4") for x in both)
                 back = from_wav(media)
-                row = (batch.column("doc_id")[k].as_py(), batch.column("n_bytes")[k].as_py(), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-TAIL:]), len(media), hashlib.sha256(media).hexdigest(), hashlib.sha256(t.astype("<i4").tobytes() + c.astype("<i4").tobytes()).hexdigest(), len(t))
-                for name, value in zip(out, row, strict=True):
+                row = (len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-TAIL:]), len(media), hashlib.sha256(media).hexdigest(), hashlib.sha256(t.tobytes() + c.tobytes()).hexdigest(), len(t))
+                for name, value in zip(NEW, row, strict=True):
                     out[name].append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in schema], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) if f.name in out else batch.column(f.name).cast(f.type) for f in schema], schema=schema)
 
     return media_columns(read_table(spark, sf_dir, "documents")).mapInArrow(digest, ddl)
-
-
-def distinct_codes(media: DataFrame) -> DataFrame:
-    """doc_id and its distinct codes, as a native example of a search key over the arrays."""
-    return media.select("doc_id", F.array_distinct("codes").alias("codes"))
