@@ -3,8 +3,9 @@
 Let N(h) be the number of open windows filled to level h. A document is placed where the sum of N(h)^2 over
 0 < h < capacity becomes smallest: for each level h that has an open window and room, the sum changes by
 N(h + s)^2 up and N(h)^2 down; a new window is level 0, a full one leaves the array. The array of levels is all the state,
-so each partition of the input packs its own stream with no shuffle. What is still open at its end is packed once more,
-end to end and cut at the window's edge, so that a partition leaves at most one window padded.
+so each partition of the input packs its own stream with no shuffle. At its end the open windows that are filled least are emptied
+piece by piece into the gaps of the others, fullest first, so that a partition leaves at most one window padded and no more
+ids move than there were gaps.
 """
 
 from __future__ import annotations
@@ -79,15 +80,33 @@ def pack(lengths: Iterator[int], capacity: int = CAPACITY) -> Iterator[list[tupl
             if level + size == capacity:
                 done += open_pieces.pop(window)
         yield done
-    # The numbers of the open windows are used again, so that none is missing.
-    numbers, done, at = sorted(open_pieces), [], 0
-    for piece in (p for w in numbers for p in open_pieces[w]):
-        doc, start, size = piece[:3]
-        while size:
-            cut = min(size, capacity - at % capacity)
-            done.append((doc, start, cut, numbers[at // capacity], at % capacity))
-            at, start, size = at + cut, start + cut, size - cut
-    yield done
+    yield closed({w: [p[:3] for p in held] for w, held in open_pieces.items()}, capacity)
+
+
+def closed(open_pieces: dict[int, list[tuple[int, int, int]]], capacity: int) -> list[tuple[int, int, int, int, int]]:
+    """Final pieces of the windows that are open at the end, all full but one. The windows that stay take the least numbers, so that none is missing."""
+    level = {w: sum(size for _, _, size in held) for w, held in open_pieces.items()}
+    order = sorted(open_pieces, key=lambda w: (-level[w], w))
+    front, back = 0, len(order) - 1
+    while front < back:
+        to, donor = order[front], order[back]
+        if not (gap := capacity - level[to]):
+            front += 1
+            continue
+        doc, start, size = open_pieces[donor].pop()
+        cut = min(size, gap)
+        open_pieces[to].append((doc, start, cut))
+        if cut < size:
+            open_pieces[donor].append((doc, start + cut, size - cut))
+        level[to], level[donor] = level[to] + cut, level[donor] - cut
+        back -= not level[donor]
+    done = []
+    for number, window in zip(sorted(order), order[: back + 1], strict=False):
+        at = 0
+        for doc, start, size in open_pieces[window]:
+            done.append((doc, start, size, number, at))
+            at += size
+    return done
 
 
 class WordIds(dict):
@@ -147,8 +166,12 @@ def encoder(path: str | None) -> WordIds:
 
 
 def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
-    """docs to pieces: doc_id, start, length, ids (array), doc_tokens, sequence_id, offset. A null text is empty (the end id
-    alone). path: the tokenizer's file; by default the public one that is installed on each machine."""
+    """docs to pieces: doc_id, start, length, ids (array), doc_tokens, sequence_id, offset. path: the tokenizer's file; by default the
+    public one that is installed on each machine.
+
+    A null or empty text is the end id alone; texts of any length go whole. Rows that share a doc_id are documents of their own; ids may be
+    null. Further columns are left out. An empty table gives no rows.
+    """
     share_package(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(_packer(path, capacity, False), "doc_id long, start long, length long, ids array<int>, doc_tokens long, sequence_id long, offset long")
 

@@ -420,6 +420,26 @@ def test_pack_is_a_partition_of_the_ids(lengths, capacity):
     assert len(by_window) - full <= 1 and len(by_window) == -(-sum(lengths) // capacity)
 
 
+def test_no_more_ids_move_at_the_end_than_there_are_gaps():
+    r = np.random.default_rng(3)
+    lengths = r.integers(1, 90, 400).tolist()
+    levels = packing.Levels(64)
+    at_first = {}
+    for doc, length in enumerate(lengths):
+        whole = length // 64 * 64
+        levels.made += whole // 64
+        if length - whole:
+            at_first[doc] = levels.place(length - whole)
+    gaps = sum(int(n) * (64 - h) for h, n in enumerate(levels.counts) if 0 < h < 64)
+    moved = 0
+    windows = {}
+    for doc, start, length, window, _ in (p for done in packing.pack(iter(lengths), 64) for p in done):
+        if doc in at_first and start >= lengths[doc] // 64 * 64:
+            windows.setdefault(doc, []).append((window, length))
+    moved = sum(sum(n for _, n in parts) - max(n for _, n in parts) for parts in windows.values())  # of cut documents
+    assert 0 < moved <= gaps
+
+
 def test_levels_choose_the_least_sum_of_squares():
     r = np.random.default_rng(1)
     levels = packing.Levels(24)
