@@ -26,8 +26,12 @@ BITS, ORDERS = 12, (1, 2, 3, 4)
 EPOCHS, C = 12, 10.0
 HELD_OUT = 2
 UNKNOWN = "und"
-#: All but what str.isalpha calls a letter: \w has numbers such as superscripts, fractions and Roman numerals too.
-NOT_LETTERS = re.compile(rf"[\W\d_{''.join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())}]+")
+NOT_LETTERS = re.compile(r"[\W\d_]+")
+#: \w has numbers that str.isalpha does not call letters: superscripts, fractions, Roman numerals. Those of the basic plane as a pattern, which is
+#: quick, and all for the rare texts that go beyond it.
+NUMBERS = [c for c in map(chr, range(128, sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal()]
+PLAIN_NUMBERS, ALL_NUMBERS = re.compile(f"[{''.join(c for c in NUMBERS if c <= chr(0xFFFF))}]"), dict.fromkeys(map(ord, NUMBERS), " ")
+BEYOND = re.compile("[\U00010000-\U0010ffff]")
 #: Families of ISO 639 codes. A code that is not here is a family of its own.
 FAMILIES = {
     "germanic": "af da de en fy is lb nl nb nn no sv yi",
@@ -45,9 +49,17 @@ def family_of(lang: str) -> str:
     return next((f for f, codes in FAMILIES.items() if lang.split("-")[0].lower() in codes.split()), lang)
 
 
+def letters_of(text: str | None) -> str:
+    """The text in lower case with everything but letters as one space, none at its ends."""
+    line = (text or "").lower()
+    if not line.isascii():
+        line = line.translate(ALL_NUMBERS) if BEYOND.search(line) else PLAIN_NUMBERS.sub(" ", line)
+    return NOT_LETTERS.sub(" ", line).strip()
+
+
 def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Buckets and values of a text; none if it has no letter. Long texts are counted in blocks, whole."""
-    line = f" {NOT_LETTERS.sub(' ', (text or '').lower()).strip()} "
+    line = f" {letters_of(text)} "
     if len(line) < 3:
         return np.zeros(0, np.int32), np.zeros(0, np.float32)
     data, counts = np.frombuffer(line.encode("utf-8", "surrogatepass"), np.uint8), np.zeros(1 << BITS, np.int64)
@@ -151,7 +163,7 @@ def predicted(model: Hierarchy | None, text: str | None) -> tuple[str, float]:
 
 
 def has_letter(text: str | None) -> bool:
-    return bool(NOT_LETTERS.sub("", (text or "").lower()))
+    return bool(letters_of(text))
 
 
 def identify(docs: DataFrame, model: Hierarchy | None) -> DataFrame:
