@@ -36,6 +36,7 @@ def year(column: str) -> Column:
     return F.year(column).cast("long")
 
 
-def hash_partition(key: Column, partitions: int, modulus: int = 91397) -> Column:
-    """The partition of an integer key, as an explicit column."""
-    return F.pmod(F.pmod(key, F.lit(modulus)), F.lit(partitions)).cast("long")
+def hash_partition(key: Column, partitions: int, modulus: int = 91397, text: bool = False) -> Column:
+    """The partition of a key, as an explicit column: of a whole number, or of text by the first 13 digits of its MD5."""
+    number = F.conv(F.substring(F.md5(key), 1, 13), 16, 10).cast("long") if text else key
+    return F.pmod(F.pmod(number, F.lit(modulus)), F.lit(partitions)).cast("long")

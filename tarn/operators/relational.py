@@ -15,6 +15,28 @@ def not_exists(left: DataFrame, right: DataFrame, on: Column | str | list[str])
     return left.join(right, on, "left_anti")
 
 
+def not_in(left: DataFrame, column: str, right: DataFrame, other: str) -> DataFrame:
+    """SQL's NOT IN: no row stays if right holds a null, and none whose own value is null unless right is empty.
+
+    The two cases are decided by one row of counts, so the rest is a plain anti join, which shuffles like any other; Spark's
+    own form for nullable columns must broadcast right whole.
+    """
+    seen = right.agg(F.count(F.lit(1)).alias("__rows"), F.count(other).alias("__known"))
+    rows = left.join(right.select(F.col(other).alias("__other")), F.col(column) == F.col("__other"), "left_anti")
+    rows = with_scalar(rows, seen).where((F.col("__rows") == 0) | ((F.col("__rows") == F.col("__known")) & F.col(column).isNotNull()))
+    return rows.drop("__rows", "__known")
+
+
+def split_join(left: DataFrame, right: DataFrame, keys: list[str], parts: int, how: str = "inner") -> DataFrame:
+    """left join right on keys where a key may have very many rows of left: these are dealt over parts by a hash of the whole row, and
+    each row of right goes to all parts. For joins that keep the rows of left or drop them, not those of right alone."""
+    if how not in ("inner", "left", "left_semi", "left_anti"):
+        raise ValueError(f"rows of right are in all parts, so {how} would repeat them")
+    dealt = left.withColumn("__part", F.pmod(F.xxhash64(*left.columns), F.lit(parts)))
+    copied = right.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)).cast("array<bigint>")))
+    return dealt.join(copied, [*keys, "__part"], how).drop("__part")
+
+
 def with_scalar(df: DataFrame, scalar: DataFrame) -> DataFrame:
     """df beside the one row of a global aggregate, which is broadcast: its size is one row whatever the input."""
     return df.crossJoin(F.broadcast(scalar))

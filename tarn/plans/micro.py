@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarn.functions.columns import between_days, count_if, day, hash_partition, money, ratio, year
-from tarn.operators.relational import combine, distinct_count, exists, not_exists, top_k, top_k_per_key, with_scalar
-from tarn.sources.tables import Tables
+from tarn.operators.relational import combine, distinct_count, exists, not_exists, not_in, split_join, top_k, top_k_per_key, with_scalar
+from tarn.session import shared_folder
+from tarn.sources.tables import Tables, to_orc
 
 c = F.col
 QUERIES, SQL = {}, {}
@@ -57,7 +60,44 @@ def join_anti_residual(spark: SparkSession, sf: str) -> DataFrame:
 @micro("SELECT s_suppkey FROM supplier WHERE s_suppkey NOT IN (SELECT l_suppkey FROM lineitem WHERE l_discount = 0.1 AND l_quantity = 1)")
 def join_not_in(spark: SparkSession, sf: str) -> DataFrame:
     t = Tables(spark, sf)
-    return not_exists(t.supplier, t.lineitem.where((c("l_discount") == 0.1) & (c("l_quantity") == 1)), c("s_suppkey") == c("l_suppkey")).select("s_suppkey")
+    return not_in(t.supplier, "s_suppkey", t.lineitem.where((c("l_discount") == 0.1) & (c("l_quantity") == 1)), "l_suppkey").select("s_suppkey")
+
+
+@micro("SELECT s_suppkey FROM supplier WHERE nullif(s_nationkey, 3) NOT IN (SELECT nullif(n_nationkey, 99) FROM nation WHERE n_regionkey = 1)")
+def join_not_in_null_key(spark: SparkSession, sf: str) -> DataFrame:
+    t = Tables(spark, sf)
+    sellers, nations = t.supplier.withColumn("k", F.nullif("s_nationkey", F.lit(3))), t.nation.where(c("n_regionkey") == 1)
+    return not_in(sellers, "k", nations, "n_nationkey").select("s_suppkey")
+
+
+@micro("SELECT s_suppkey FROM supplier WHERE s_nationkey NOT IN (SELECT nullif(n_nationkey, 6) FROM nation WHERE n_nationkey IN (6, 7))")
+def join_not_in_null_list(spark: SparkSession, sf: str) -> DataFrame:
+    """The list holds a null, so no row is known not to be in it."""
+    t = Tables(spark, sf)
+    nations = t.nation.where(c("n_nationkey").isin(6, 7)).withColumn("k", F.nullif("n_nationkey", F.lit(6)))
+    return not_in(t.supplier, "s_nationkey", nations, "k").select("s_suppkey")
+
+
+@micro("SELECT o_orderstatus AS status, count(*) AS n, count(DISTINCT o_custkey) AS customers FROM orders JOIN (VALUES ('F', 1), ('O', 2)) s(status, k) ON o_orderstatus = status GROUP BY 1")
+def join_split(spark: SparkSession, sf: str) -> DataFrame:
+    """Three keys hold all rows; each is dealt over 8 parts."""
+    t = Tables(spark, sf)
+    status = t.orders.select(c("o_orderstatus").alias("status"), "o_custkey", "o_orderkey")
+    names = spark.createDataFrame([("F", 1), ("O", 2)], "status string, k int")
+    rows = split_join(status, names.hint("merge"), ["status"], 8)
+    return rows.groupBy("status").agg(F.count("*").alias("n"), F.countDistinct("o_custkey").alias("customers"))
+
+
+@micro("SELECT cast((cast('0x' || substring(md5(c_name), 1, 13) AS bigint) % 91397) % 16 AS bigint) AS part, count(*) AS n FROM customer GROUP BY 1")
+def hash_partition_text_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return Tables(spark, sf).customer.groupBy(hash_partition(c("c_name"), 16, text=True).alias("part")).agg(F.count("*").alias("n"))
+
+
+@micro("SELECT l_returnflag, count(*) AS n, round(sum(l_quantity), 2) AS quantity FROM lineitem WHERE l_shipdate < date '1996-01-01' GROUP BY l_returnflag")
+def orc_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """lineitem written as ORC, then read like any base table."""
+    t = to_orc(Tables(spark, sf), f"{shared_folder(spark)}/orc-{uuid.uuid4().hex}", "lineitem")
+    return t.lineitem.where(c("l_shipdate") < day("1996-01-01")).groupBy("l_returnflag").agg(F.count("*").alias("n"), money(F.sum("l_quantity")).alias("quantity"))
 
 
 @micro("SELECT a.n_name AS a_name, b.n_name AS b_name FROM nation a, nation b WHERE a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey")

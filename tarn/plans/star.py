@@ -5,11 +5,11 @@ Small dimensions are not hinted: Spark broadcasts them while their size is under
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tarn.functions.columns import between_days, count_if, day, money, ratio, revenue, year
-from tarn.operators.relational import distinct_count, exists, not_exists, top_k, with_scalar
+from tarn.operators.relational import distinct_count, exists, not_exists, not_in, top_k, with_scalar
 from tarn.sources.tables import Tables
 
 c = F.col
@@ -28,11 +28,10 @@ def q1(spark: SparkSession, sf: str) -> DataFrame:
 def q2(spark: SparkSession, sf: str) -> DataFrame:
     t = Tables(spark, sf)
     place = t.nation.join(t.region.where(c("r_name") == "AFRICA"), c("n_regionkey") == c("r_regionkey"))
-    offers = t.partsupp.join(t.supplier.join(place, c("s_nationkey") == c("n_nationkey")), c("ps_suppkey") == c("s_suppkey"))
+    sellers = t.supplier.join(place, c("s_nationkey") == c("n_nationkey"))
     parts = t.part.where((c("p_size") <= 15) & c("p_type").endswith("LARGE")).select("p_partkey", "p_type")
-    wanted = offers.join(parts, c("ps_partkey") == c("p_partkey"))
-    least = wanted.groupBy(c("ps_partkey").alias("k")).agg(F.min("ps_supplycost").alias("least"))
-    rows = wanted.join(least, (c("ps_partkey") == c("k")) & (c("ps_supplycost") == c("least")))
+    wanted = t.offers(parts, sellers).withColumn("least", F.min("ps_supplycost").over(Window.partitionBy("ps_partkey"))).where(c("ps_supplycost") == c("least"))
+    rows = wanted.join(sellers, c("ps_suppkey") == c("s_suppkey")).join(parts, c("ps_partkey") == c("p_partkey"))
     return top_k(rows.select("s_acctbal", "s_name", "n_name", "p_partkey", "p_type"), 100, F.desc("s_acctbal"), c("n_name"), c("s_name"), c("p_partkey"))
 
 
@@ -89,8 +88,9 @@ def q8(spark: SparkSession, sf: str) -> DataFrame:
 
 def q9(spark: SparkSession, sf: str) -> DataFrame:
     t = Tables(spark, sf)
+    rings = t.part.where(c("p_name").contains("ring")).select("p_partkey")
     rows = (
-        t.lineitem.join(t.part.where(c("p_name").contains("ring")), c("p_partkey") == c("l_partkey")).join(t.partsupp, (c("ps_suppkey") == c("l_suppkey")) & (c("ps_partkey") == c("l_partkey")))
+        t.lineitem.join(rings, c("p_partkey") == c("l_partkey")).join(t.offers(rings), (c("ps_suppkey") == c("l_suppkey")) & (c("ps_partkey") == c("l_partkey")))
         .join(t.supplier, c("s_suppkey") == c("l_suppkey")).join(t.nation, c("s_nationkey") == c("n_nationkey")).join(t.orders, c("o_orderkey") == c("l_orderkey"))
     )
     profit = F.sum(revenue() - c("ps_supplycost") * c("l_quantity"))
@@ -109,7 +109,7 @@ def q10(spark: SparkSession, sf: str) -> DataFrame:
 
 def q11(spark: SparkSession, sf: str) -> DataFrame:
     t = Tables(spark, sf)
-    offers = t.partsupp.join(t.supplier.join(t.nation.where(c("n_name") == "NATION_3"), c("s_nationkey") == c("n_nationkey")), c("ps_suppkey") == c("s_suppkey"))
+    offers = t.offers(suppliers=t.supplier.join(t.nation.where(c("n_name") == "NATION_3"), c("s_nationkey") == c("n_nationkey")))
     value = F.sum(c("ps_supplycost") * c("ps_availqty"))
     rows = with_scalar(offers.groupBy("ps_partkey").agg(value.alias("value")), offers.agg((value * 0.0001).alias("least")))
     return rows.where(c("value") > c("least")).select("ps_partkey", money(c("value")).alias("value")).orderBy(F.desc("value"), "ps_partkey")
@@ -147,8 +147,8 @@ def q15(spark: SparkSession, sf: str) -> DataFrame:
 def q16(spark: SparkSession, sf: str) -> DataFrame:
     t = Tables(spark, sf)
     parts = t.part.where((c("p_brand") != "Brand#14") & ~c("p_type").startswith("STANDARD") & c("p_size").isin(6, 3, 39, 37, 50, 27, 19, 34))
-    pairs = t.lineitem.select("l_partkey", "l_suppkey").distinct()
-    fine = not_exists(pairs, t.supplier.where(c("s_acctbal") < 0).select("s_suppkey"), c("l_suppkey") == c("s_suppkey"))
+    lines = exists(t.lineitem.select("l_partkey", "l_suppkey"), parts, c("l_partkey") == c("p_partkey"))
+    fine = not_in(lines.distinct(), "l_suppkey", t.supplier.where(c("s_acctbal") < 0), "s_suppkey")
     rows = fine.join(parts, c("l_partkey") == c("p_partkey"))
     return distinct_count(rows, ["p_brand", "p_type", "p_size"], "l_suppkey", "supplier_cnt").orderBy(F.desc("supplier_cnt"), "p_brand", "p_type", "p_size")
 
@@ -179,7 +179,7 @@ def q19(spark: SparkSession, sf: str) -> DataFrame:
 def q20(spark: SparkSession, sf: str) -> DataFrame:
     t = Tables(spark, sf)
     sold = t.lineitem.where(between_days("l_shipdate", "1996-01-01", "1997-01-01")).groupBy("l_partkey", "l_suppkey").agg((0.5 * F.sum("l_quantity")).alias("half"))
-    hot = exists(t.partsupp, t.part.where(c("p_name").startswith("hot")), c("ps_partkey") == c("p_partkey"))
+    hot = t.offers(t.part.where(c("p_name").startswith("hot")))
     enough = hot.join(sold, (c("ps_partkey") == c("l_partkey")) & (c("ps_suppkey") == c("l_suppkey")) & (c("ps_availqty") > c("half")))
     sellers = t.supplier.join(t.nation.where(c("n_name").isin("NATION_3", "NATION_4", "NATION_5")), c("s_nationkey") == c("n_nationkey"))
     return exists(sellers, enough, c("s_suppkey") == c("ps_suppkey")).select("s_name").orderBy("s_name")

@@ -23,7 +23,16 @@ class Tables:
     @property
     def partsupp(self) -> DataFrame:
         """Who supplies what, derived from lineitem: the least price asked and the quantity sold."""
-        return self.lineitem.groupBy(F.col("l_partkey").alias("ps_partkey"), F.col("l_suppkey").alias("ps_suppkey")).agg(F.min("l_extendedprice").alias("ps_supplycost"), F.sum("l_quantity").alias("ps_availqty"))
+        return self.offers()
+
+    def offers(self, parts: DataFrame | None = None, suppliers: DataFrame | None = None) -> DataFrame:
+        """partsupp of some parts (p_partkey) or suppliers (s_suppkey). They are the aggregate's own keys, so lines of others go before it shuffles."""
+        lines = self.lineitem.select("l_partkey", "l_suppkey", "l_extendedprice", "l_quantity")
+        if parts is not None:
+            lines = lines.join(parts.select("p_partkey"), F.col("l_partkey") == F.col("p_partkey"), "left_semi")
+        if suppliers is not None:
+            lines = lines.join(suppliers.select("s_suppkey"), F.col("l_suppkey") == F.col("s_suppkey"), "left_semi")
+        return lines.groupBy(F.col("l_partkey").alias("ps_partkey"), F.col("l_suppkey").alias("ps_suppkey")).agg(F.min("l_extendedprice").alias("ps_supplycost"), F.sum("l_quantity").alias("ps_availqty"))
 
     def views(self, *names: str) -> SparkSession:
         """Registers tables as temporary views, for SQL texts."""

@@ -78,17 +78,98 @@ def test_usable_as_windows(spark):
 
 def test_schedule_by_hand():
     stages = [("q", 0, 0, [], [3, 3]), ("q", 0, 1, [0], [2]), ("r", 1, 0, [], [1])]
-    assert simulate.schedule(stages, 2) == ({"q": 5, "r": 3}, 5)
-    assert simulate.schedule(stages, 3) == ({"q": 5, "r": 1}, 5)
+    assert simulate.schedule(stages, 2) == ({"q": 5, "r": 3}, 5, 10)
+    assert simulate.schedule(stages, 3) == ({"q": 5, "r": 1}, 5, 15)
     assert simulate.schedule(stages, 1)[0] == {"q": 8, "r": 8}
+    assert simulate.schedule(stages, [0, 0, 2])[0] == {"q": 7, "r": 5}
+    assert simulate.schedule(stages, [2, 1, 1, 1, 2])[1:] == (5, 2 * 3 + 1 + 2)  # none leaves while both work
+
+
+def by_the_clock(stages, wanted):
+    """Second by second: ends, executors, then tasks to idle executors in order of arrival, stage and task."""
+    state = {}
+    for q, arrival, stage, deps, tasks in sorted(stages, key=lambda s: (s[1], s[0], s[2])):
+        state.setdefault((arrival, q), {})[stage] = {"deps": set(deps), "todo": list(tasks), "running": 0}
+    busy, idle, t, latency, spent = [], 0, 0, {}, 0
+    while True:
+        for end, x in [b for b in busy if b[0] == t]:
+            busy.remove((end, x))
+            x["running"] -= 1
+            idle += 1
+        want = wanted[min(t, len(wanted) - 1)]
+        total = idle + len(busy)
+        idle = idle + want - total if total < want else max(0, idle - (total - want))
+        for (arrival, q), own in sorted(state.items(), key=lambda x: x[0]):
+            done = {s for s, x in own.items() if not x["todo"] and not x["running"]}
+            if arrival <= t and len(done) == len(own) and q not in latency:
+                latency[q] = t - arrival
+            for stage in sorted(own):
+                x = own[stage]
+                while arrival <= t and x["deps"] <= done and x["todo"] and idle:
+                    busy.append((t + max(1, x["todo"].pop(0)), x))
+                    x["running"] += 1
+                    idle -= 1
+        if len(latency) == len(state) and t >= len(wanted) - 1:
+            return latency, spent
+        spent += idle + len(busy)
+        t += 1
+
+
+def test_schedule_as_by_the_clock():
+    r = random.Random(11)
+    for _ in range(60):
+        stages = []
+        for q in range(r.randint(1, 6)):
+            arrival = r.randint(0, 12)
+            stages += [(f"q{q}", arrival, k, [d for d in range(k) if r.random() < 0.5], [r.randint(1, 6) for _ in range(r.randint(1, 4))]) for k in range(r.randint(1, 4))]
+        wanted = [r.randint(0, 4) for _ in range(r.randint(1, 20))] + [r.randint(1, 4)]
+        for series in (wanted, wanted[-1:]):
+            latency, end, spent = simulate.schedule(stages, series if len(series) > 1 else series[0])
+            want, clock = by_the_clock(stages, series)
+            assert latency == want
+            if end >= len(series) - 1:
+                assert spent == clock
 
 
 def test_cache_by_hand():
     stages = [(0, 2, 2, 100, 3, 5), (2, 5, 3, 0, 0, 5)]
-    assert simulate.simulate_cache(stages, "perfect", 0, 1000)[:2] == (0, 0)
-    reads, writes, node_seconds, peak = simulate.simulate_cache(stages, "fixed", 1, 1000)
-    assert (reads, writes, node_seconds, peak) == (0, 0, 6, 200)
-    assert simulate.simulate_cache(stages, "fixed", 0, 1000)[:2] == (6, 2)
+    free = dict(startup=0, min_billing=0)
+    assert simulate.simulate_cache(stages, "fixed", 1, 1000, **free) == (0, 0, 6, 200)
+    assert simulate.simulate_cache(stages, "fixed", 0, 1000, **free)[:2] == (6, 2)
+    # a node for so few bytes costs more than the store's requests, unless these are many
+    assert simulate.simulate_cache(stages, "perfect", 0, 1000)[:3] == (6, 2, 0)
+    many = [(0, 2, 2000, 100, 3, 5), (2, 5, 3, 0, 0, 5)]
+    assert simulate.simulate_cache(many, "perfect", 0, 1 << 20)[:3] == (0, 0, 5)
+    assert simulate.simulate_cache(stages, "mean", 1, 1000, least=2, **free) == (0, 0, 12, 200)
+
+
+def test_cache_nodes_start_late_leave_late_and_come_back():
+    cache = simulate._Cache(100, startup=3, min_billing=5)
+    cache.want(2, 0)
+    cache.tick(2)
+    assert cache.billed() == 0 and cache.starting == [(3, 2)]
+    cache.tick(3)
+    assert [n.since for n in cache.active] == [3, 3]
+    cache.active[0].held[0, 0], cache.active[0].room = 40, 60
+    cache.want(0, 4)  # both are billed still: one for its data, both for their first seconds
+    assert not cache.active and len(cache.leaving) == 2
+    cache.tick(8)
+    assert [n.number for n in cache.leaving] == [0]
+    cache.want(1, 9)
+    assert [n.number for n in cache.active] == [0] and not cache.leaving and not cache.starting
+    cache.want(0, 10)
+    cache.leaving[0].drop((0, 0))
+    cache.tick(11)
+    assert cache.billed() == 0
+
+
+def test_cache_evicts_the_largest_share():
+    # three nodes full of two large shares each; a small stage then finds room on its third node only by eviction
+    stages = [(0, 9, 6, 100, 6, 9), (1, 9, 2, 30, 2, 9), (9, 9, 1, 0, 0, 9)]
+    plain = simulate.simulate_cache(stages, "fixed", 3, 200, startup=0, min_billing=0)
+    evicted = simulate.simulate_cache(stages, "fixed", 3, 200, startup=0, min_billing=0, evict=True)
+    assert plain[:2] == (4, 2)
+    assert evicted[0] < plain[0] and evicted[1] == evicted[0]  # what is evicted is written, and read, once
 
 
 def test_generators(spark):
