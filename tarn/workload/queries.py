@@ -39,12 +39,6 @@ def curve(spark: SparkSession, sf: str, pad: int = 0) -> DataFrame:
     return demand(event_intervals(spark, sf), pad=pad)
 
 
-def numbered(spark: SparkSession, sf: str, pad: int) -> DataFrame:
-    """A padded curve with n, 1 at the first real point and 0 before it."""
-    first = event_intervals(spark, sf).groupBy("trace").agg(F.min("start").alias("a"))
-    return curve(spark, sf, pad).join(first, "trace").withColumn("n", F.greatest(c("t") - c("a") + 1, F.lit(0))).drop("a")
-
-
 @add(f"WITH {curve_sql()} SELECT trace, t, demand FROM cv")
 def demand_curve(spark: SparkSession, sf: str) -> DataFrame:
     return curve(spark, sf)
@@ -78,13 +72,7 @@ def static_percentile_provisioning(spark: SparkSession, sf: str) -> DataFrame:
     return strategies.static_percentile_cost(curve(spark, sf), 0.8)
 
 
-#: Lookbacks of the two queries that are held against SQL with the same ones; the others run all of strategies.LOOKBACKS.
-LOOKS = (180, 300)
-
-
-def costs_of(spark: SparkSession, sf: str, lookbacks: tuple[int, ...]) -> DataFrame:
-    points = numbered(spark, sf, max(lookbacks))
-    return strategies.strategy_costs(points, strategies.targets(points, lookbacks))
+LOOKS = strategies.LOOKBACKS
 
 
 def _strategy_values() -> str:
@@ -105,25 +93,29 @@ cs AS (SELECT *, cast(sum(step_cost) OVER (PARTITION BY trace, lookback_idx, str
 
 @add(f"WITH {costs_sql(LOOKS)} SELECT trace, cast(lookback AS bigint) AS lookback, cast(strategy AS bigint) AS strategy, max(cost) AS cost FROM cs GROUP BY 1, 2, 3")
 def strategy_costs(spark: SparkSession, sf: str) -> DataFrame:
-    return costs_of(spark, sf, LOOKS).groupBy("trace", c("lookback").cast("long").alias("lookback"), c("strategy").cast("long").alias("strategy")).agg(F.max("cost").alias("cost"))
+    return strategies.strategy_costs(curve(spark, sf))
 
 
-@add(f"""WITH {costs_sql(LOOKS)} SELECT trace, t, k, CASE WHEN max(alloc) = 0 THEN max(CASE WHEN lookback = 300 AND strategy = 99 THEN target END) ELSE arg_min(target, (cost, lookback_idx, strategy)) END AS target, min(cost) AS cost
-FROM cs GROUP BY trace, t, k""")
-def strategy_choice(spark: SparkSession, sf: str) -> DataFrame:
-    return strategies.cheapest(costs_of(spark, sf, LOOKS)).select("trace", "t", "k", "target", "cost")
+CHOICE_SQL = f"""WITH {costs_sql(LOOKS)}, mn AS (SELECT trace, t, k, max(alloc) AS most, max(CASE WHEN lookback = 300 AND strategy = 99 THEN target END) AS cold,
+  arg_min((target, lookback, strategy), (cost, lookback_idx, strategy)) AS x, min(cost) AS cost FROM cs GROUP BY trace, t, k)
+SELECT trace, t, k, CASE WHEN most = 0 THEN cold ELSE x[1] END AS target, cost, cast(x[2] AS bigint) AS lookback, cast(x[3] AS bigint) AS strategy FROM mn"""
 
 
-@add()
+@add(CHOICE_SQL)
 def allocator_replay(spark: SparkSession, sf: str) -> DataFrame:
-    """The choice over all six lookbacks."""
-    return strategies.cheapest(costs_of(spark, sf, strategies.LOOKBACKS))
+    """The choice over all six lookbacks, with what was chosen."""
+    return strategies.cheapest(curve(spark, sf))
+
+
+@add(f"SELECT trace, t, k, target, cost FROM ({CHOICE_SQL}) c")
+def strategy_choice(spark: SparkSession, sf: str) -> DataFrame:
+    return strategies.cheapest(curve(spark, sf)).select("trace", "t", "k", "target", "cost")
 
 
 @add()
 def provisioning(spark: SparkSession, sf: str) -> DataFrame:
     """Mean, cost-based (over all six lookbacks) and perfect provisioning: serverless and machine time."""
-    points = curve(spark, sf).join(strategies.cheapest(costs_of(spark, sf, strategies.LOOKBACKS)).select("trace", "t", "target"), ["trace", "t"], "left")
+    points = curve(spark, sf).join(strategies.cheapest(curve(spark, sf)).select("trace", "t", "target"), ["trace", "t"], "left")
     return simulate.provisioning(points, lookback=60, startup=3, min_billing=6).drop("running")
 
 

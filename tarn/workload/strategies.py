@@ -5,6 +5,8 @@ Costs are whole numbers, in units of 1 / (3600 * 10^5) dollars, so that equal co
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,33 +41,93 @@ def lookback_percentiles(curve: DataFrame, n: int, shares: list[float]) -> DataF
     return curve.withColumn("p", percentile("demand", shares).over(last(n)))
 
 
-def targets(curve: DataFrame, lookbacks: tuple[int, ...] = LOOKBACKS, freq: int = FREQ) -> DataFrame:
-    """trace, t, k (step), lookback, strategy, target, at each freq-th point from the freq-th on; curve: padded, with n, the point's number from 1."""
-    shares = [p / 100 for p in range(101)]
-    wide = curve.withColumns({f"p{n}": percentile("demand", shares).over(last(n)) for n in lookbacks}).where((F.col("n") >= freq) & (F.col("n") % freq == 0))
-    each = F.array(*[F.struct(F.lit(i).alias("lookback_idx"), F.lit(n).alias("lookback"), F.col(f"p{n}").alias("p")) for i, n in enumerate(lookbacks)])
-    long = wide.select("trace", "t", (F.col("n") / freq).cast("long").alias("k"), F.explode(each).alias("x")).select("trace", "t", "k", "x.*")
-    table = F.array(*[F.struct(F.lit(i).alias("strategy"), F.lit(p).alias("i"), F.lit(m).alias("m")) for i, (p, m) in enumerate(STRATEGIES)])
-    return long.withColumn("s", F.explode(table)).select("trace", "t", "k", "lookback_idx", "lookback", F.col("s.strategy").alias("strategy"), F.floor(F.element_at("p", F.col("s.i") + 1) * F.col("s.m")).alias("target"))
-
-
-def strategy_costs(curve: DataFrame, wanted: DataFrame, freq: int = FREQ, startup_steps: int = STARTUP_STEPS) -> DataFrame:
-    """wanted with alloc (the target of startup_steps before) and cost, cumulated: VM time, and serverless time for what is over alloc."""
-    points = curve.where("n > 0").select("trace", F.floor((F.col("n") - 1) / freq + 1).alias("k"), "demand").groupBy("trace", "k").agg(F.collect_list("demand").alias("ds"))
-    by = Window.partitionBy("trace", "lookback_idx", "strategy").orderBy("k")
-    rows = wanted.withColumn("alloc", F.coalesce(F.lag("target", startup_steps).over(by), F.lit(0))).join(points, ["trace", "k"])
-    over = F.aggregate("ds", F.lit(0).cast("long"), lambda a, d: a + F.greatest(d - F.col("alloc"), F.lit(0)))
-    rows = rows.withColumn("step_cost", F.col("alloc") * freq * VM_UNITS + over * SERVERLESS_UNITS).drop("ds")
-    return rows.withColumn("cost", F.sum("step_cost").over(by.rowsBetween(Window.unboundedPreceding, 0)))
-
-
-def cheapest(costs: DataFrame) -> DataFrame:
-    """trace, t, k, target, cost, lookback, strategy: of the least cost so far; of equal ones the first lookback's first strategy. While
-    nothing is allocated yet anywhere, the 99th percentile of the cold lookback."""
-    order = F.struct("cost", "lookback_idx", "strategy")
-    cold = F.max(F.when((F.col("lookback") == COLD_LOOKBACK) & (F.col("strategy") == COLD_PERCENTILE), F.col("target")))
-    pick = costs.groupBy("trace", "t", "k").agg(F.min_by(F.struct("target", "cost", "lookback", "strategy"), order).alias("x"), cold.alias("cold"), F.max("alloc").alias("most"))
-    return pick.select("trace", "t", "k", F.when((F.col("most") == 0) & F.col("cold").isNotNull(), F.col("cold")).otherwise(F.col("x.target")).alias("target"), "x.cost", "x.lookback", "x.strategy")
+#: Points of a chunk of a trace; a multiple of FREQ. A task holds a chunk and what its look-backs need of the points before.
+CHUNK = 4000
+
+
+def _chunks(curve: DataFrame, before: int) -> DataFrame:
+    """curve with n (the point's number from 1) and chunk: each point goes to its own chunk and to the next ones that look back to it."""
+    first = curve.groupBy("trace").agg(F.min("t").alias("__a"))
+    rows = curve.select("trace", "t", "demand").join(first, "trace").withColumn("n", F.col("t") - F.col("__a") + 1).drop("__a")
+    own = F.floor((F.col("n") - 1) / CHUNK)
+    return rows.withColumn("own", own).withColumn("chunk", F.explode(F.sequence(own, F.floor((F.col("n") - 1 + before) / CHUNK))))
+
+
+class _Steps:
+    """The targets, allocations and step costs of a chunk's decision points: arrays by step, then look-back and strategy."""
+
+    def __init__(self, rows: pd.DataFrame, chunk: int, lookbacks: tuple[int, ...], startup_steps: int) -> None:
+        last, early = int(rows["n"].max()), max(lookbacks) + startup_steps * FREQ
+        base = chunk * CHUNK - early  # the array's first point is number base + 1; what lies before the trace is zero
+        demand = np.zeros(last - base, np.int64)
+        demand[rows["n"].to_numpy() - base - 1] = rows["demand"].to_numpy()
+        self.k = np.arange(chunk * CHUNK // FREQ + 1, last // FREQ + 1)
+        steps = np.arange(chunk * CHUNK // FREQ + 1 - startup_steps, last // FREQ + 1)
+        ends = steps * FREQ - base
+        found = []
+        for n in lookbacks:
+            seen = np.sort(np.lib.stride_tricks.sliding_window_view(demand, n)[ends - n], axis=1) if len(ends) else np.zeros((0, n), np.int64)
+            at = [(n - 1) * (p / 100) for p in range(101)]
+            low = np.array([int(x) for x in at])
+            low_value, high_value = seen[:, low], seen[:, np.minimum(low + 1, n - 1)]
+            p = low_value + (high_value - low_value) * (np.array(at) - low)
+            found.append(np.floor(p[:, [i for i, _ in STRATEGIES]] * np.array([m for _, m in STRATEGIES])).astype(np.int64))
+        all_targets = np.stack(found, axis=1)
+        all_targets[steps < 1] = 0
+        self.target, self.alloc = all_targets[startup_steps:], all_targets[: len(steps) - startup_steps]
+        points = demand[early : early + len(self.k) * FREQ].reshape(-1, FREQ)
+        over = sum(np.maximum(points[:, j, None, None] - self.alloc, 0) for j in range(FREQ))
+        self.cost = self.alloc * FREQ * VM_UNITS + over * SERVERLESS_UNITS
+
+
+def chunk_costs(curve: DataFrame, lookbacks: tuple[int, ...] = LOOKBACKS, startup_steps: int = STARTUP_STEPS) -> DataFrame:
+    """trace, chunk, costs: the cost of each (look-back, strategy) over a chunk, VM time and serverless time for what is over the allocation.
+
+    The strategies' arrays are in the order of lookbacks, then STRATEGIES. Percentiles are taken at decision points only.
+    """
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        chunk = int(rows["chunk"].iloc[0])
+        x = _Steps(rows, chunk, lookbacks, startup_steps)
+        return pd.DataFrame([{"trace": rows["trace"].iloc[0], "chunk": chunk, "costs": x.cost.sum(axis=0).ravel()}])
+
+    return _chunks(curve, max(lookbacks) + startup_steps * FREQ).groupBy("trace", "chunk").applyInPandas(run, "trace string, chunk long, costs array<long>")
+
+
+def strategy_costs(curve: DataFrame, lookbacks: tuple[int, ...] = LOOKBACKS, startup_steps: int = STARTUP_STEPS) -> DataFrame:
+    """trace, lookback, strategy, cost: over the whole trace."""
+    order = F.array(*(F.struct(F.lit(n).cast("long").alias("lookback"), F.lit(s).cast("long").alias("strategy")) for n in lookbacks for s in range(len(STRATEGIES))))
+    each = chunk_costs(curve, lookbacks, startup_steps).select("trace", F.posexplode("costs").alias("at", "cost")).groupBy("trace", "at").agg(F.sum("cost").alias("cost"))
+    return each.withColumn("x", order[F.col("at")]).select("trace", "x.lookback", "x.strategy", "cost")
+
+
+def cheapest(curve: DataFrame, lookbacks: tuple[int, ...] = LOOKBACKS, startup_steps: int = STARTUP_STEPS) -> DataFrame:
+    """trace, t, k, target, cost, lookback, strategy at each FREQ-th point: of the least cost so far; of equal ones the first lookback's
+    first strategy. While nothing is allocated yet anywhere, the 99th percentile of the cold lookback.
+
+    The costs of the chunks before come by a sum over a trace's chunks, which are few; then each chunk is worked through on its own.
+    """
+    cold = lookbacks.index(COLD_LOOKBACK) if COLD_LOOKBACK in lookbacks else None
+
+    def before(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("chunk")
+        sums = np.cumsum(np.stack(rows["costs"].to_list()), axis=0)
+        return pd.DataFrame({"trace": rows["trace"], "chunk": rows["chunk"], "costs": [np.zeros_like(sums[0]), *sums[:-1]]})
+
+    def run(key: tuple, rows: pd.DataFrame, spent: pd.DataFrame) -> pd.DataFrame:
+        x = _Steps(rows, int(key[1]), lookbacks, startup_steps)
+        n = len(x.k)
+        total = np.cumsum(x.cost.reshape(n, -1), axis=0) + np.asarray(spent["costs"].iloc[0])
+        best = total.argmin(axis=1) if n else np.zeros(0, np.int64)
+        target = x.target.reshape(n, -1)[np.arange(n), best]
+        if cold is not None:
+            target = np.where((x.alloc == 0).all(axis=(1, 2)), x.target[:, cold, COLD_PERCENTILE], target)
+        at = rows["t"].iloc[0] - rows["n"].iloc[0] + x.k * FREQ
+        return pd.DataFrame({"trace": key[0], "t": at, "k": x.k, "target": target, "cost": total[np.arange(n), best], "lookback": np.array(lookbacks)[best // len(STRATEGIES)], "strategy": best % len(STRATEGIES)})
+
+    spent = chunk_costs(curve, lookbacks, startup_steps).groupBy("trace").applyInPandas(before, "trace string, chunk long, costs array<long>")
+    points = _chunks(curve, max(lookbacks) + startup_steps * FREQ).groupBy("trace", "chunk")
+    return points.cogroup(spent.groupBy("trace", "chunk")).applyInPandas(run, "trace string, t long, k long, target long, cost long, lookback long, strategy long")
 
 
 def fixed_cost(curve: DataFrame, vms: int) -> DataFrame:

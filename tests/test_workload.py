@@ -38,26 +38,33 @@ def test_percentiles_are_interpolated_over_zero_padding(spark):
         assert p == pytest.approx(np.percentile(([0] * 4 + values)[k + 1 : k + 5], [25, 98]))
 
 
-def test_choice_against_brute_force(spark):
+@pytest.mark.parametrize("chunk", [4000, 20, 5])
+def test_choice_against_brute_force(spark, monkeypatch, chunk):
     r = random.Random(2)
-    values, looks, lag = [r.randint(0, 30) for _ in range(60)], (10, 20), 3
-    pad = max(looks)
-    curve = spark.createDataFrame([("a", k - pad, v, max(0, k - pad + 1)) for k, v in enumerate([0] * pad + values)], "trace string, t long, demand long, n long")
-    got = {x.k: (x.target, x.cost) for x in strategies.cheapest(strategies.strategy_costs(curve, strategies.targets(curve, looks), startup_steps=lag)).collect()}
+    values, looks, lag = [r.randint(0, 30) for _ in range(63)], (10, 20), 3
+    monkeypatch.setattr(strategies, "CHUNK", chunk)
+    curve = spark.createDataFrame([("a", 1000 + k, v) for k, v in enumerate(values)], "trace string, t long, demand long")
+    got = {x.k: x for x in strategies.cheapest(curve, looks, lag).collect()}
+    assert sorted(got) == list(range(1, 13)) and all(x.t == 999 + 5 * k for k, x in got.items())
     cost, past = {}, {}
     for k in range(1, len(values) // 5 + 1):
         best = None
         for i, n in enumerate(looks):
             seen = ([0] * n + values[: 5 * k])[-n:]
-            p = np.percentile(seen, range(101))
+            seen = sorted(seen)
+            at = [(n - 1) * (q / 100) for q in range(101)]
+            p = [seen[int(x)] + (seen[min(int(x) + 1, n - 1)] - seen[int(x)]) * (x - int(x)) for x in at]
+            assert p == pytest.approx(np.percentile(seen, range(101)))
             for s, (q, m) in enumerate(strategies.STRATEGIES):
-                target = int(p[q] * m + 1e-9)
+                target = int(p[q] * m)
                 past.setdefault((i, s), []).append(target)
                 alloc = past[i, s][-1 - lag] if len(past[i, s]) > lag else 0
                 cost[i, s] = cost.get((i, s), 0) + alloc * 5 * strategies.VM_UNITS + sum(max(0, d - alloc) for d in values[5 * k - 5 : 5 * k]) * strategies.SERVERLESS_UNITS
                 if best is None or cost[i, s] < best[0]:
-                    best = cost[i, s], target
-        assert got[k][1] == best[0] and (k <= lag or got[k][0] == best[1])
+                    best = cost[i, s], target, n, s
+        assert got[k].cost == best[0] and (k <= lag or (got[k].target, got[k].lookback, got[k].strategy) == best[1:])
+    whole = {(x.lookback, x.strategy): x.cost for x in strategies.strategy_costs(curve, looks, lag).collect()}
+    assert whole == {(looks[i], s): v for (i, s), v in cost.items()}
 
 
 def test_provisioning_machine():
