@@ -47,10 +47,11 @@ CHUNK = 4000
 
 def _chunks(curve: DataFrame, before: int) -> DataFrame:
     """curve with n (the point's number from 1) and chunk: each point goes to its own chunk and to the next ones that look back to it."""
-    first = curve.groupBy("trace").agg(F.min("t").alias("__a"))
-    rows = curve.select("trace", "t", "demand").join(first, "trace").withColumn("n", F.col("t") - F.col("__a") + 1).drop("__a")
-    own = F.floor((F.col("n") - 1) / CHUNK)
-    return rows.withColumn("own", own).withColumn("chunk", F.explode(F.sequence(own, F.floor((F.col("n") - 1 + before) / CHUNK))))
+    ends = curve.groupBy("trace").agg(F.min("t").alias("a"), F.max("t").alias("b"))
+    rows = curve.select("trace", "t", "demand").join(ends, "trace").withColumn("n", F.col("t") - F.col("a") + 1)
+    of = lambda x: F.floor(x / CHUNK)
+    chunks = F.sequence(of(F.col("n") - 1), F.least(of(F.col("n") - 1 + before), of(F.col("b") - F.col("a"))))
+    return rows.select("trace", "t", "demand", "n", F.explode(chunks).alias("chunk"))
 
 
 class _Steps:
