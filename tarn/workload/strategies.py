@@ -117,10 +117,10 @@ def cheapest(curve: DataFrame, lookbacks: tuple[int, ...] = LOOKBACKS, startup_s
 
     def run(key: tuple, rows: pd.DataFrame, spent: pd.DataFrame) -> pd.DataFrame:
         x = _Steps(rows, int(key[1]), lookbacks, startup_steps)
-        n = len(x.k)
-        total = np.cumsum(x.cost.reshape(n, -1), axis=0) + np.asarray(spent["costs"].iloc[0])
+        n, width = len(x.k), len(lookbacks) * len(STRATEGIES)
+        total = np.cumsum(x.cost.reshape(n, width), axis=0) + np.asarray(spent["costs"].iloc[0])
         best = total.argmin(axis=1) if n else np.zeros(0, np.int64)
-        target = x.target.reshape(n, -1)[np.arange(n), best]
+        target = x.target.reshape(n, width)[np.arange(n), best]
         if cold is not None:
             target = np.where((x.alloc == 0).all(axis=(1, 2)), x.target[:, cold, COLD_PERCENTILE], target)
         at = rows["t"].iloc[0] - rows["n"].iloc[0] + x.k * FREQ
