@@ -45,11 +45,11 @@ def lookback_percentiles(curve: DataFrame, n: int, shares: list[float]) -> DataF
 CHUNK = 4000
 
 
-def _chunks(curve: DataFrame, before: int) -> DataFrame:
+def _chunks(curve: DataFrame, before: int, size: int) -> DataFrame:
     """curve with n (the point's number from 1) and chunk: each point goes to its own chunk and to the next ones that look back to it."""
     ends = curve.groupBy("trace").agg(F.min("t").alias("a"), F.max("t").alias("b"))
     rows = curve.select("trace", "t", "demand").join(ends, "trace").withColumn("n", F.col("t") - F.col("a") + 1)
-    of = lambda x: F.floor(x / CHUNK)
+    of = lambda x: F.floor(x / size)
     chunks = F.sequence(of(F.col("n") - 1), F.least(of(F.col("n") - 1 + before), of(F.col("b") - F.col("a"))))
     return rows.select("trace", "t", "demand", "n", F.explode(chunks).alias("chunk"))
 
@@ -57,13 +57,13 @@ def _chunks(curve: DataFrame, before: int) -> DataFrame:
 class _Steps:
     """The targets, allocations and step costs of a chunk's decision points: arrays by step, then look-back and strategy."""
 
-    def __init__(self, rows: pd.DataFrame, chunk: int, lookbacks: tuple[int, ...], startup_steps: int) -> None:
+    def __init__(self, rows: pd.DataFrame, chunk: int, lookbacks: tuple[int, ...], startup_steps: int, size: int) -> None:
         last, early = int(rows["n"].max()), max(lookbacks) + startup_steps * FREQ
-        base = chunk * CHUNK - early  # the array's first point is number base + 1; what lies before the trace is zero
+        base = chunk * size - early  # the array's first point is number base + 1; what lies before the trace is zero
         demand = np.zeros(last - base, np.int64)
         demand[rows["n"].to_numpy() - base - 1] = rows["demand"].to_numpy()
-        self.k = np.arange(chunk * CHUNK // FREQ + 1, last // FREQ + 1)
-        steps = np.arange(chunk * CHUNK // FREQ + 1 - startup_steps, last // FREQ + 1)
+        self.k = np.arange(chunk * size // FREQ + 1, last // FREQ + 1)
+        steps = np.arange(chunk * size // FREQ + 1 - startup_steps, last // FREQ + 1)
         ends = steps * FREQ - base
         found = []
         for n in lookbacks:
@@ -81,7 +81,7 @@ class _Steps:
         self.cost = self.alloc * FREQ * VM_UNITS + over * SERVERLESS_UNITS
 
 
-def chunk_costs(curve: DataFrame, lookbacks: tuple[int, ...] = LOOKBACKS, startup_steps: int = STARTUP_STEPS) -> DataFrame:
+def chunk_costs(curve: DataFrame, lookbacks: tuple[int, ...] = LOOKBACKS, startup_steps: int = STARTUP_STEPS, size: int = CHUNK) -> DataFrame:
     """trace, chunk, costs: the cost of each (look-back, strategy) over a chunk, VM time and serverless time for what is over the allocation.
 
     The strategies' arrays are in the order of lookbacks, then STRATEGIES. Percentiles are taken at decision points only.
@@ -89,20 +89,20 @@ def chunk_costs(curve: DataFrame, lookbacks: tuple[int, ...] = LOOKBACKS, startu
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         chunk = int(rows["chunk"].iloc[0])
-        x = _Steps(rows, chunk, lookbacks, startup_steps)
+        x = _Steps(rows, chunk, lookbacks, startup_steps, size)
         return pd.DataFrame([{"trace": rows["trace"].iloc[0], "chunk": chunk, "costs": x.cost.sum(axis=0).ravel()}])
 
-    return _chunks(curve, max(lookbacks) + startup_steps * FREQ).groupBy("trace", "chunk").applyInPandas(run, "trace string, chunk long, costs array<long>")
+    return _chunks(curve, max(lookbacks) + startup_steps * FREQ, size).groupBy("trace", "chunk").applyInPandas(run, "trace string, chunk long, costs array<long>")
 
 
-def strategy_costs(curve: DataFrame, lookbacks: tuple[int, ...] = LOOKBACKS, startup_steps: int = STARTUP_STEPS) -> DataFrame:
+def strategy_costs(curve: DataFrame, lookbacks: tuple[int, ...] = LOOKBACKS, startup_steps: int = STARTUP_STEPS, size: int = CHUNK) -> DataFrame:
     """trace, lookback, strategy, cost: over the whole trace."""
     order = F.array(*(F.struct(F.lit(n).cast("long").alias("lookback"), F.lit(s).cast("long").alias("strategy")) for n in lookbacks for s in range(len(STRATEGIES))))
-    each = chunk_costs(curve, lookbacks, startup_steps).select("trace", F.posexplode("costs").alias("at", "cost")).groupBy("trace", "at").agg(F.sum("cost").alias("cost"))
+    each = chunk_costs(curve, lookbacks, startup_steps, size).select("trace", F.posexplode("costs").alias("at", "cost")).groupBy("trace", "at").agg(F.sum("cost").alias("cost"))
     return each.withColumn("x", order[F.col("at")]).select("trace", "x.lookback", "x.strategy", "cost")
 
 
-def cheapest(curve: DataFrame, lookbacks: tuple[int, ...] = LOOKBACKS, startup_steps: int = STARTUP_STEPS) -> DataFrame:
+def cheapest(curve: DataFrame, lookbacks: tuple[int, ...] = LOOKBACKS, startup_steps: int = STARTUP_STEPS, size: int = CHUNK) -> DataFrame:
     """trace, t, k, target, cost, lookback, strategy at each FREQ-th point: of the least cost so far; of equal ones the first lookback's
     first strategy. While nothing is allocated yet anywhere, the 99th percentile of the cold lookback.
 
@@ -116,7 +116,7 @@ def cheapest(curve: DataFrame, lookbacks: tuple[int, ...] = LOOKBACKS, startup_s
         return pd.DataFrame({"trace": rows["trace"], "chunk": rows["chunk"], "costs": [np.zeros_like(sums[0]), *sums[:-1]]})
 
     def run(key: tuple, rows: pd.DataFrame, spent: pd.DataFrame) -> pd.DataFrame:
-        x = _Steps(rows, int(key[1]), lookbacks, startup_steps)
+        x = _Steps(rows, int(key[1]), lookbacks, startup_steps, size)
         n, width = len(x.k), len(lookbacks) * len(STRATEGIES)
         total = np.cumsum(x.cost.reshape(n, width), axis=0) + np.asarray(spent["costs"].iloc[0])
         best = total.argmin(axis=1) if n else np.zeros(0, np.int64)
@@ -126,8 +126,8 @@ def cheapest(curve: DataFrame, lookbacks: tuple[int, ...] = LOOKBACKS, startup_s
         at = rows["t"].iloc[0] - rows["n"].iloc[0] + x.k * FREQ
         return pd.DataFrame({"trace": key[0], "t": at, "k": x.k, "target": target, "cost": total[np.arange(n), best], "lookback": np.array(lookbacks)[best // len(STRATEGIES)], "strategy": best % len(STRATEGIES)})
 
-    spent = chunk_costs(curve, lookbacks, startup_steps).groupBy("trace").applyInPandas(before, "trace string, chunk long, costs array<long>")
-    points = _chunks(curve, max(lookbacks) + startup_steps * FREQ).groupBy("trace", "chunk")
+    spent = chunk_costs(curve, lookbacks, startup_steps, size).groupBy("trace").applyInPandas(before, "trace string, chunk long, costs array<long>")
+    points = _chunks(curve, max(lookbacks) + startup_steps * FREQ, size).groupBy("trace", "chunk")
     return points.cogroup(spent.groupBy("trace", "chunk")).applyInPandas(run, "trace string, t long, k long, target long, cost long, lookback long, strategy long")
 
 

@@ -39,12 +39,11 @@ def test_percentiles_are_interpolated_over_zero_padding(spark):
 
 
 @pytest.mark.parametrize("chunk", [4000, 20, 5])
-def test_choice_against_brute_force(spark, monkeypatch, chunk):
+def test_choice_against_brute_force(spark, chunk):
     r = random.Random(2)
     values, looks, lag = [r.randint(0, 30) for _ in range(63)], (10, 20), 3
-    monkeypatch.setattr(strategies, "CHUNK", chunk)
     curve = spark.createDataFrame([("a", 1000 + k, v) for k, v in enumerate(values)], "trace string, t long, demand long")
-    got = {x.k: x for x in strategies.cheapest(curve, looks, lag).collect()}
+    got = {x.k: x for x in strategies.cheapest(curve, looks, lag, chunk).collect()}
     assert sorted(got) == list(range(1, 13)) and all(x.t == 999 + 5 * k for k, x in got.items())
     cost, past = {}, {}
     for k in range(1, len(values) // 5 + 1):
@@ -63,7 +62,7 @@ def test_choice_against_brute_force(spark, monkeypatch, chunk):
                 if best is None or cost[i, s] < best[0]:
                     best = cost[i, s], target, n, s
         assert got[k].cost == best[0] and (k <= lag or (got[k].target, got[k].lookback, got[k].strategy) == best[1:])
-    whole = {(x.lookback, x.strategy): x.cost for x in strategies.strategy_costs(curve, looks, lag).collect()}
+    whole = {(x.lookback, x.strategy): x.cost for x in strategies.strategy_costs(curve, looks, lag, chunk).collect()}
     assert whole == {(looks[i], s): v for (i, s), v in cost.items()}
 
 
