@@ -11,8 +11,13 @@ from tarn.workload.demand import demand
 
 
 def uniform(seed: int, *keys: Column | str) -> Column:
-    """A number in [0, 1) for a key."""
-    return F.xxhash64(F.lit(seed), *keys).bitwiseAND(F.lit((1 << 52) - 1)) / float(1 << 52)
+    """A number in [0, 1) for a key: the first 52 bits of an MD5, which other engines have too."""
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(k).cast("string") if isinstance(k, str) else k.cast("string") for k in keys]))
+    return F.conv(F.substring(digest, 1, 13), 16, 10).cast("long") / float(1 << 52)
+
+
+def uniform_sql(seed: int, *keys: str | int) -> str:
+    return f"(cast('0x' || substring(md5(concat_ws(':', {', '.join(map(str, (seed, *keys)))})), 1, 13) AS bigint) / 4503599627370496e0)"
 
 
 #: Points of the inverse distribution function that are interpolated between.
@@ -44,6 +49,14 @@ def workload(spark: SparkSession, queries: int, length: int = 3600, baseline: fl
     return rows.select("id", F.least(start, F.lit(length - 1)).cast("long").alias("start_s"), F.concat(F.lit("q"), F.col("q")).alias("query"))
 
 
+def workload_sql(queries: int, length: int = 3600, baseline: float = 0.3, period: int = 1200, kinds: int = 22, seed: int = 42) -> str:
+    """The same as a SQL text."""
+    u, n = (lambda k: uniform_sql(seed, "id", k)), max(1, length // period)
+    table = f"[{', '.join(f'{inverse_cosine(k / GRID)!r}::double' for k in range(GRID + 1))}]"
+    return f"""SELECT id, cast(least(CASE WHEN even THEN floor(u * {length}) ELSE floor((which + cs[k] + (cs[k + 1] - cs[k]) * (u * {GRID} - (k - 1))) * {period}) END, {length - 1}) AS bigint) AS start_s, 'q' || q AS query
+FROM (SELECT *, cast(floor(u * {GRID}) AS bigint) + 1 AS k, {table} AS cs FROM (SELECT id, {u(0)} < {baseline} AS even, {u(1)} AS u, floor({u(2)} * {n}) AS which, cast(floor({u(3)} * {kinds}) AS bigint) + 1 AS q FROM range({queries}) t(id)) x) y"""
+
+
 def stage_chains(queries: DataFrame, stages: int = 6, workers: int = 64, seconds: int = 20, most_bytes: int = 1 << 28, seed: int = 42) -> DataFrame:
     """id, stage, start, end, tasks, bytes (log-uniform), consumers, release: a chain for each query, a stage begins when the one before ends."""
     from pyspark.sql import Window

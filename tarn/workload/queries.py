@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import math
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tarn.functions.columns import money
+from tarn.operators.relational import with_scalar
 from tarn.sources.tables import Tables
 from tarn.streaming import gauges
 from tarn.workload import dag, generate, simulate, strategies
@@ -143,51 +146,93 @@ def run_cost(spark: SparkSession, sf: str) -> DataFrame:
     return event_intervals(spark, sf).groupBy("trace").agg(F.sum("bytes").alias("bytes"), strategies.dollars(n * 3, n, seconds).alias("dollars"))
 
 
-def chains(spark: SparkSession) -> DataFrame:
-    return generate.stage_chains(generate.workload(spark, 60, 600, period=200))
-
-
-@add()
-def cache_simulation(spark: SparkSession, sf: str) -> DataFrame:
-    stages = chains(spark).withColumn("trace", F.concat(F.lit("w"), c("id") % 4))
-    return simulate.cache_policies(stages, [("perfect", 0), ("fixed", 4), ("mean", 2), ("percentile", 80)], 1 << 28).withColumn("dollars", strategies.dollars(c("reads"), c("writes"), c("node_seconds")))
+CHAIN_SQL = f"""w AS ({generate.workload_sql(60, 600, period=200)}), n AS (SELECT id, start_s, unnest(range(1, cast(floor({generate.uniform_sql(42, "id", 9)} * 6) AS bigint) + 2)) AS stage FROM w),
+p AS (SELECT *, cast(floor({generate.uniform_sql(42, "id", "stage", 10)} * 64) + 1 AS bigint) AS tasks, cast(floor({generate.uniform_sql(42, "id", "stage", 11)} * 20) + 1 AS bigint) AS seconds,
+  cast(floor(exp(1 + {generate.uniform_sql(42, "id", "stage", 12)} * {math.log(1 << 28) - 1!r}::double)) AS bigint) AS bytes FROM n),
+e AS (SELECT *, start_s + sum(seconds) OVER (PARTITION BY id ORDER BY stage) AS fin FROM p)"""
 
 
-@add()
+@add(generate.workload_sql(1000))
 def workload_generator(spark: SparkSession, sf: str) -> DataFrame:
     return generate.workload(spark, 1000)
 
 
-@add()
+@add(f"""WITH {CHAIN_SQL} SELECT id, cast(stage AS integer) AS stage, cast(fin - seconds AS bigint) AS start, cast(fin AS bigint) AS "end", tasks, bytes, coalesce(lead(tasks) OVER v, 0) AS consumers, cast(coalesce(lead(fin) OVER v, fin) AS bigint) AS release
+FROM e WINDOW v AS (PARTITION BY id ORDER BY stage)""")
 def stage_chain_generator(spark: SparkSession, sf: str) -> DataFrame:
-    return chains(spark)
+    return generate.stage_chains(generate.workload(spark, 60, 600, period=200))
 
 
-@add()
+@add(f"""WITH w AS ({generate.workload_sql(200)}), x AS (SELECT *, floor({generate.uniform_sql(42, "id", 21)} * 60) + 1 AS mean, unnest(range(1, cast(floor({generate.uniform_sql(42, "id", 20)} * 20) AS bigint) + 2)) AS task FROM w),
+z AS (SELECT *, sqrt(-2 * ln(1 - {generate.uniform_sql(42, "id", "task", 22)})) * cos({2 * math.pi!r}::double * {generate.uniform_sql(42, "id", "task", 23)}) AS normal FROM x),
+iv AS (SELECT start_s AS s, least(start_s + cast(greatest(floor(mean * (1 + normal / 10)), 1) AS bigint), 3600) AS e FROM z),
+dl AS (SELECT t, sum(d) AS d FROM (SELECT s AS t, 1 AS d FROM iv UNION ALL SELECT e, -1 FROM iv) y GROUP BY t), sp AS (SELECT unnest(range((SELECT min(s) FROM iv), (SELECT max(e) FROM iv))) AS t)
+SELECT 'synthetic' AS trace, sp.t, cast(sum(coalesce(d, 0)) OVER (ORDER BY sp.t) AS bigint) AS demand FROM sp LEFT JOIN dl ON sp.t = dl.t""")
 def synthetic_demand(spark: SparkSession, sf: str) -> DataFrame:
     return generate.synthetic_demand(spark, 200)
 
 
-def profile(spark: SparkSession) -> DataFrame:
-    """Three queries of a few stages; start_s counts from the stage before."""
-    rows = [("q1", 0, 0, 4000, [], [3, 4, 5]), ("q1", 1, 5, 100, [0], [2]), ("q2", 0, 0, 9000, [], [6, 6]), ("q2", 1, 0, 500, [], [1, 1, 2]), ("q2", 2, 6, 700, [0, 1], [4, 4]), ("q2", 3, 4, 10, [2], [1]), ("q3", 0, 1, 50, [], [9])]
-    return spark.createDataFrame(rows, "query string, stage int, start_s long, output_bytes long, deps array<int>, runtimes array<int>")
+TRACE_SQL = "tr AS (SELECT event_id AS id, cast(floor((epoch(ts) - (SELECT epoch(min(ts)) FROM events)) / 600) AS bigint) AS start_s, 'q' || (event_id % 22 + 1) AS query FROM events WHERE ts IS NOT NULL)"
+PROFILE_SQL = """ln AS (SELECT l_orderkey, dense_rank() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) - 1 AS stage, l_linenumber, cast(ceil(l_quantity / 10) AS bigint) AS seconds, cast(floor(l_extendedprice) AS bigint) * 1000 AS bytes FROM lineitem WHERE l_orderkey < 22),
+pr AS (SELECT 'q' || (l_orderkey + 1) AS query, stage, max(l_linenumber) AS start_s, sum(bytes) AS output_bytes, count(*) AS tasks, max(seconds) AS seconds, string_agg(cast(seconds AS varchar), ',' ORDER BY seconds) AS runtimes FROM ln GROUP BY l_orderkey, stage)"""
 
 
-def small_trace(spark: SparkSession) -> DataFrame:
-    return generate.workload(spark, 40, 60, period=30, kinds=3)
+def event_trace(spark: SparkSession, sf: str) -> DataFrame:
+    """Each event is a query of one of 22 kinds; ten minutes are a second."""
+    events = Tables(spark, sf).events.where("ts is not null").select("event_id", F.expr("timestampdiff(SECOND, timestamp_ntz'1970-01-01 00:00:00', ts)").alias("s"))
+    start = F.floor((c("s") - c("first")) / 600)
+    return with_scalar(events, events.agg(F.min("s").alias("first"))).select(c("event_id").alias("id"), start.alias("start_s"), F.concat(F.lit("q"), c("event_id") % 22 + 1).alias("query"))
 
 
-@add()
+def profile(spark: SparkSession, sf: str) -> DataFrame:
+    """The stages of 22 kinds of queries, from the lines of as many orders; start_s counts from the stage before, a stage needs that."""
+    lines = Tables(spark, sf).lineitem.where("l_orderkey < 22")
+    stage = F.dense_rank().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber")) - 1
+    rows = lines.select("l_orderkey", stage.alias("stage"), "l_linenumber", F.ceil(c("l_quantity") / 10).cast("int").alias("seconds"), (F.floor("l_extendedprice") * 1000).alias("bytes"))
+    grouped = rows.groupBy("l_orderkey", "stage").agg(F.max("l_linenumber").cast("long").alias("start_s"), F.sum("bytes").alias("output_bytes"), F.sort_array(F.collect_list("seconds")).alias("runtimes"))
+    deps = F.when(c("stage") > 0, F.array(c("stage") - 1)).otherwise(F.expr("cast(array() as array<int>)"))
+    return grouped.select(F.concat(F.lit("q"), c("l_orderkey") + 1).alias("query"), "stage", "start_s", "output_bytes", deps.alias("deps"), "runtimes")
+
+
+@add(f"""WITH {TRACE_SQL}, {PROFILE_SQL}, o AS (SELECT *, sum(start_s) OVER (PARTITION BY query ORDER BY stage) AS off FROM pr)
+SELECT id, tr.query, cast(stage AS integer) AS stage, cast(tr.start_s + off AS bigint) AS start, cast(tr.start_s + off + seconds AS bigint) AS "end", cast(tasks AS bigint) AS tasks, cast(greatest(floor(output_bytes / tasks), 1) AS bigint) AS bytes, runtimes FROM tr JOIN o ON tr.query = o.query""")
 def profile_expansion(spark: SparkSession, sf: str) -> DataFrame:
-    return generate.expand_profile(small_trace(spark), profile(spark))
+    rows = generate.expand_profile(event_trace(spark, sf), profile(spark, sf))
+    return rows.drop("deps").withColumn("runtimes", F.array_join(c("runtimes").cast("array<string>"), ","))
+
+
+@add()
+def cache_simulation(spark: SparkSession, sf: str) -> DataFrame:
+    """All four policies over the stages of the events' queries, with start-up, minimum billing, two nodes at least and eviction."""
+    w = Window.partitionBy("id").orderBy("stage")
+    stages = generate.expand_profile(event_trace(spark, sf), profile(spark, sf)).withColumns({"consumers": F.coalesce(F.lead("tasks").over(w), F.lit(0)), "release": F.coalesce(F.lead("end").over(w), c("end")), "trace": F.concat(F.lit("w"), c("id") % 4)})
+    found = simulate.cache_policies(stages, [("perfect", 0), ("fixed", 4), ("mean", 2), ("percentile", 80)], 1 << 28, least=2, evict=True)
+    return found.withColumn("dollars", strategies.dollars(c("reads"), c("writes"), c("node_seconds")))
+
+
+#: Few executors, and the reference's.
+SETTINGS = [*range(4, 33, 4), *range(100, 451, 5)]
+
+
+def arriving(spark: SparkSession, sf: str) -> DataFrame:
+    """query (one of the trace), arrival, stage, deps, runtimes."""
+    return event_trace(spark, sf).join(profile(spark, sf).drop("start_s"), "query").select(F.concat("query", F.lit("-"), "id").alias("query"), c("start_s").alias("arrival"), "stage", "deps", "runtimes")
 
 
 @add()
 def executor_sweep(spark: SparkSession, sf: str) -> DataFrame:
-    rows = small_trace(spark).join(profile(spark).drop("start_s"), "query").select(F.concat("query", F.lit("-"), "id").alias("query"), c("start_s").alias("arrival"), "stage", "deps", "runtimes")
-    settings = spark.range(4, 33, 4).unionByName(spark.range(100, 451, 5))  # few for this small trace, and the reference's
-    return simulate.executor_sweep(rows, settings.withColumnRenamed("id", "executors"))
+    return simulate.executor_sweep(arriving(spark, sf), SETTINGS)
+
+
+@add()
+def given_executors(spark: SparkSession, sf: str) -> DataFrame:
+    """The same queries under as many executors as tasks would run at each second if none had to wait, and one more."""
+    stages = generate.expand_profile(event_trace(spark, sf), profile(spark, sf))
+    tasks = stages.select(F.lit("all").alias("trace"), "start", F.explode("runtimes").alias("s")).select("trace", "start", (c("start") + c("s")).alias("end"))
+    series = demand(tasks).select("trace", "t", (c("demand") + 1).alias("executors"))
+    early = with_scalar(F.broadcast(spark.range(1)).select(F.lit("all").alias("trace")), series.agg(F.min("t").alias("a")))
+    early = early.where("a > 0").select("trace", F.explode(F.sequence(F.lit(0).cast("long"), c("a") - 1)).alias("t"), F.lit(1).cast("long").alias("executors"))
+    return simulate.given_executors(arriving(spark, sf).withColumn("trace", F.lit("all")), series.unionByName(early))
 
 
 GRAPH = "dag(query, stage, num_tasks, deps) AS (VALUES " + ", ".join(f"('{q}', {s}, {n}, {d}::integer[])" for q, s, n, d, _ in dag.EXAMPLE) + """),
@@ -215,12 +260,12 @@ def since_epoch(seconds: int) -> Column:
 
 @add("SELECT event_type, cast(floor(epoch(ts) / 3600) AS bigint) AS hour, max(value) AS value FROM events WHERE ts IS NOT NULL GROUP BY 1, 2")
 def stream_max_gauge(spark: SparkSession, sf: str) -> DataFrame:
-    found = gauges.settled(gauges.max_gauge(gauges.stream_table(spark, sf, "events")))
+    found = gauges.settled(gauges.max_gauge, gauges.stream_table(spark, sf, "events"), Tables(spark, sf).events)
     return found.select("event_type", since_epoch(3600).alias("hour"), "value")
 
 
 @add("""SELECT event_type, cast(floor(epoch(ts) / 900) AS bigint) * 15 - back AS minute, count(*) AS n, round(sum(value), 2) AS value
 FROM events, (VALUES (0), (15), (30), (45)) b(back) WHERE ts IS NOT NULL GROUP BY 1, 2""")
 def stream_sliding_load(spark: SparkSession, sf: str) -> DataFrame:
-    found = gauges.settled(gauges.sliding_load(gauges.stream_table(spark, sf, "events")))
+    found = gauges.settled(gauges.sliding_load, gauges.stream_table(spark, sf, "events"), Tables(spark, sf).events)
     return found.select("event_type", since_epoch(60).alias("minute"), "n", money(c("value")).alias("value"))

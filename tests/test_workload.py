@@ -2,6 +2,7 @@
 
 import gzip
 import random
+import time
 
 import numpy as np
 import pytest
@@ -243,3 +244,25 @@ def test_streams_equal_batches(spark, sf, tmp_path):
         q.stop()
         got, want = spark.table(name), f(events)
         assert got.count() == want.count() > 0 and got.select(F.round("value", 6)).exceptAll(want.select(F.round("value", 6))).count() == 0
+
+
+def test_streams_close_windows_and_drop_what_is_too_late(spark, tmp_path):
+    import shutil
+
+    path = tmp_path / "events.parquet"
+    path.mkdir()
+    rows = lambda *items: spark.createDataFrame([(k, v, h) for k, v, h in items], "event_type string, value double, h int").selectExpr("event_type", "value", "timestamp_ntz'2024-01-01 00:30:00' + make_interval(0, 0, 0, 0, h) as ts")
+    (tmp_path / "events.parquet_old").mkdir()
+    rows(("a", 99.0, 0)).coalesce(1).write.mode("overwrite").parquet(str(tmp_path / "events.parquet_old"))
+    schema = rows(("a", 1.0, 0)).schema
+    empty = spark.readStream.schema(schema).parquet(f"{tmp_path}/[e]vents.parquet")
+    assert gauges.settled(gauges.max_gauge, empty, spark.createDataFrame([], schema)).collect() == []
+    for k, part in enumerate((rows(("a", 1.0, 0), ("a", 5.0, 9)), rows(("b", 3.0, 10)), rows(("a", 7.0, 0), ("a", 2.0, 11)))):
+        part.coalesce(1).write.mode("overwrite").parquet(str(tmp_path / f"part{k}"))
+        for f in (tmp_path / f"part{k}").glob("*.parquet"):
+            shutil.copy(f, path / f"{k}.parquet")
+        time.sleep(0.05)  # files are read in order of their times
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/[e]vents.parquet")
+    got = {(r.event_type, r.start.hour): r.value for r in gauges.settled(gauges.max_gauge, stream, spark.read.parquet(str(path))).collect()}
+    # the third file's row of hour 0 comes ten hours late and its window is closed
+    assert got == {("a", 0): 1.0, ("a", 9): 5.0, ("b", 10): 3.0, ("a", 11): 2.0}

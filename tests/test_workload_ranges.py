@@ -7,4 +7,4 @@ def test_the_choice_is_among_all_lookbacks(spark, sf):
 
 def test_executor_sweep_runs_the_whole_range(spark, sf):
     got = {r.executors for r in queries.executor_sweep(spark, sf).select("executors").collect()}
-    assert got == {*range(4, 33, 4), *range(100, 451, 5)}
+    assert got == {*range(4, 33, 4), *range(100, 451, 5)} == set(queries.SETTINGS)
