@@ -77,10 +77,17 @@ def without_rows(docs: DataFrame, gone: DataFrame) -> DataFrame:
     return with_row_id(docs, name).join(gone.select(F.col(ROW_ID).alias(name)), name, "left_anti").drop(name)
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """df written to the shared folder and read back: it survives lost executors and cuts the lineage."""
+#: A checkpoint has a file for so many rows, and these at least if there are as many parts.
+ROWS_PER_FILE, LEAST_FILES = 100_000, 24
+
+
+def checkpoint(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """df written to the shared folder and read back: it survives lost executors and cuts the lineage.
+
+    rows: about how many it has at most, for fewer files than the shuffle before has parts.
+    """
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return (df if rows is None else df.coalesce(max(LEAST_FILES, rows // ROWS_PER_FILE))).checkpoint(eager=True)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

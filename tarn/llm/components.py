@@ -8,10 +8,6 @@ from pyspark.sql import functions as F
 from tarn.llm.common import checkpoint
 
 
-#: Edges of a part from the second round on; each part is a checkpoint file.
-ROWS_PER_PART, LEAST_PARTS = 500_000, 8
-
-
 def again(column: str) -> Column:
     """The same number as an expression: a join on it shuffles its side after the aggregation, and so Spark may split a
     node with very many edges on the other side."""
@@ -33,8 +29,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low.select(again("u").alias("of"), "m"), F.col("u") == F.col("of")).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = small.unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        # a round never has more edges than the one before, so its count bounds the next one's files
-        e = checkpoint(e.coalesce(max(LEAST_PARTS, before[0] // ROWS_PER_PART)) if before else e)
+        # a step never has more edges than the one before, so its count bounds the next one's files
+        e = checkpoint(e, before[0] if before else None)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             return e.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "node").unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

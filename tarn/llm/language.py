@@ -151,7 +151,7 @@ def fit(docs: DataFrame) -> Hierarchy | None:
             found = [features(t) for t in x["text"]]
             yield {"lang": x["lang"], "at": [a.tobytes() for a, _ in found], "values": [v.tobytes() for _, v in found]}
 
-    rows = [(r.lang, np.frombuffer(r.at, np.int32), np.frombuffer(r["values"], np.float32)) for r in map_columns(draw, count, "lang string, at binary, values binary").collect() if r.at]
+    rows = [(r.lang, np.frombuffer(r.at, np.int32), np.frombuffer(r["values"], np.float32)) for r in map_columns(draw, count, "lang string, at binary, values binary").toLocalIterator() if r.at]
     rows.sort(key=lambda r: (r[0], r[1].tobytes(), r[2].tobytes()))  # the same order each time
     if not rows:
         return None

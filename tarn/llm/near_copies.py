@@ -10,10 +10,11 @@ last in the order, which keeps boilerplate out of the shards; the order changes
    the one met most often is compared with it in full. What is similar forms components.
 2. Shards whose rows are in several components are searched again: rows are the children, keyed by distance, of the shard's first
    row, and each row outside the largest component looks for those of other components under the keys within RADIUS of its
-   own. (Deeper BK-trees prune nothing more at this radius, so what is found under a key is compared in arrays.) What is within
-   RADIUS is compared in full.
+   own. (Deeper BK-trees prune nothing more at this radius, so what is found under a key is compared in arrays.) First only
+   the nearest one is compared in full, which joins most of what belongs together, then, of the components that are left,
+   all that are within RADIUS.
 
-Besides, the parity of a set's shingles in each of 512 buckets differs in at most as many bits as two sets differ in shingles, which
+Besides, the parity of a set's shingles in each of 1024 buckets differs in at most as many bits as two sets differ in shingles, which
 similar sets bound; that tells sets apart that are alike but not enough, before any text is read. A fingerprint has 128 bits; RADIUS is five standard deviations over the distance that sets of similarity LEAST have (the
 chance that it hides such a pair is below one in a million), while sets that share nothing are three below theirs.
 """
@@ -46,7 +47,7 @@ KEPT_WORDS, COUNT_ROWS = 1 << 16, 1 << 15
 FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 PAIR, ENTRY = 1, 2
 #: Columns of a node's fingerprint and parity.
-PRINT, PARITY = ("f0", "f1"), tuple(f"p{k}" for k in range(8))
+PRINT, PARITY = ("f0", "f1"), tuple(f"p{k}" for k in range(16))
 BITS = PRINT + PARITY
 #: Pairs that are looked at together.
 PAIRS_AT_ONCE = 1 << 21
@@ -109,7 +110,7 @@ def fingerprint(found: np.ndarray) -> tuple[int, int]:
 
 
 def parity(found: np.ndarray) -> list[int]:
-    """Whether each of 512 buckets has an odd number of the hashes, as signed numbers."""
+    """Whether each of 1024 buckets has an odd number of the hashes, as signed numbers."""
     odd = np.bincount((found & np.uint64(64 * len(PARITY) - 1)).astype(np.int64), minlength=64 * len(PARITY)) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
 
@@ -267,10 +268,11 @@ def bits_between(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
 
 
-def search(cuts: np.ndarray, node: np.ndarray, size: np.ndarray, prints: np.ndarray, odd: np.ndarray, comp: np.ndarray) -> np.ndarray:
+def search(cuts: np.ndarray, node: np.ndarray, size: np.ndarray, prints: np.ndarray, odd: np.ndarray, comp: np.ndarray, nearest: bool) -> np.ndarray:
     """Pairs (greater, smaller node) of rows of one shard, but of two components, whose sizes, fingerprints and parities allow the similarity.
 
-    cuts: where the shards begin, and the end of the last.
+    cuts: where the shards begin, and the end of the last. nearest: only the nearest one of each row that looks, which any row does that
+    is not in its shard's largest component.
     """
     (a, b), n = LEAST, len(node)
     shard = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))
@@ -294,24 +296,31 @@ def search(cuts: np.ndarray, node: np.ndarray, size: np.ndarray, prints: np.ndar
         j = np.repeat(low[at:end] - (np.cumsum(sizes) - sizes), sizes) + np.arange(len(i))
         on = (comp[i] != comp[j]) & (b * np.minimum(size[i], size[j]) >= a * np.maximum(size[i], size[j]))
         i, j = i[on], j[on]
-        on = bits_between(prints[i], prints[j]) <= RADIUS
-        i, j = i[on], j[on]
+        apart = bits_between(prints[i], prints[j])
+        on = apart <= RADIUS
+        i, j, apart = i[on], j[on], apart[on]
         on = bits_between(odd[i], odd[j]) <= may_differ(size[i] + size[j])
-        u, v = node[i[on]], node[j[on]]
+        i, j, apart = i[on], j[on], apart[on]
+        if nearest:
+            by = np.lexsort((node[j], apart, i))
+            i, j = i[by], j[by]
+            on = np.append(True, i[1:] != i[:-1])[: len(i)]
+            i, j = i[on], j[on]
+        u, v = node[i], node[j]
         out.append(np.unique(np.stack([np.maximum(u, v), np.minimum(u, v)]), axis=1))
         at = end
     return np.unique(np.concatenate([np.zeros((2, 0), np.int64), *out], axis=1), axis=1)
 
 
-def searched(shards: DataFrame) -> DataFrame:
-    """shards: token, node, size, BITS, comp, by token. Returns u > v of the pairs of two components that may be similar."""
+def searched(shards: DataFrame, nearest: bool) -> DataFrame:
+    """shards: token, node, size, BITS, comp, by token. Returns u > v of the pairs of two components that may be similar, or the nearest."""
     schema = arrow_schema("u long, v long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, cuts in whole_runs(batches):
             node, size, comp = (table.column(c).to_numpy().astype(np.int64) for c in ("node", "size", "comp"))
             prints, odd = (np.stack([table.column(c).to_numpy().view(np.uint64) for c in names], axis=1) for names in (PRINT, PARITY))
-            u, v = search(cuts, node, size, prints, odd, comp)
+            u, v = search(cuts, node, size, prints, odd, comp, nearest)
             yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], schema=schema)
 
     return shards.mapInArrow(run, "u long, v long").distinct()
@@ -367,35 +376,37 @@ def near_copies(docs: DataFrame) -> DataFrame:
             bits = [(*fingerprint(s), *parity(s)) for s in sets]
             yield {ROW_ID: x[ROW_ID], "doc_id": x["doc_id"], "node": [node_of(s) for s in sets], "size": [len(s) for s in sets]} | {c: [v[k] for v in bits] for k, c in enumerate(BITS)}
 
-    rows = checkpoint(map_columns(with_row_id(docs.select("doc_id", "text")), describe, f"{ROW_ID} long, doc_id long, node long, size int, {', '.join(f'{c} long' for c in BITS)}", rows=256))
-    total = rows.agg(F.sum("size")).first()[0] or 0
-    buckets = max(shuffle_partitions(spark), total // (LEAST[1] * BUCKET_ENTRIES))
+    rows = map_columns(with_row_id(docs.select("doc_id", "text")), describe, f"{ROW_ID} long, doc_id long, node long, size int, {', '.join(f'{c} long' for c in BITS)}", rows=256)
+    rows = checkpoint(rows, docs.count())
+    n, total = rows.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    most = total // LEAST[1] + n  # entries
+    buckets = max(shuffle_partitions(spark), most // BUCKET_ENTRIES)
     found = docs.select("text").mapInArrow(entry_blobs(order, buckets), "bucket int, kind int, blob binary").groupBy("bucket").applyInArrow(meet, "kind int, a long, b long")
-    found = checkpoint(found)
+    found = checkpoint(found, most)
 
     # one row per node; what else is known of it is the same in all its rows
     nodes = rows.groupBy("node").agg(*(F.first(c).alias(c) for c in ("size", *BITS)))
     led_by = found.where(F.col("kind") == PAIR).groupBy(F.col("a").alias("u"), F.col("b").alias("v")).agg(F.count("*").alias("met"))
     side = lambda c: nodes.select(F.col("node").alias(c), F.struct("size", *BITS).alias(f"n_{c}"))
     bits_in = lambda names: " + ".join(f"bit_count(n_u.{c} ^ n_v.{c})" for c in names)
-    (least, of), total = LEAST, "(n_u.size + n_v.size)"
+    (least, of), both = LEAST, "(n_u.size + n_v.size)"
     may = f"""{of} * least(n_u.size, n_v.size) >= {least} * greatest(n_u.size, n_v.size) and {bits_in(PRINT)} <= {RADIUS}
-        and {bits_in(PARITY)} <= {total} - 2 * (({least} * {total} + {least + of - 1}) div {least + of})"""
-    best = led_by.join(side("u"), "u").join(side("v"), "v").where(F.expr(may)).groupBy("u").agg(F.max_by("v", F.struct("met", "v")).alias("v"))
-    first = checkpoint(best)
-    links = checkpoint(verified(docs, rows, first))
-    joined = connected_components(links)
+        and {bits_in(PARITY)} <= {both} - 2 * (({least} * {both} + {least + of - 1}) div {least + of})"""
+    compared = checkpoint(led_by.join(side("u"), "u").join(side("v"), "v").where(F.expr(may)).groupBy("u").agg(F.max_by("v", F.struct("met", "v")).alias("v")), n)
+    joined = connected_components(verified(docs, rows, compared))
 
     entries = found.where(F.col("kind") == ENTRY).select(F.col("a").alias("token"), F.col("b").alias("node")).distinct()
-    entries = entries.join(joined, "node", "left").select("token", "node", F.coalesce("root", "node").alias("comp"))
-    open_tokens = entries.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("token")
-    shards = entries.join(open_tokens, "token").join(nodes, "node")
-    # not by token itself: Spark would leave this shuffle out where a join has dealt by token, and then read that join's parts as it likes
-    shards = shards.repartition(shuffle_partitions(spark), again("token")).sortWithinPartitions("token", "comp", "node")
-    more = checkpoint(searched(shards).join(first, ["u", "v"], "left_anti"))
-    if not more.isEmpty():
-        links = joined.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(verified(docs, rows, more))
-        joined = connected_components(links)
+    for nearest in (True, False):
+        owned = entries.join(joined, "node", "left").select("token", "node", F.coalesce("root", "node").alias("comp"))
+        open_tokens = owned.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("token")
+        shards = owned.join(open_tokens, "token").join(nodes, "node")
+        # not by token itself: Spark would leave this shuffle out where a join has dealt by token, and then read that join's parts as it likes
+        shards = shards.repartition(shuffle_partitions(spark), again("token")).sortWithinPartitions("token", "comp", "node")
+        more = checkpoint(searched(shards, nearest).join(compared, ["u", "v"], "left_anti"), n)
+        if not more.isEmpty():
+            links = joined.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(verified(docs, rows, more))
+            joined = connected_components(links)
+            compared = compared.select("u", "v").unionByName(more)
     rooted = rows.select(ROW_ID, "doc_id", "node").join(joined, "node", "left").withColumn("root", F.coalesce("root", "node"))
     order = F.struct(F.coalesce(F.col("doc_id"), F.lit((1 << 63) - 1)).alias("d"), F.col(ROW_ID).alias("r"))
     tops = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.min(order).alias("keep"))

@@ -32,8 +32,8 @@ LEAST_LETTERS = 3
 SUPPORT, GENERALISE, REMOVE = 3, 0.6, 0.9
 #: Bits of the filter of terms; fixed, 2 MB. A fuller filter counts terms in vain, but no term is missed.
 TERM_BITS = 1 << 24
-#: Distinct words that a worker counts before it hands them on.
-COUNTED_WORDS = 1 << 16
+#: Distinct words that a worker counts before it hands them on, and code points that a task counts.
+COUNTED_WORDS, COUNTED_SIZE = 1 << 17, 1 << 28
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
@@ -104,7 +104,7 @@ def free_terms(text: str, base: list[Span]) -> Iterator[tuple[str, int, int]]:
 
 
 def detect(docs: DataFrame) -> DataFrame:
-    """A row per row of docs: __row_id, doc_id, base (array of start, kind, end), held (array of entity, kind, domain) and,
+    """A row per row of docs: __row_id, doc_id, size (code points), base (array of start, kind, end), held (array of entity, kind, domain) and,
     where an entity is held, free (array of term, start, stop)."""
 
     def run(rows: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
@@ -113,14 +113,17 @@ def detect(docs: DataFrame) -> DataFrame:
             base = [base_spans(t) for t in texts]
             held = [[dict(zip(("entity", "kind", "domain"), e, strict=True)) for e in entities(t, b)] for t, b in zip(texts, base, strict=True)]
             free = [[dict(zip(("term", "start", "stop"), w, strict=True)) for w in free_terms(t, b)] if b else [] for t, b in zip(texts, base, strict=True)]
-            yield {ROW_ID: x[ROW_ID], "doc_id": x["doc_id"], "base": [[{"start": a, "kind": k, "stop": b} for a, k, b in spans] for spans in base], "held": held, "free": free}
+            yield {ROW_ID: x[ROW_ID], "doc_id": x["doc_id"], "size": list(map(len, texts)), "base": [[{"start": a, "kind": k, "stop": b} for a, k, b in spans] for spans in base], "held": held, "free": free}
 
-    ddl = f"{ROW_ID} long, doc_id long, base array<struct<start:int,kind:int,stop:int>>, held array<struct<entity:long,kind:long,domain:long>>, free array<struct<term:string,start:int,stop:int>>"
+    ddl = f"{ROW_ID} long, doc_id long, size int, base array<struct<start:int,kind:int,stop:int>>, held array<struct<entity:long,kind:long,domain:long>>, free array<struct<term:string,start:int,stop:int>>"
     return map_columns(with_row_id(docs.select("doc_id", "text")), run, ddl)
 
 
-def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """term, n_t: the number of rows of docs that hold each of terms (a column term, distinct) outside base spans."""
+def term_counts(docs: DataFrame, terms: DataFrame, tasks: int) -> DataFrame:
+    """term, n_t: the number of rows of docs that hold each of terms (a column term, distinct) outside base spans.
+
+    tasks: at most so many, since each gives a row for each term that it has seen.
+    """
     hashes = [F.xxhash64("term"), F.shiftrightunsigned(F.xxhash64("term"), 32)]
     at = terms.select(F.explode(F.array(*[h.bitwiseAND(F.lit(TERM_BITS - 1)) + 1 for h in hashes])).alias("b"))
     maps = at.groupBy(F.bitmap_bucket_number("b").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("b")).alias("m"))
@@ -153,7 +156,7 @@ def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
                 counts = Counter()
         yield {"term": list(counts), "n": list(counts.values())}
 
-    return map_columns(docs.select("text"), count, "term string, n long").groupBy("term").agg(F.sum("n").alias("n_t")).join(terms, "term", "left_semi")
+    return map_columns(docs.select("text").coalesce(tasks), count, "term string, n long").groupBy("term").agg(F.sum("n").alias("n_t")).join(terms, "term", "left_semi")
 
 
 def terms_by_key(detected: DataFrame) -> DataFrame:
@@ -169,11 +172,12 @@ def disclosing(docs: DataFrame, detected: DataFrame, support: int = SUPPORT, gen
     """key, term, own, pooled of the pairs over at least support documents: 4 generalised, 5 removed, 0 neither, as an
     entity's own pair and, smoothed, as a class's."""
     pairs = terms_by_key(detected).groupBy("key", "term").agg(F.count("*").alias("n_et"), F.first("n_e").alias("n_e")).where(F.col("n_et") >= support)
-    pairs = checkpoint(pairs)
+    n, size = detected.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    pairs = checkpoint(pairs, n)
     if pairs.isEmpty():
         return pairs.select("key", "term", F.lit(0).alias("own"), F.lit(0).alias("pooled"))
-    n = float(detected.count())
-    found = pairs.join(term_counts(docs, pairs.select("term").distinct()), "term")
+    tasks = max(2 * docs.sparkSession.sparkContext.defaultParallelism, size // COUNTED_SIZE)
+    found, n = pairs.join(term_counts(docs, pairs.select("term").distinct(), tasks), "term"), float(n)
     ic = F.log2(F.lit(n) / F.col("n_e"))
 
     def judged(more: int):
@@ -181,7 +185,7 @@ def disclosing(docs: DataFrame, detected: DataFrame, support: int = SUPPORT, gen
         pmi = F.log2(n_et * n / (F.col("n_e") * n_t))
         return F.when((ic <= 0) | (pmi < generalise * ic), 0).when(pmi >= remove * ic, 5).otherwise(4)
 
-    found = checkpoint(found.select("key", "term", judged(0).alias("own"), judged(support).alias("pooled")))
+    found = checkpoint(found.select("key", "term", judged(0).alias("own"), judged(support).alias("pooled")), int(n))
     # a pair that is neither still keeps its classes' word from counting, but only for terms that some pair flags
     return found.join(found.where("own > 0 or pooled > 0").select("term").distinct(), "term", "left_semi")
 
@@ -203,8 +207,9 @@ def sanitising_spans(docs: DataFrame) -> DataFrame:
 
     A null text is empty, a term that two entities ask for is removed if either says so. An empty table gives no rows.
     """
-    detected = checkpoint(detect(docs))
-    judged = checkpoint(disclosing(docs, detected))
+    rows = docs.count()
+    detected = checkpoint(detect(docs), rows)
+    judged = checkpoint(disclosing(docs, detected), rows)
     free = detected.where(F.size("held") > 0).select(ROW_ID, F.explode("free").alias("x")).select(ROW_ID, "x.*")
     more = free.join(marked(detected, judged), [ROW_ID, "term"])
     more = more.groupBy(ROW_ID).agg(F.sort_array(F.collect_list(F.struct("start", "kind", "stop"))).alias("more"))  # within one document
