@@ -7,10 +7,10 @@ least hash is its anchor (all of them at a tie). Equal strings have their anchor
 1. anchors: each anchor's gram hash and context hash (all bytes of any string it may stand for) go, packed, to buckets by gram
    hash. Equal contexts are put together before the shuffle and again after it: all but the first are removed whole.
    A gram with one context left needs nothing more. The first ones of the other contexts are asked for by document.
-2. suffixes: the suffixes at the anchors asked for are range-partitioned by their leading token (8 bytes) with sampled
-   splitters. Equal leading tokens share a bucket, so no string is compared across a boundary but its first 8 bytes, and
-   those differ there. A bucket sorts its suffixes, and what stands before them, by multikey quicksort on 8-byte tokens;
-   common prefix lengths of neighbours then say, exactly, which strings are equal.
+2. suffixes: the suffixes at the anchors asked for are range-partitioned by their leading token, the gram's 32 bytes, with
+   sampled splitters. Equal strings have equal grams there, so they share a bucket: what a comparison across a boundary would look at
+   differs in the leading token already. A bucket sorts its suffixes, and what stands before them, by multikey quicksort
+   on 8-byte tokens; common prefix lengths of neighbours then say, exactly, which strings are equal.
 3. each document's removed intervals are joined to it.
 
 Copies do not meet as such: a context that a third of all documents share is one row per task in step 1 and one in all in step 2.
@@ -39,6 +39,8 @@ PIECE, MARGIN = 1 << 20, 2 * LENGTH
 FLUSH, FLUSH_SUFFIXES = 1 << 20, 1 << 16
 #: Rows, at most about, whose leading tokens are sampled for the splitters, and tokens of each.
 SAMPLE_ROWS, SAMPLE_EACH = 2000, 32
+#: Bytes of text for a bucket, at least.
+BUCKET_BYTES = 64 << 20
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 NO_ID = -(1 << 63)  # a null doc_id counts as the smallest
 
@@ -225,7 +227,7 @@ def suffix_blobs(splitters: np.ndarray):
 
         def flush() -> pa.RecordBatch:
             out: dict[int, list[bytes]] = {}
-            lead = np.array([int.from_bytes(h[3][:8], "big") for h in held], np.uint64)
+            lead = np.array([h[3][:GRAM] for h in held], splitters.dtype)
             for b, (did, rid, at, after, before) in zip(np.searchsorted(splitters, lead, side="right").tolist(), held, strict=True):
                 out.setdefault(b, []).append(np.array([did, rid, at << 16 | len(after) << 8 | len(before)], "<i8").tobytes() + after.ljust(LENGTH, b"\0") + before.ljust(BEFORE, b"\0"))
             held.clear()
@@ -314,27 +316,25 @@ def compare_suffixes(table: pa.Table) -> pa.Table:
 
 def sampled_splitters(keyed: DataFrame, buckets: int) -> np.ndarray:
     """Leading tokens that cut what is sampled into even parts; the sample is of bounded size."""
+    kind = f"S{GRAM}"  # bytes in their order; zeros at the end don't count, which only keeps tokens together
     rows = keyed.count()
     if rows == 0:
-        return np.zeros(0, np.uint64)
+        return np.zeros(0, kind)
 
     def leads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in columns_of(batches, 64):
             out = []
             for text in x["text"]:
-                data = (text or "").encode("utf-8", "surrogatepass")[: PIECE]
+                data = (text or "").encode("utf-8", "surrogatepass")
                 if len(data) >= LENGTH:
-                    at = anchors([(data, 0, len(data))])[1]
-                    out += [int.from_bytes(data[k : k + 8], "big") - (1 << 63) for k in at[:: max(1, len(at) // SAMPLE_EACH)].tolist()]
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64())], names=["lead"])
+                    at = np.concatenate([low + anchors([(part, a, b)])[1] for part, a, b, low in pieces_of(data)])
+                    out += [data[k : k + GRAM] for k in at[:: max(1, len(at) // SAMPLE_EACH)].tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["lead"])
 
     share = min(1.0, SAMPLE_ROWS / rows)
     drawn = keyed.where(F.xxhash64(ROW_ID).bitwiseAND(F.lit((1 << 30) - 1)) < int(share * (1 << 30))).select("text")
-    found = np.array(sorted(r.lead for r in drawn.mapInArrow(leads, "lead long").collect()), np.int64)
-    if not len(found):
-        return np.zeros(0, np.uint64)
-    cut = found[np.arange(1, buckets) * len(found) // buckets]
-    return np.unique((cut.astype(object) + (1 << 63)).astype(np.uint64))
+    found = np.array(sorted(bytes(r.lead) for r in drawn.mapInArrow(leads, "lead binary").collect()), kind)
+    return np.unique(found[np.arange(1, buckets) * len(found) // buckets]) if len(found) else found
 
 
 def repeated_bytes(docs: DataFrame) -> DataFrame:
@@ -344,7 +344,8 @@ def repeated_bytes(docs: DataFrame) -> DataFrame:
     share a doc_id come in the order of the table, so of repeated rows the later lose what the first keeps.
     """
     spark = docs.sparkSession
-    buckets = 4 * shuffle_partitions(spark)
+    total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    buckets = max(4 * shuffle_partitions(spark), total // BUCKET_BYTES)
     keyed = with_row_id(docs.select("doc_id", "text")).select(ROW_ID, F.col("doc_id").cast("long").alias("doc_id"), "text")
     blobs = keyed.mapInArrow(anchor_blobs(buckets), "bucket int, known boolean, blob binary")
     first = blobs.groupBy("bucket").applyInArrow(compare_contexts, "rid long, v long")
