@@ -82,8 +82,17 @@ def test_links_and_components(spark):
 
 def test_long_chain(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(200)] + [(500, 501), (7, 7)], "u long, v long")
-    got = {x.node: x.root for x in connected_components(edges).collect()}
-    assert got == dict.fromkeys(range(201), 0) | {500: 500, 501: 500}
+    for most in (0, 1000):  # in rounds, and in one task
+        got = {x.node: x.root for x in connected_components(edges, most).collect()}
+        assert got == dict.fromkeys(range(201), 0) | {500: 500, 501: 500}
+
+
+def test_components_in_rounds_as_in_one_task(spark):
+    r = random.Random(9)
+    edges = spark.createDataFrame([(r.randrange(300), r.randrange(300)) for _ in range(160)], "u long, v long")
+    one, rounds = ({x.node: x.root for x in connected_components(edges, most).collect()} for most in (1000, 0))
+    assert one == rounds
+    assert connected_components(edges.where("false")).count() == connected_components(edges.where("false"), -1).count() == 0
 
 
 def test_whole_table(spark, sf):
