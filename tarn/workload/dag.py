@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tarn.session import shared_folder
+
 SCHEMA = "query string, stage int, num_tasks int, deps array<int>, no_drop array<int>"
 
 
@@ -30,14 +32,16 @@ def drop_map(dag: DataFrame) -> DataFrame:
     Pairs (stage, stage it depends on, itself included) grow by one level of the graph a round; the rounds are as many as the
     longest path has stages, which is a property of queries, not of their number.
     """
+    shared_folder(dag.sparkSession)
     e = edges(dag)
     below = dag.select("query", F.col("stage").alias("top"), F.col("stage").alias("under"))
     reach, new = below, below
     while True:
         new = new.join(e, (new["query"] == e["query"]) & (new["under"] == e["consumer"])).select(new["query"], "top", F.col("producer").alias("under")).distinct()
+        new = new.checkpoint()  # a round's plan does not grow with the rounds before
         if new.isEmpty():
             break
-        reach = reach.unionByName(new).distinct()
+        reach = reach.unionByName(new).distinct().checkpoint()
     held = reach.join(e, (reach["query"] == e["query"]) & (reach["under"] == e["consumer"])).select(reach["query"], "top", "producer", "consumer").distinct()
     counts = held.groupBy("query", "producer", "top").agg(F.count("*").alias("n"))
     full = e.groupBy("query", "producer").agg(F.count("*").alias("all"))
