@@ -172,15 +172,15 @@ def synthetic_demand(spark: SparkSession, sf: str) -> DataFrame:
     return generate.synthetic_demand(spark, 200)
 
 
-TRACE_SQL = "tr AS (SELECT event_id AS id, cast(floor((epoch(ts) - (SELECT epoch(min(ts)) FROM events)) / 600) AS bigint) AS start_s, 'q' || (event_id % 22 + 1) AS query FROM events WHERE ts IS NOT NULL)"
+TRACE_SQL = "tr AS (SELECT event_id AS id, (epoch_us(ts) - (SELECT epoch_us(min(ts)) FROM events)) // 600000000 AS start_s, 'q' || (event_id % 22 + 1) AS query FROM events WHERE ts IS NOT NULL)"
 PROFILE_SQL = """ln AS (SELECT l_orderkey, dense_rank() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) - 1 AS stage, l_linenumber, cast(ceil(l_quantity / 10) AS bigint) AS seconds, cast(floor(l_extendedprice) AS bigint) * 1000 AS bytes FROM lineitem WHERE l_orderkey < 22),
 pr AS (SELECT 'q' || (l_orderkey + 1) AS query, stage, max(l_linenumber) AS start_s, sum(bytes) AS output_bytes, count(*) AS tasks, max(seconds) AS seconds, string_agg(cast(seconds AS varchar), ',' ORDER BY seconds) AS runtimes FROM ln GROUP BY l_orderkey, stage)"""
 
 
 def event_trace(spark: SparkSession, sf: str) -> DataFrame:
     """Each event is a query of one of 22 kinds; ten minutes are a second."""
-    events = Tables(spark, sf).events.where("ts is not null").select("event_id", F.expr("timestampdiff(SECOND, timestamp_ntz'1970-01-01 00:00:00', ts)").alias("s"))
-    start = F.floor((c("s") - c("first")) / 600)
+    events = Tables(spark, sf).events.where("ts is not null").select("event_id", F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts)").alias("s"))
+    start = F.expr("(s - first) div 600000000")
     return with_scalar(events, events.agg(F.min("s").alias("first"))).select(c("event_id").alias("id"), start.alias("start_s"), F.concat(F.lit("q"), c("event_id") % 22 + 1).alias("query"))
 
 
