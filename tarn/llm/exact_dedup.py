@@ -119,7 +119,8 @@ FROM documents
 
 
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """docs without the rows that exact_dedup does not keep."""
+    """docs without the rows that exact_dedup does not keep: of equal texts (null as empty) the largest doc_id stays, of rows that share that one too exactly
+    one. All columns stay as they are, whatever their names; an empty table gives no rows."""
     docs = stable(docs)
     gone = exact_dedup(docs).where(~F.col("kept")).select(ROW_ID)
     return without_rows(docs, gone)

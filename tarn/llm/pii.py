@@ -241,7 +241,8 @@ def sanitised(text: str, spans: list[Span]) -> str:
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """docs with personal data and disclosing terms replaced in text, and n_chars brought up to date where it is there.
 
-    Texts without @ and digits hold none and go straight through; only the others meet the spans.
+    Texts without @ and digits hold none and go straight through, null and empty ones among them; only the others meet the spans. Repeated
+    rows are replaced alike, other columns stay as they are, whatever their names. An empty table gives no rows.
     """
     docs = stable(docs)
     names, schema = docs.columns, docs.schema
