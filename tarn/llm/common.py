@@ -74,20 +74,25 @@ def free_name(docs: DataFrame, like: str) -> str:
 def without_rows(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """docs, which is stable, without the rows whose numbers are in gone's ROW_ID."""
     name = free_name(docs, ROW_ID)
-    return with_row_id(docs, name).join(gone.select(F.col(ROW_ID).alias(name)), name, "left_anti").drop(name)
+    return compact(with_row_id(docs, name).join(gone.select(F.col(ROW_ID).alias(name)), name, "left_anti").drop(name), docs.count())
 
 
-#: A checkpoint has a file for so many rows, and these at least if there are as many parts.
+#: A checkpoint or a stage's result has a file for so many rows, and these at least if there are as many parts.
 ROWS_PER_FILE, LEAST_FILES = 100_000, 24
 
 
+def compact(df: DataFrame, rows: int) -> DataFrame:
+    """df, of about so many rows, in no more parts than files of a fair size need."""
+    return df.coalesce(max(LEAST_FILES, rows // ROWS_PER_FILE))
+
+
 def checkpoint(df: DataFrame, rows: int | None = None) -> DataFrame:
     """df written to the shared folder and read back: it survives lost executors and cuts the lineage.
 
     rows: about how many it has at most, for fewer files than the shuffle before has parts.
     """
     shared_dir(df.sparkSession)
-    return (df if rows is None else df.coalesce(max(LEAST_FILES, rows // ROWS_PER_FILE))).checkpoint(eager=True)
+    return (df if rows is None else compact(df, rows)).checkpoint(eager=True)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tarn.llm.common import map_columns, read_table
+from tarn.llm.common import compact, map_columns, read_table
 
 #: Rows of each label that the model is fitted on, at most; with more labels than FULL_LABELS each has fewer, but one. What comes to the
 #: driver is bounded by that: SAMPLE * FULL_LABELS rows, or one for each label.
@@ -197,4 +197,4 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
             langs = [v if lang is None and v != UNKNOWN else lang for lang, v in zip(x["lang"], found, strict=True)]
             yield {c: [langs[k] if c == "lang" else x[c][k] for k in on] for c in names}
 
-    return map_columns(docs, keep, docs.schema, rows=256)
+    return map_columns(compact(docs, docs.count()), keep, docs.schema, rows=256)

@@ -2,7 +2,9 @@
 
 At this similarity two SimHash fingerprints differ in too many bits for shards of agreeing bits, so the BK-trees are sharded
 otherwise, without losing a pair: with shingles in one fixed order, two sets of similarity t share one of the first
-n - ceil(t n) + 1 shingles of each, so a shard is the rows that have one shingle there. Frequent shingles (by a sample) come
+n - ceil(t n) + 1 shingles of each, so a shard is the rows that have one shingle there. Of the first shingle that two sets share
+more is known: in the smaller set it is even among the first n - ceil(2 t n / (1 + t)) + 1 ("short"; in both, if they are of one
+size). Shards without a short row are none. Frequent shingles (by a sample) come
 last in the order, which keeps boilerplate out of the shards; the order changes the work, never the result.
 
 1. In each shard a row meets its leader, the least node: first in a task, then the tasks' leaders among each other, so that a
@@ -122,15 +124,15 @@ def may_differ(total: np.ndarray) -> np.ndarray:
 
 
 def prefix(found: np.ndarray, buckets: np.ndarray, ranks: np.ndarray) -> np.ndarray:
-    """The first shingles of a set in the order (rank of the bucket, hash)."""
+    """The first shingles of a set in the order (rank of the bucket, hash), as tokens whose last bit is 0 where they are short."""
     n, (a, b) = len(found), LEAST
-    size = n - (a * n + b - 1) // b + 1
-    if not len(buckets):
-        return found[:size]
-    own = (found & np.uint64((1 << ORDER_BITS) - 1)).astype(np.int64)
-    at = np.minimum(np.searchsorted(buckets, own), len(buckets) - 1)
-    rank = np.where(buckets[at] == own, ranks[at], 0)
-    return found[np.argsort(rank, kind="stable")[:size]]
+    size, short = n - (a * n + b - 1) // b + 1, n - (2 * a * n + a + b - 1) // (a + b) + 1
+    if len(buckets):
+        own = (found & np.uint64((1 << ORDER_BITS) - 1)).astype(np.int64)
+        at = np.minimum(np.searchsorted(buckets, own), len(buckets) - 1)
+        rank = np.where(buckets[at] == own, ranks[at], 0)
+        found = found[np.argsort(rank, kind="stable")]
+    return (found[:size] & ~np.uint64(1)) | (np.arange(size) >= short).astype(np.uint64)
 
 
 def node_of(found: np.ndarray) -> int:
@@ -157,27 +159,22 @@ def frequent_buckets(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return found["bucket"].to_numpy(np.int64), np.array([int(n).bit_length() for n in found["n"]], np.int64)
 
 
-def runs_of(token: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (token, node), sorted; where each token's run begins, as an index of each row; whether the run has several nodes."""
-    order = np.lexsort((node, token))
+def led(token: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of entries: those of the leaders (the least short node of each token, or the least), the pairs (row, leader) of tokens that have a
+    short row, and all entries of tokens that have several nodes."""
+    order = np.lexsort((node, token))  # short ones come first in a token
     token, node = token[order], node[order]
     new = np.ones(len(token), bool)
     new[1:] = (token[1:] != token[:-1]) | (node[1:] != node[:-1])
     token, node = token[new], node[new]
     head = np.ones(len(token), bool)
-    head[1:] = token[1:] != token[:-1]
+    head[1:] = (token[1:] ^ token[:-1]) & ~1 != 0
     cuts = np.flatnonzero(head)
     sizes = np.diff(np.append(cuts, len(token)))
-    return token, node, np.repeat(cuts, sizes), np.repeat(sizes > 1, sizes)
-
-
-def led(token: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of entries: those of the leaders (the least node of each token), the pairs (row, leader), and the entries of shared tokens."""
-    token, node, first, several = runs_of(token, node)
-    at = np.arange(len(token))
-    rest = at != first
-    pairs = np.unique(np.stack([node[rest], node[first[rest]]]), axis=1) if rest.any() else np.zeros((2, 0), np.int64)
-    return np.stack([token[~rest], node[~rest]]), pairs, np.stack([token[several], node[several]])
+    first, several = np.repeat(cuts, sizes), np.repeat(sizes > 1, sizes)
+    met = ~head & (token[first] & 1 == 0)
+    pairs = np.unique(np.stack([node[met], node[first[met]]]), axis=1) if met.any() else np.zeros((2, 0), np.int64)
+    return np.stack([token[head], node[head]]), pairs, np.stack([token[several], node[several]])
 
 
 def to_blob(both: np.ndarray) -> bytes:
@@ -234,6 +231,8 @@ def meet(table: pa.Table) -> pa.Table:
     kinds, blobs = table.column("kind").to_pylist(), table.column("blob").to_pylist()
     own, known_pairs, known = (from_blobs([b for b, k in zip(blobs, kinds, strict=True) if k == kind]) for kind in (0, PAIR, ENTRY))
     _, pairs, shared = led(*own)
+    tokens = shared[0] & ~1
+    shared = shared[:, np.isin(tokens, tokens[shared[0] & 1 == 0])]  # leaders are short where any row is
     parts = [(PAIR, pairs), (PAIR, known_pairs), (ENTRY, shared), (ENTRY, known)]
     a, b = np.concatenate([both for _, both in parts], axis=1)
     return pa.table({"kind": pa.array(np.repeat([k for k, _ in parts], [both.shape[1] for _, both in parts]), pa.int32()), "a": pa.array(a), "b": pa.array(b)})
@@ -268,17 +267,17 @@ def bits_between(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
 
 
-def search(cuts: np.ndarray, node: np.ndarray, size: np.ndarray, prints: np.ndarray, odd: np.ndarray, comp: np.ndarray, nearest: bool) -> np.ndarray:
+def search(cuts: np.ndarray, node: np.ndarray, size: np.ndarray, prints: np.ndarray, odd: np.ndarray, comp: np.ndarray, late: np.ndarray, nearest: bool) -> np.ndarray:
     """Pairs (greater, smaller node) of rows of one shard, but of two components, whose sizes, fingerprints and parities allow the similarity.
 
-    cuts: where the shards begin, and the end of the last. nearest: only the nearest one of each row that looks, which any row does that
+    cuts: where the shards begin, and the end of the last. late: rows that are not short. nearest: only the nearest one of each row that looks, which any row does that
     is not in its shard's largest component.
     """
     (a, b), n = LEAST, len(node)
     shard = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))
     key = bits_between(prints, prints[cuts[:-1]][shard])
     order = np.lexsort((key, shard))
-    node, size, prints, odd, comp, key = (x[order] for x in (node, size, prints, odd, comp, key))
+    node, size, prints, odd, comp, late, key = (x[order] for x in (node, size, prints, odd, comp, late, key))
     # the largest component of each shard is only looked up, so that its rows aren't compared with each other
     by = np.lexsort((comp, shard))
     head = np.flatnonzero(np.append(True, (comp[by][1:] != comp[by][:-1]) | (shard[by][1:] != shard[by][:-1])))
@@ -295,6 +294,7 @@ def search(cuts: np.ndarray, node: np.ndarray, size: np.ndarray, prints: np.ndar
         i = np.repeat(asks[at:end], sizes)
         j = np.repeat(low[at:end] - (np.cumsum(sizes) - sizes), sizes) + np.arange(len(i))
         on = (comp[i] != comp[j]) & (b * np.minimum(size[i], size[j]) >= a * np.maximum(size[i], size[j]))
+        on &= ~((late[i] & (size[i] <= size[j])) | (late[j] & (size[j] <= size[i])))
         i, j = i[on], j[on]
         apart = bits_between(prints[i], prints[j])
         on = apart <= RADIUS
@@ -313,15 +313,19 @@ def search(cuts: np.ndarray, node: np.ndarray, size: np.ndarray, prints: np.ndar
 
 
 def searched(shards: DataFrame, nearest: bool) -> DataFrame:
-    """shards: token, node, size, BITS, comp, by token. Returns u > v of the pairs of two components that may be similar, or the nearest."""
+    """shards: token, node, size, BITS, comp, late, by token. Returns u > v of the pairs of two components that may be similar, or the nearest."""
     schema = arrow_schema("u long, v long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = np.zeros((2, 0), np.int64)
         for table, cuts in whole_runs(batches):
-            node, size, comp = (table.column(c).to_numpy().astype(np.int64) for c in ("node", "size", "comp"))
+            node, size, comp, late = (table.column(c).to_numpy().astype(np.int64) for c in ("node", "size", "comp", "late"))
             prints, odd = (np.stack([table.column(c).to_numpy().view(np.uint64) for c in names], axis=1) for names in (PRINT, PARITY))
-            u, v = search(cuts, node, size, prints, odd, comp, nearest)
-            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], schema=schema)
+            found = np.unique(np.concatenate([found, search(cuts, node, size, prints, odd, comp, late > 0, nearest)], axis=1), axis=1)
+            if found.shape[1] >= FLUSH:  # a pair is found in many shards, of which a task has several
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], schema=schema)
+                found = found[:, :0]
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], schema=schema)
 
     return shards.mapInArrow(run, "u long, v long").distinct()
 
@@ -395,10 +399,10 @@ def near_copies(docs: DataFrame) -> DataFrame:
     compared = checkpoint(led_by.join(side("u"), "u").join(side("v"), "v").where(F.expr(may)).groupBy("u").agg(F.max_by("v", F.struct("met", "v")).alias("v")), n)
     joined = connected_components(verified(docs, rows, compared))
 
-    entries = found.where(F.col("kind") == ENTRY).select(F.col("a").alias("token"), F.col("b").alias("node")).distinct()
+    entries = found.where(F.col("kind") == ENTRY).select(F.col("a").bitwiseAND(F.lit(-2)).alias("token"), F.col("b").alias("node"), F.col("a").bitwiseAND(F.lit(1)).alias("late")).distinct()
     for nearest in (True, False):
-        owned = entries.join(joined, "node", "left").select("token", "node", F.coalesce("root", "node").alias("comp"))
-        open_tokens = owned.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("token")
+        owned = entries.join(joined, "node", "left").select("token", "node", "late", F.coalesce("root", "node").alias("comp"))
+        open_tokens = owned.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min("late").alias("late")).where("low <> high and late = 0").select("token")
         shards = owned.join(open_tokens, "token").join(nodes, "node")
         # not by token itself: Spark would leave this shuffle out where a join has dealt by token, and then read that join's parts as it likes
         shards = shards.repartition(shuffle_partitions(spark), again("token")).sortWithinPartitions("token", "comp", "node")

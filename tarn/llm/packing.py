@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from tarn.llm.common import arrow_schema, columns_of, kept, read_table
+from tarn.llm.common import arrow_schema, columns_of, compact, kept, read_table
 from tarn.session import share_package
 
 CAPACITY, END_ID, TOKENIZER = 2048, 1, "word_bpe_49k.json"
@@ -227,4 +227,4 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """docs' pieces, as of pack_documents, with the ids' checksum instead of the ids."""
-    return packed_digests(docs)
+    return packed_digests(compact(docs, docs.count()))

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarn.llm.common import ROW_ID, checkpoint, free_name, map_columns, read_table, stable, with_row_id
+from tarn.llm.common import ROW_ID, checkpoint, compact, free_name, map_columns, read_table, stable, with_row_id
 
 KINDS = ("email", "ip", "card", "phone", "generalised", "removed")
 LABELS = ("[EMAIL]", "[IP]", "[CARD]", "[PHONE]", "[TERM]", "")
@@ -258,4 +258,4 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
             sizes = {"n_chars": [n if own is None else len(t) for t, own, n in zip(new, x[spans], x["n_chars"], strict=True)]} if "n_chars" in names else {}
             yield {c: x[c] for c in names} | {"text": new} | sizes
 
-    return clean.unionByName(map_columns(rows.where(may).drop(may).join(found, row, "left").drop(row), put, schema))
+    return compact(clean.unionByName(map_columns(rows.where(may).drop(may).join(found, row, "left").drop(row), put, schema)), docs.count())

@@ -1,7 +1,9 @@
 import random
 
+import numpy as np
 import xxhash
 
+from tarn.llm import near_copies
 from tarn.llm import simhash as s
 from tarn.llm.common import read_table
 from tarn.llm.components import connected_components
@@ -146,3 +148,25 @@ def test_stage_joins_all_of_similarity_four_fifths(spark, tmp_path):
     assert 40 < len(set(want)) < len(texts) - 40
     assert sorted(x.doc_id for x in s.near_dedup_stage(spark, docs, "").collect()) == sorted(set(want))
     assert s.near_dedup(docs).select("component_id").distinct().count() > len(set(want))  # three bits leave near copies
+
+
+def test_prefixes_lose_no_pair():
+    r, none = random.Random(8), (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    ranks = (np.arange(0, 1 << near_copies.ORDER_BITS, 3), np.arange(0, 1 << near_copies.ORDER_BITS, 3) % 5)
+    similar = 0
+    for _ in range(600):
+        n = r.randrange(1, 60)
+        both = [r.getrandbits(64) for _ in range(n)]
+        sets = [np.unique(np.array(both + [r.getrandbits(64) for _ in range(r.randrange(n // 4 + 1))], np.uint64)) for _ in range(2)]
+        if not near_copies.similar(*sets):
+            continue
+        similar += 1
+        for order in (none, ranks):
+            p, q = (near_copies.prefix(x, *order) for x in sorted(sets, key=len))
+            short = {int(t) >> 1 for t in p if not int(t) & 1}
+            assert short & {int(t) >> 1 for t in q}
+            if len(sets[0]) == len(sets[1]):
+                assert short & {int(t) >> 1 for t in q if not int(t) & 1}
+        a, b = (near_copies.parity(x) for x in sets)
+        assert sum(((x ^ y) & (1 << 64) - 1).bit_count() for x, y in zip(a, b, strict=True)) <= near_copies.may_differ(len(sets[0]) + len(sets[1]))
+    assert similar > 100
