@@ -74,25 +74,27 @@ def free_name(docs: DataFrame, like: str) -> str:
 def without_rows(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """docs, which is stable, without the rows whose numbers are in gone's ROW_ID."""
     name = free_name(docs, ROW_ID)
-    return compact(with_row_id(docs, name).join(gone.select(F.col(ROW_ID).alias(name)), name, "left_anti").drop(name), docs.count())
+    return compact(with_row_id(docs, name).join(gone.select(F.col(ROW_ID).alias(name)), name, "left_anti").drop(name), docs.count(), docs)
 
 
-#: A checkpoint or a stage's result has a file for so many rows, and these at least if there are as many parts.
-ROWS_PER_FILE, LEAST_FILES = 100_000, 24
+#: A checkpoint or a stage's result has a file for so many rows, or bytes that the files read for it have, and these at least if there are
+#: as many parts.
+ROWS_PER_FILE, BYTES_PER_FILE, LEAST_FILES = 100_000, 128 << 20, 24
 
 
-def compact(df: DataFrame, rows: int) -> DataFrame:
-    """df, of about so many rows, in no more parts than files of a fair size need."""
-    return df.coalesce(max(LEAST_FILES, rows // ROWS_PER_FILE))
+def compact(df: DataFrame, rows: int, source: DataFrame | None = None) -> DataFrame:
+    """df, of about so many rows, in no more parts than files of a fair size need. source: the scan that it comes from in one step, if any."""
+    size = int(str(source._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) if source is not None else 0
+    return df.coalesce(min((1 << 31) - 1, max(LEAST_FILES, rows // ROWS_PER_FILE, size // BYTES_PER_FILE)))
 
 
-def checkpoint(df: DataFrame, rows: int | None = None) -> DataFrame:
+def checkpoint(df: DataFrame, rows: int | None = None, source: DataFrame | None = None) -> DataFrame:
     """df written to the shared folder and read back: it survives lost executors and cuts the lineage.
 
-    rows: about how many it has at most, for fewer files than the shuffle before has parts.
+    rows, source: as of compact, for fewer files than there are parts.
     """
     shared_dir(df.sparkSession)
-    return (df if rows is None else compact(df, rows)).checkpoint(eager=True)
+    return (df if rows is None else compact(df, rows, source)).checkpoint(eager=True)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -79,7 +79,7 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     hashed = with_row_id(docs.select("doc_id", "text")).select(ROW_ID, "doc_id", F.sha2(F.coalesce(F.col("text"), F.lit("")), 256).alias("text_sha256"))
-    hashed = checkpoint(hashed.withColumn("h", F.xxhash64("text_sha256")), docs.count())
+    hashed = checkpoint(hashed.withColumn("h", F.xxhash64("text_sha256")), docs.count(), docs)
     rows = hashed.count()
     bits = filter_bits(rows)
     tasks = max(8, rows * BITS_PER_ROW // bits)

@@ -197,4 +197,4 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
             langs = [v if lang is None and v != UNKNOWN else lang for lang, v in zip(x["lang"], found, strict=True)]
             yield {c: [langs[k] if c == "lang" else x[c][k] for k in on] for c in names}
 
-    return map_columns(compact(docs, docs.count()), keep, docs.schema, rows=256)
+    return map_columns(compact(docs, docs.count(), docs), keep, docs.schema, rows=256)

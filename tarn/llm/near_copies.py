@@ -381,7 +381,7 @@ def near_copies(docs: DataFrame) -> DataFrame:
             yield {ROW_ID: x[ROW_ID], "doc_id": x["doc_id"], "node": [node_of(s) for s in sets], "size": [len(s) for s in sets]} | {c: [v[k] for v in bits] for k, c in enumerate(BITS)}
 
     rows = map_columns(with_row_id(docs.select("doc_id", "text")), describe, f"{ROW_ID} long, doc_id long, node long, size int, {', '.join(f'{c} long' for c in BITS)}", rows=256)
-    rows = checkpoint(rows, docs.count())
+    rows = checkpoint(rows, docs.count(), docs)
     n, total = rows.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     most = total // LEAST[1] + n  # entries
     buckets = max(shuffle_partitions(spark), most // BUCKET_ENTRIES)

@@ -227,4 +227,4 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """docs' pieces, as of pack_documents, with the ids' checksum instead of the ids."""
-    return packed_digests(compact(docs, docs.count()))
+    return packed_digests(compact(docs, docs.count(), docs))

@@ -208,7 +208,7 @@ def sanitising_spans(docs: DataFrame) -> DataFrame:
     A null text is empty, a term that two entities ask for is removed if either says so. An empty table gives no rows.
     """
     rows = docs.count()
-    detected = checkpoint(detect(docs), rows)
+    detected = checkpoint(detect(docs), rows, docs)
     judged = checkpoint(disclosing(docs, detected), rows)
     free = detected.where(F.size("held") > 0).select(ROW_ID, F.explode("free").alias("x")).select(ROW_ID, "x.*")
     more = free.join(marked(detected, judged), [ROW_ID, "term"])
@@ -258,4 +258,4 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
             sizes = {"n_chars": [n if own is None else len(t) for t, own, n in zip(new, x[spans], x["n_chars"], strict=True)]} if "n_chars" in names else {}
             yield {c: x[c] for c in names} | {"text": new} | sizes
 
-    return compact(clean.unionByName(map_columns(rows.where(may).drop(may).join(found, row, "left").drop(row), put, schema)), docs.count())
+    return compact(clean.unionByName(map_columns(rows.where(may).drop(may).join(found, row, "left").drop(row), put, schema)), docs.count(), docs)

@@ -126,7 +126,7 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     component of null doc_ids alone has a null component_id. keep_row is the __row_id that stays for the component.
     Null and empty texts have fingerprint zero. An empty table gives no rows.
     """
-    prints = checkpoint(map_columns(with_row_id(docs.select("doc_id", "text")), _fingerprints, f"{ROW_ID} long, doc_id long, fp long"), docs.count())
+    prints = checkpoint(map_columns(with_row_id(docs.select("doc_id", "text")), _fingerprints, f"{ROW_ID} long, doc_id long, fp long"), docs.count(), docs)
     # equal fingerprints are one node, so a large group of copies is one row from here on
     nodes = prints.groupBy("fp").agg(F.min(ROW_ID).alias("node"), F.min("doc_id").alias("least"), F.min(F.struct(F.coalesce(F.col("doc_id"), F.lit((1 << 63) - 1)).alias("d"), F.col(ROW_ID).alias("r"))).alias("keep"))
     joined = connected_components(near_links(nodes.select("node", "fp")))
