@@ -16,7 +16,7 @@ last in the order, which keeps boilerplate out of the shards; the order changes
    the nearest one is compared in full, which joins most of what belongs together, then, of the components that are left,
    all that are within RADIUS.
 
-Besides, the parity of a set's shingles in each of 1024 buckets differs in at most as many bits as two sets differ in shingles, which
+Besides, the parity of a set's shingles in each of 768 buckets differs in at most as many bits as two sets differ in shingles, which
 similar sets bound; that tells sets apart that are alike but not enough, before any text is read. A fingerprint has 128 bits; RADIUS is five standard deviations over the distance that sets of similarity LEAST have (the
 chance that it hides such a pair is below one in a million), while sets that share nothing are three below theirs.
 """
@@ -49,7 +49,7 @@ KEPT_WORDS, COUNT_ROWS = 1 << 16, 1 << 15
 FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 PAIR, ENTRY = 1, 2
 #: Columns of a node's fingerprint and parity.
-PRINT, PARITY = ("f0", "f1"), tuple(f"p{k}" for k in range(16))
+PRINT, PARITY = ("f0", "f1"), tuple(f"p{k}" for k in range(12))
 BITS = PRINT + PARITY
 #: Pairs that are looked at together.
 PAIRS_AT_ONCE = 1 << 21
@@ -112,8 +112,8 @@ def fingerprint(found: np.ndarray) -> tuple[int, int]:
 
 
 def parity(found: np.ndarray) -> list[int]:
-    """Whether each of 1024 buckets has an odd number of the hashes, as signed numbers."""
-    odd = np.bincount((found & np.uint64(64 * len(PARITY) - 1)).astype(np.int64), minlength=64 * len(PARITY)) & 1
+    """Whether each of 768 buckets has an odd number of the hashes, as signed numbers."""
+    odd = np.bincount((found % np.uint64(64 * len(PARITY))).astype(np.int64), minlength=64 * len(PARITY)) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
 
 
