@@ -118,6 +118,11 @@ def kept(key: tuple, make: Callable[[], Any]) -> Any:
     return _kept[key]
 
 
+def forget() -> None:
+    """Frees what another operator's tasks have left in this worker."""
+    _kept.clear()
+
+
 def columns_of(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[dict[str, list]]:
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
@@ -130,6 +135,7 @@ def map_columns(df: DataFrame, function: Callable[[Iterator[dict[str, list]]], I
     share_package(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()  # those that live on words don't come through here
         for made in function(columns_of(batches, rows)):
             yield pa.RecordBatch.from_arrays([pa.array(made[f.name], f.type) for f in schema], schema=schema)
 
