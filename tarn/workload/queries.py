@@ -214,14 +214,16 @@ def cache_simulation(spark: SparkSession, sf: str) -> DataFrame:
 SETTINGS = [*range(4, 33, 4), *range(100, 451, 5)]
 
 
-def arriving(spark: SparkSession, sf: str) -> DataFrame:
-    """query (one of the trace), arrival, stage, deps, runtimes."""
-    return event_trace(spark, sf).join(profile(spark, sf).drop("start_s"), "query").select(F.concat("query", F.lit("-"), "id").alias("query"), c("start_s").alias("arrival"), "stage", "deps", "runtimes")
+def arriving(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """The stages of each kind of query (kind, stage, deps, runtimes), and the queries (trace, query, arrival, kind)."""
+    queries = event_trace(spark, sf).select(F.lit("all").alias("trace"), F.concat("query", F.lit("-"), "id").alias("query"), c("start_s").alias("arrival"), c("query").alias("kind"))
+    return profile(spark, sf).select(c("query").alias("kind"), "stage", "deps", "runtimes"), queries
 
 
 @add()
 def executor_sweep(spark: SparkSession, sf: str) -> DataFrame:
-    return simulate.executor_sweep(arriving(spark, sf), SETTINGS)
+    kinds, queries = arriving(spark, sf)
+    return simulate.executor_sweep(kinds, SETTINGS, queries)
 
 
 @add()
@@ -232,7 +234,8 @@ def given_executors(spark: SparkSession, sf: str) -> DataFrame:
     series = demand(tasks).select("trace", "t", (c("demand") + 1).alias("executors"))
     early = with_scalar(F.broadcast(spark.range(1)).select(F.lit("all").alias("trace")), series.agg(F.min("t").alias("a")))
     early = early.where("a > 0").select("trace", F.explode(F.sequence(F.lit(0).cast("long"), c("a") - 1)).alias("t"), F.lit(1).cast("long").alias("executors"))
-    return simulate.given_executors(arriving(spark, sf).withColumn("trace", F.lit("all")), series.unionByName(early))
+    kinds, queries = arriving(spark, sf)
+    return simulate.given_executors(kinds, series.unionByName(early), queries)
 
 
 GRAPH = "dag(query, stage, num_tasks, deps) AS (VALUES " + ", ".join(f"('{q}', {s}, {n}, {d}::integer[])" for q, s, n, d, _ in dag.EXAMPLE) + """),
