@@ -204,8 +204,11 @@ def profile_expansion(spark: SparkSession, sf: str) -> DataFrame:
 @add()
 def cache_simulation(spark: SparkSession, sf: str) -> DataFrame:
     """All four policies over the stages of the events' queries, with start-up, minimum billing, two nodes at least and eviction."""
+    # queries of a trace that are of one kind and start together have the same stages
+    alike = event_trace(spark, sf).groupBy(F.concat(F.lit("w"), c("id") % 4).alias("trace"), "start_s", "query").agg(F.count("*").alias("n"))
     w = Window.partitionBy("id").orderBy("stage")
-    stages = generate.expand_profile(event_trace(spark, sf), profile(spark, sf)).withColumns({"consumers": F.coalesce(F.lead("tasks").over(w), F.lit(0)), "release": F.coalesce(F.lead("end").over(w), c("end")), "trace": F.concat(F.lit("w"), c("id") % 4)})
+    stages = generate.expand_profile(alike.withColumn("id", F.struct("trace", "start_s", "query", "n")), profile(spark, sf)).drop("deps", "runtimes")
+    stages = stages.withColumns({"consumers": F.coalesce(F.lead("tasks").over(w), F.lit(0)), "release": F.coalesce(F.lead("end").over(w), c("end")), "trace": c("id.trace"), "n": c("id.n")})
     found = simulate.cache_policies(stages, [("perfect", 0), ("fixed", 4), ("mean", 2), ("percentile", 80)], 1 << 28, least=2, evict=True)
     return found.withColumn("dollars", strategies.dollars(c("reads"), c("writes"), c("node_seconds")))
 
