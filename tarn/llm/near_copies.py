@@ -10,9 +10,8 @@ last in the order, which keeps boilerplate out of the shards; the order changes
 1. In each shard a row meets its leader, the least node: first in a task, then the tasks' leaders among each other, so that a
    shingle that a third of all rows have is one row per task. Of each row's leaders that are within RADIUS of its fingerprint,
    the one met most often is compared with it in full. What is similar forms components.
-2. Shards whose rows are in several components are searched again: rows are the children, keyed by distance, of the shard's first
-   row, and each row outside the largest component looks for those of other components under the keys within RADIUS of its
-   own. (Deeper BK-trees prune nothing more at this radius, so what is found under a key is compared in arrays.) First only
+2. Shards whose rows are in several components are searched again: the distinct fingerprints of a shard are a BK-tree, in which each row
+   outside the largest component looks for those of other components within RADIUS. First only
    the nearest one is compared in full, which joins most of what belongs together, then, of the components that are left,
    all that are within RADIUS.
 
@@ -32,6 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tarn.llm.bk_tree import BKForest, bits_between
 from tarn.llm.common import ROW_ID, arrow_schema, checkpoint, columns_of, kept, map_columns, shuffle_partitions, with_row_id
 from tarn.llm.components import again, connected_components
 
@@ -52,7 +52,7 @@ PAIR, ENTRY = 1, 2
 PRINT, PARITY = ("f0", "f1"), tuple(f"p{k}" for k in range(12))
 BITS = PRINT + PARITY
 #: Pairs that are looked at together.
-PAIRS_AT_ONCE = 1 << 21
+PAIRS_AT_ONCE = 1 << 19
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -263,21 +263,20 @@ def whole_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np
         yield piece()
 
 
-def bits_between(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
-
-
 def search(cuts: np.ndarray, node: np.ndarray, size: np.ndarray, prints: np.ndarray, odd: np.ndarray, comp: np.ndarray, late: np.ndarray, nearest: bool) -> np.ndarray:
     """Pairs (greater, smaller node) of rows of one shard, but of two components, whose sizes, fingerprints and parities allow the similarity.
 
     cuts: where the shards begin, and the end of the last. late: rows that are not short. nearest: only the nearest one of each row that looks, which any row does that
-    is not in its shard's largest component.
+    is not in its shard's largest component. A shard's distinct fingerprints are a BK-tree.
     """
     (a, b), n = LEAST, len(node)
     shard = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))
-    key = bits_between(prints, prints[cuts[:-1]][shard])
-    order = np.lexsort((key, shard))
-    node, size, prints, odd, comp, late, key = (x[order] for x in (node, size, prints, odd, comp, late, key))
+    order = np.lexsort((prints[:, 1], prints[:, 0], shard))
+    node, size, prints, odd, comp, late = (x[order] for x in (node, size, prints, odd, comp, late))
+    new = np.append(True, (shard[1:] != shard[:-1]) | (prints[1:] != prints[:-1]).any(axis=1))
+    firsts = np.flatnonzero(new)  # rows of equal fingerprints are one node of the tree
+    many = np.diff(np.append(firsts, n))
+    trees = BKForest(shard[firsts], prints[firsts])
     # the largest component of each shard is only looked up, so that its rows aren't compared with each other
     by = np.lexsort((comp, shard))
     head = np.flatnonzero(np.append(True, (comp[by][1:] != comp[by][:-1]) | (shard[by][1:] != shard[by][:-1])))
@@ -285,19 +284,16 @@ def search(cuts: np.ndarray, node: np.ndarray, size: np.ndarray, prints: np.ndar
     best = np.lexsort((-counts, shard[by][head]))
     best = best[np.append(True, np.diff(shard[by][head][best]) > 0)]
     asks = np.flatnonzero(comp != comp[by][head][best][shard])
-    place = shard * 1024 + key
-    low, high = np.searchsorted(place, place[asks] - np.minimum(key[asks], RADIUS)), np.searchsorted(place, place[asks] + RADIUS, side="right")
-    many, out, at = np.cumsum(high - low), [], 0
+    upto, out, at = np.cumsum(np.diff(cuts)[shard[asks]]), [], 0
     while at < len(asks):
-        end = max(at + 1, int(np.searchsorted(many, (many[at - 1] if at else 0) + PAIRS_AT_ONCE, side="right")))
-        sizes = (high - low)[at:end]
-        i = np.repeat(asks[at:end], sizes)
-        j = np.repeat(low[at:end] - (np.cumsum(sizes) - sizes), sizes) + np.arange(len(i))
+        end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + PAIRS_AT_ONCE, side="right")))
+        own = asks[at:end]
+        i, j, apart = trees.within(prints[own], trees.roots[shard[own]], RADIUS)
+        sizes = many[j]
+        i, apart = np.repeat(own[i], sizes), np.repeat(apart, sizes)
+        j = np.repeat(firsts[j] - (np.cumsum(sizes) - sizes), sizes) + np.arange(len(i))
         on = (comp[i] != comp[j]) & (b * np.minimum(size[i], size[j]) >= a * np.maximum(size[i], size[j]))
         on &= ~((late[i] & (size[i] <= size[j])) | (late[j] & (size[j] <= size[i])))
-        i, j = i[on], j[on]
-        apart = bits_between(prints[i], prints[j])
-        on = apart <= RADIUS
         i, j, apart = i[on], j[on], apart[on]
         on = bits_between(odd[i], odd[j]) <= may_differ(size[i] + size[j])
         i, j, apart = i[on], j[on], apart[on]

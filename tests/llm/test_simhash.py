@@ -5,6 +5,7 @@ import xxhash
 
 from tarn.llm import near_copies
 from tarn.llm import simhash as s
+from tarn.llm.bk_tree import BKForest, BKTree
 from tarn.llm.common import read_table
 from tarn.llm.components import connected_components
 
@@ -170,3 +171,59 @@ def test_prefixes_lose_no_pair():
         a, b = (near_copies.parity(x) for x in sets)
         assert sum(((x ^ y) & (1 << 64) - 1).bit_count() for x, y in zip(a, b, strict=True)) <= near_copies.may_differ(len(sets[0]) + len(sets[1]))
     assert similar > 100
+
+
+def test_forest_as_trees_one_by_one():
+    r = random.Random(12)
+    groups = []
+    for _ in range(20):
+        base = [r.getrandbits(128) for _ in range(3)]
+        own = {r.choice(base) ^ sum(1 << r.randrange(128) for _ in range(r.randrange(30))) for _ in range(r.randint(1, 60))}
+        groups.append([x & (1 << 128) - 1 for x in own])
+    words = lambda own: np.array([[x & (1 << 64) - 1, x >> 64] for x in own], np.uint64)
+    forest = BKForest(np.repeat(np.arange(20), [len(g) for g in groups]), words([x for g in groups for x in g]))
+    edges = dict(zip(forest.keys.tolist(), forest.children.tolist(), strict=True))
+    for g, (own, root) in enumerate(zip(groups, forest.roots.tolist(), strict=True)):
+        tree = BKTree()
+        for x in own:
+            tree.add(x)
+        assert {(root + k) * forest.edges + d: root + child for k, c in enumerate(tree.children) for d, child in c.items()}.items() <= edges.items()
+        asked = [x ^ (1 << r.randrange(128)) for x in own]
+        for radius in (0, 5, 46, 128):
+            asks, nodes, apart = forest.within(words(asked), np.full(len(asked), root), radius)
+            got = sorted(zip(asks.tolist(), (nodes - root).tolist(), apart.tolist(), strict=True))
+            assert got == sorted((k, j, (x ^ own[j]).bit_count()) for k, x in enumerate(asked) for j in tree.within(x, radius))
+    assert len(edges) == sum(map(len, groups)) - 20
+
+
+def test_search_asks_the_trees_and_finds_all(monkeypatch):
+    r = np.random.default_rng(6)
+    n, cuts = 120, np.array([0, 50, 51, 120])
+    base = r.integers(0, 1 << 63, (12, 2), dtype=np.uint64)
+    comp = r.integers(0, 12, n)
+    prints = base[comp]
+    for _ in range(8):
+        prints[np.arange(n), r.integers(0, 2, n)] ^= np.uint64(1) << r.integers(0, 64, n).astype(np.uint64)
+    prints[10:14] = prints[10]  # one node of the tree
+    comp, node, size, late = comp * 5 + r.integers(0, 4, n), r.permutation(n), r.integers(90, 110, n), r.integers(0, 4, n) == 0
+    odd = np.zeros((n, 12), np.uint64)
+    depths = []
+
+    def built(self, group, values, init=BKForest.__init__):
+        init(self, group, values)
+        depths.append(len(set((self.keys // self.edges).tolist())))
+
+    monkeypatch.setattr(BKForest, "__init__", built)
+    want = set()
+    for a, b in ((0, 50), (51, 120)):
+        of = comp[a:b].tolist()
+        best = max(sorted(set(of)), key=of.count)
+        for i in range(a, b):
+            for j in range(a, b):
+                bits = sum(int(x ^ y).bit_count() for x, y in zip(prints[i], prints[j], strict=True))
+                small = (late[i] and size[i] <= size[j]) or (late[j] and size[j] <= size[i])
+                if comp[i] != best and comp[i] != comp[j] and bits <= near_copies.RADIUS and 5 * min(size[i], size[j]) >= 4 * max(size[i], size[j]) and not small:
+                    want.add((int(max(node[i], node[j])), int(min(node[i], node[j]))))
+    got = near_copies.search(cuts, node, size, prints, odd, comp, late, False)
+    assert set(zip(*got.tolist(), strict=True)) == want and len(want) > 20
+    assert depths and depths[0] > 10  # nodes with children: not the roots alone
